@@ -100,7 +100,10 @@ def any_row(c: Column | str) -> Column:
 
 
 def dummy_name(prefix: str, value) -> str:
-    return f"{prefix}_{value}"
+    """Column name of a category; without dots, which Spark reads as struct access."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return f"{prefix}_{value}".replace(".", "_")
 
 
 def category_counts(

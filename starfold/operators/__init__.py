@@ -2,6 +2,7 @@ from starfold.operators.assemble import (  # noqa: F401
     align,
     anti,
     assemble,
+    attach,
     cross_table_ratio,
     matching,
     stack_rows,

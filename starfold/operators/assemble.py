@@ -51,6 +51,16 @@ def anti(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 
 
+def attach(df: DataFrame, lookup: DataFrame, key: str, small_rows: int = 10_000) -> DataFrame:
+    """Left-join a frame with one row per key that is not the entity key.
+
+    Rows of ``df`` may pile up on one key. When the lookup is counted to be small it is broadcast
+    and no row of ``df`` moves; otherwise adaptive execution splits the heavy partitions.
+    """
+    small = lookup.select(key).limit(small_rows + 1).count() <= small_rows
+    return df.join(F.broadcast(lookup) if small else lookup, key, "left")
+
+
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full join of two frames with one row per key."""
     return left.join(right, key, "full")

@@ -8,9 +8,14 @@ bucket is ranked, and the resulting cut hash is compared against every row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starfold.functions.scalars import flag
+
 _ANY = "all"
 
 
@@ -51,9 +56,8 @@ def stratified_holdout(
     stratum = F.col(label).cast("string")
     wanted = F.array(F.bround(F.try_element_at(share, F.col("_s")) * F.col("_n"), 0).cast("long"))
     cuts = _cut_hashes(df.where(stratum.isin([str(v) for v in shares])), key, stratum, wanted, seed, bits)
-    h = hash_text(key, seed)
-    cut = F.try_element_at(cuts, stratum)
-    return df.withColumn(out, F.coalesce(F.exists(cut, lambda t: h <= t), F.lit(False)).cast("int"))
+    cut = F.get(F.try_element_at(cuts, stratum), 0)
+    return df.withColumn(out, flag(hash_text(key, seed) <= cut))
 
 
 def exact_split(
@@ -62,9 +66,8 @@ def exact_split(
     """Mark exactly ``ceil(share * n)`` rows as validation."""
     wanted = F.array(F.ceil(F.lit(float(share)) * F.col("_n")).cast("long"))
     cuts = _cut_hashes(df, key, F.lit(_ANY), wanted, seed, bits)
-    h = hash_text(key, seed)
-    below = F.exists(F.try_element_at(cuts, F.lit(_ANY)), lambda t: h <= t)
-    return df.withColumn(out, F.coalesce(below, F.lit(False)).cast("int"))
+    cut = F.get(F.try_element_at(cuts, F.lit(_ANY)), 0)
+    return df.withColumn(out, flag(hash_text(key, seed) <= cut))
 
 
 def exact_folds(
@@ -78,8 +81,7 @@ def exact_folds(
     )
     cuts = F.try_element_at(_cut_hashes(df, key, F.lit(_ANY), wanted, seed, bits), F.lit(_ANY))
     h = hash_text(key, seed)
-    passed = F.size(F.filter(cuts, lambda t: h > t))
-    return df.withColumn(out, F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0)).cast("int"))
+    return df.withColumn(out, reduce(add, [flag(h > F.get(cuts, i)) for i in range(folds - 1)], F.lit(0)))
 
 
 def _cut_hashes(
@@ -99,14 +101,14 @@ def _cut_hashes(
     totals = (
         counts.withColumn("_cum", F.sum("_c").over(upto))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy("_s")))
-        .withColumn("_rank", F.explode(wanted))
+        .select("*", F.posexplode(wanted).alias("_i", "_rank"))
         .where((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_cum")))
         .where(F.col("_rank") > F.col("_cum") - F.col("_c"))
-        .select("_s", "_b", (F.col("_rank") - F.col("_cum") + F.col("_c")).alias("_local"))
+        .select("_s", "_b", "_i", (F.col("_rank") - F.col("_cum") + F.col("_c")).alias("_local"))
     )
     # One row per (stratum, wanted rank): bounded by the caller's parameters, not by the data.
     near = hashed.join(F.broadcast(totals), ["_s", "_b"])
-    place = F.row_number().over(Window.partitionBy("_s", "_b", "_local").orderBy("_h"))
+    place = F.row_number().over(Window.partitionBy("_s", "_i").orderBy("_h"))
     found = near.withColumn("_place", place).where(F.col("_place") == F.col("_local"))
     grouped = found.groupBy("_s").agg(F.sort_array(F.collect_list("_h")).alias("_cuts"))
     return grouped.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_cuts")))).scalar()

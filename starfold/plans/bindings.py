@@ -6,7 +6,7 @@ values are turned into NULL or text so that every cleaning step has something to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.sources import table
@@ -54,7 +54,7 @@ def entbase(customer: DataFrame) -> DataFrame:
     )
 
 
-def _money_text(c) -> F.Column:
+def _money_text(c: Column) -> Column:
     return c.cast("decimal(18,2)").cast("string")
 
 
