@@ -80,7 +80,8 @@ def order_key(year: Column | str, month: Column | str, tiebreak: Column | str) -
     aggregate. Ordering by a struct would sort every input row instead.
     """
     when = (_col(year).cast("int") * 100 + _col(month).cast("int")).cast("decimal(8,0)")
-    step = F.lit("10000000000000000000").cast("decimal(20,0)")
+    # More than the 2**64 values a long can take, so the tie-break never reaches the next month.
+    step = F.lit("20000000000000000000").cast("decimal(20,0)")
     return when * step + _col(tiebreak).cast("decimal(19,0)")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.models.evaluate import area_under_roc
-from starfold.session import shared_dir
+from starfold.session import materialize, shared_dir
 
 
 @dataclass(frozen=True)
@@ -125,20 +125,40 @@ def prefix_model(model: GBTClassificationModel, rounds: int) -> GBTClassificatio
 
 
 def round_metrics(
-    model: GBTClassificationModel, df: DataFrame, label: str, metric: str = "logLoss"
+    model: GBTClassificationModel,
+    df: DataFrame,
+    label: str,
+    metric: str = "logLoss",
+    patience: int | None = None,
+    chunk: int = 25,
 ) -> list[float]:
     """The metric after each boosting round, measured on ``df``.
 
-    logLoss is measured for all rounds together; areaUnderROC scores each prefix of the model.
+    logLoss covers all rounds. areaUnderROC runs every tree over the rows once, a chunk of trees
+    at a time, keeping the running margins as table columns; with ``patience`` it ends after the
+    chunk in which that many rounds brought no better value.
     """
     if metric == "logLoss":
         return list(model.evaluateEachIteration(df))
     if metric != "areaUnderROC":
         raise ValueError(f"unknown metric {metric!r}")
-    out = []
-    for rounds in range(1, model.getNumTrees + 1):
-        scored = prefix_model(model, rounds).transform(df)
-        out.append(area_under_roc(scored.withColumn("_p", positive_probability()), label, "_p"))
+    features = model.getFeaturesCol()
+    rows = df.select(label, features, F.lit(0.0).alias("margin_0"))
+    trees, weights, out = model.trees, model.treeWeights, []
+    for start in range(0, len(trees), chunk):
+        at = range(start, min(start + chunk, len(trees)))
+        margin = F.col(f"margin_{start}")
+        names = []
+        for i in at:
+            tree = trees[i].setFeaturesCol(features).setPredictionCol(f"_tree_{i}")
+            rows = tree.transform(rows)
+            margin = margin + F.col(f"_tree_{i}") * F.lit(float(weights[i]))
+            names.append(margin.alias(f"margin_{i + 1}"))
+        rows = materialize(rows.select(label, features, *names), "margins")
+        out += [area_under_roc(rows, label, f"margin_{i + 1}") for i in at]
+        rows = rows.select(label, features, f"margin_{at[-1] + 1}")
+        if patience is not None and len(out) - best_round(out, patience, True) >= patience:
+            break
     return out
 
 
@@ -164,11 +184,12 @@ class BoostedClassifier:
         columns = [self.features, F.col(self.label).cast("double").alias(self.label)]
         model = self.settings.estimator(self.features, self.label).fit(train.select(*columns))
         if valid is not None:
-            self.history = round_metrics(model, valid.select(*columns), self.label, self.metric)
-            better_up = self.metric != "logLoss"
-            model = prefix_model(
-                model, best_round(self.history, self.settings.patience, better_up)
+            patience = self.settings.patience
+            self.history = round_metrics(
+                model, valid.select(*columns), self.label, self.metric, patience
             )
+            keep = best_round(self.history, patience, larger_is_better=self.metric != "logLoss")
+            model = prefix_model(model, keep)
         self._model = model
         return self
 

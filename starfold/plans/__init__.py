@@ -7,4 +7,5 @@ from starfold.plans.company import (  # noqa: F401
     Recipe,
     company_matrix,
     feature_names,
+    pin_values,
 )

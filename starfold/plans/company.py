@@ -7,8 +7,8 @@ labelled and unlabelled companies together.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,11 @@ MISSING = -999
 
 @dataclass(frozen=True)
 class Recipe:
-    """Options of one feature set; the defaults are the base run."""
+    """Options of one feature set; the defaults are the base run.
+
+    ``values`` pins the categories of a column (ETYPE, ALTERNO, RIGHTTYPE, WZCODE). Columns that
+    are not pinned are read from the data when a block is built.
+    """
 
     name: str = "base"
     capital_limit: float | None = 90000
@@ -53,6 +57,7 @@ class Recipe:
     breakfaith_more: bool = False
     recruit_mean: bool = True
     money: str | None = None
+    values: Mapping[str, Sequence] = field(default_factory=dict)
 
 
 # Limits and dropped categories of the four scoring runs.
@@ -101,7 +106,7 @@ def entbase_block(entbase: DataFrame, recipe: Recipe = BASE, helper: bool = Fals
     types = one_hot(
         log_scale(rows, "ZCZB", fill="mean", log_out="_capital"),
         "ETYPE",
-        values=_types(rows, recipe),
+        values=_values(recipe, "ETYPE", lambda: _types(rows, recipe)),
         without=recipe.etype_without,
         null_category=recipe.etype_null,
     )
@@ -118,9 +123,27 @@ def _types(rows: DataFrame, recipe: Recipe) -> list:
     return vocabulary(rows.select(value.alias("ETYPE")), "ETYPE")
 
 
+def _values(recipe: Recipe, column: str, discover) -> Sequence:
+    return recipe.values[column] if column in recipe.values else discover()
+
+
+def pin_values(tables: Mapping[str, DataFrame], recipe: Recipe, order: str = "row_id") -> Recipe:
+    """The recipe with its categories read once, so later data gets the same feature columns."""
+    entbase = tables["entbase"]
+    if recipe.capital_limit is not None:
+        entbase = entbase.where(F.col("ZCZB") < recipe.capital_limit)
+    found = {
+        "ETYPE": _types(entbase, recipe),
+        "ALTERNO": first_seen_values(tables["alter"], "ALTERNO", order),
+        "RIGHTTYPE": vocabulary(tables["right"], "RIGHTTYPE"),
+        "WZCODE": vocabulary(tables["recruit"], "WZCODE"),
+    }
+    return replace(recipe, values=found | dict(recipe.values))
+
+
 def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id") -> DataFrame:
     """Change counts by code, amounts of the latest change, first and last change date."""
-    codes = first_seen_values(alter, "ALTERNO", order)
+    codes = _values(recipe, "ALTERNO", lambda: first_seen_values(alter, "ALTERNO", order))
     amounts = {c: fn.parse_amount(F.coalesce(F.col(c), F.lit("0"))) for c in ("ALTAF", "ALTBE")}
     rows = alter.withColumns(amounts)
     if recipe.amount_limit is not None:
@@ -198,7 +221,8 @@ def branch_block(branch: DataFrame, recipe: Recipe = BASE, order: str = "row_id"
 
 def right_block(right: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Rights by type, their number, last application date and share granted."""
-    types = [v for v in vocabulary(right, "RIGHTTYPE") if v not in recipe.right_without]
+    types = _values(recipe, "RIGHTTYPE", lambda: vocabulary(right, "RIGHTTYPE"))
+    types = [v for v in types if v not in recipe.right_without]
     features = fn.category_counts("RIGHTTYPE", types, "RIGHTTYPE")
     features |= {
         "right_count": fn.row_count(),
@@ -274,7 +298,8 @@ def breakfaith_block(breakfaith: DataFrame, recipe: Recipe = BASE) -> DataFrame:
 
 def recruit_block(recruit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Job postings by site, people wanted in total, postings, people per posting."""
-    features = fn.category_counts("WZCODE", vocabulary(recruit, "WZCODE"), "WZCODE")
+    sites = _values(recipe, "WZCODE", lambda: vocabulary(recruit, "WZCODE"))
+    features = fn.category_counts("WZCODE", sites, "WZCODE")
     features |= {
         "recruit_RECRNUM_sum": fn.exact_total("RECRNUM"),
         "recruit_RECRNUM_count": fn.row_count(),

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starfold import functions as fn
-from starfold.operators import FeatureBlock, align, anti, assemble, stack_rows, unique_rows
+from starfold.operators import (
+    FeatureBlock,
+    align,
+    anti,
+    assemble,
+    log_scale,
+    one_hot,
+    stack_rows,
+    unique_rows,
+)
 from starfold.queries.registry import query, rounded
 from starfold.sources import table
 
@@ -133,8 +142,6 @@ _STAR_FILLED = ("capital", "event_n", "event_sum", "event_top", "order_n", "orde
 )
 def star_assembly(spark, sf):
     """Customers with one block each from orders, order lines and events: the flagship."""
-    from starfold.operators import log_scale, one_hot
-
     customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
     lineitem, events = table(spark, sf, "lineitem"), table(spark, sf, "events")
 
@@ -163,15 +170,28 @@ def star_assembly(spark, sf):
         }
         | fn.category_counts("o_orderstatus", STATUSES, "STATUS"),
     )
-    owners = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("EID"))
+    # Order lines are added up per order before the join, so an order with very many lines, or a
+    # customer with very many orders, leaves each map task as one row.
+    per_order = FeatureBlock(
+        "lines of an order",
+        lineitem.withColumnRenamed("l_orderkey", "o_orderkey"),
+        {
+            "lines": fn.row_count(),
+            "returned": F.count_if(F.col("l_returnflag") == "R"),
+            "price": F.sum(F.col("l_extendedprice").cast("decimal(18,2)")),
+            "top": fn.biggest("l_quantity"),
+        },
+        key="o_orderkey",
+    ).build()
+    owners = orders.select("o_orderkey", F.col("o_custkey").alias("EID"))
     line_block = FeatureBlock(
         "lineitem",
-        lineitem.join(owners, "l_orderkey"),
+        per_order.join(owners, "o_orderkey"),
         {
-            "line_n": fn.row_count(),
-            "line_sum": fn.exact_total("l_extendedprice"),
-            "line_return_rate": fn.share_where(F.col("l_returnflag") == "R"),
-            "line_top_quantity": fn.biggest("l_quantity"),
+            "line_n": F.sum("lines"),
+            "line_sum": F.sum("price").cast("double"),
+            "line_return_rate": fn.ratio(F.sum("returned"), F.sum("lines")),
+            "line_top_quantity": fn.biggest("top"),
         },
     )
     event_block = FeatureBlock(
