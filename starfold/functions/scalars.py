@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the unit suffix an amount may carry. It is cut off, not multiplied in.
 AMOUNT_UNIT = "万元"
 
+# A failed cast costs an exception per row, so only text matching this reaches the cast.
+_WHOLE = r"^\s*[+-]?[0-9]{1,10}\s*$"
+
 
 def parse_amount(c: Column | str, strict: bool = False) -> Column:
-    """Amount text to double: a value holding the unit loses its last two characters.
+    """Amount text to double: the unit at the end is cut off.
 
-    Text that is no number gives NULL, or raises when ``strict``. "nan" counts as missing.
+    Text that is no number gives NULL, or raises when ``strict``; "nan" is missing. Java's type
+    suffixes ("1.0d") are not part of a number.
     """
     text = _col(c).cast("string")
     bare = F.when(
-        text.contains(AMOUNT_UNIT), F.substring(text, F.lit(1), F.length(text) - len(AMOUNT_UNIT))
+        text.endswith(AMOUNT_UNIT), F.substring(text, F.lit(1), F.length(text) - len(AMOUNT_UNIT))
     ).otherwise(text)
-    number = bare.cast("double") if strict else bare.try_cast("double")
-    return F.nullif(number, F.lit(float("nan")))
+    if strict:
+        return bare.cast("double")
+    plain = F.when(~F.substring(bare, -1, 1).isin("", "d", "D", "f", "F"), bare)
+    return F.nanvl(plain.try_cast("double"), F.lit(None))
 
 
 def log1p_or_null(c: Column | str) -> Column:
@@ -34,7 +42,8 @@ def log_bin(c: Column | str) -> Column:
 
 def date_piece(c: Column | str, part: int, sep: str = "-") -> Column:
     """The ``part``-th piece (1 = year, 2 = month) of a date string as int; NULL when absent."""
-    return F.split_part(_col(c), F.lit(sep), F.lit(part)).try_cast("int")
+    piece = F.get(F.split(_col(c), re.escape(sep)), part - 1)
+    return F.when(piece.rlike(_WHOLE), piece).try_cast("int")
 
 
 def round_half_even(c: Column | str, places: int = 8) -> Column:

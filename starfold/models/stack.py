@@ -21,10 +21,12 @@ def out_of_fold(
     label: str = "TARGET",
     fold: str = "fold",
     parallelism: int = 2,
+    metric: str = "logLoss",
 ) -> tuple[DataFrame, list[list[BoostedClassifier]]]:
     """Score every training row by models that did not see its fold.
 
-    ``train`` must be materialised and carry the fold number. Returns the rows with one score
+    ``train`` must be materialised and carry the fold number; written by fold, every fit and every
+    scoring pass reads only its own folds. Returns the rows with one score
     column per base model, and the fitted models as [base model][fold]. Each row is scored once
     per base model, without a shuffle.
     """
@@ -32,7 +34,7 @@ def out_of_fold(
     def fit(job: tuple[int, int]) -> BoostedClassifier:
         which, i = job
         rest, held = train.where(F.col(fold) != i), train.where(F.col(fold) == i)
-        return BoostedClassifier(settings[which], label).fit(rest, held)
+        return BoostedClassifier(settings[which], label, metric=metric).fit(rest, held)
 
     jobs = [(m, i) for m in range(len(settings)) for i in range(folds)]
     with ThreadPool(parallelism) as pool:
@@ -77,24 +79,25 @@ class Stack:
         blend_share: float = 0.3,
         blend_seed: int = 10000,
         parallelism: int = 2,
+        metric: str = "logLoss",
     ):
         self.base, self.blender, self.folds = list(base), blender, folds
         self.key, self.label = key, label
         self.blend_share, self.blend_seed = blend_share, blend_seed
-        self.parallelism = parallelism
+        self.parallelism, self.metric = parallelism, metric
 
     def fit(self, train: DataFrame) -> Stack:
         """``train`` holds key, label, features and fold."""
         scores, self.models = out_of_fold(
-            train, self.base, self.folds, self.label, parallelism=self.parallelism
+            train, self.base, self.folds, self.label, parallelism=self.parallelism,
+            metric=self.metric,
         )
         names = [f"score_{m}" for m in range(len(self.base))]
         self.oof = materialize(scores.select(self.key, self.label, "fold", *names), "oof")
         split = exact_split(self.oof, self.key, self.blend_share, self.blend_seed)
         blend = materialize(blend_frames(split, len(self.base)), "blend")
-        self.blend_model = BoostedClassifier(self.blender, self.label, "blend_features").fit(
-            blend.where("is_valid = 0"), blend.where("is_valid = 1")
-        )
+        blender = BoostedClassifier(self.blender, self.label, "blend_features", self.metric)
+        self.blend_model = blender.fit(blend.where("is_valid = 0"), blend.where("is_valid = 1"))
         return self
 
     def predict(self, df: DataFrame, out: str = "score") -> DataFrame:

@@ -12,23 +12,26 @@ from pyspark.sql import functions as F
 from starfold.sources import table
 
 
+SOURCES = {
+    "spine": ("customer",),
+    "entbase": ("customer",),
+    "alter": ("orders",),
+    "branch": ("lineitem", "orders"),
+    "invest": ("orders",),
+    "right": ("events",),
+    "project": ("orders",),
+    "lawsuit": ("events",),
+    "breakfaith": ("events",),
+    "recruit": ("orders",),
+}
+
+
+def company_table(spark: SparkSession, folder: str, role: str) -> DataFrame:
+    return globals()[role](*[table(spark, folder, name) for name in SOURCES[role]])
+
+
 def company_star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    customer = table(spark, folder, "customer")
-    orders = table(spark, folder, "orders")
-    lineitem = table(spark, folder, "lineitem")
-    events = table(spark, folder, "events")
-    return {
-        "spine": spine(customer),
-        "entbase": entbase(customer),
-        "alter": alter(orders),
-        "branch": branch(lineitem, orders),
-        "invest": invest(orders),
-        "right": right(events),
-        "project": project(orders),
-        "lawsuit": lawsuit(events),
-        "breakfaith": breakfaith(events),
-        "recruit": recruit(orders),
-    }
+    return {role: company_table(spark, folder, role) for role in SOURCES}
 
 
 def spine(customer: DataFrame) -> DataFrame:
@@ -109,14 +112,18 @@ def invest(orders: DataFrame) -> DataFrame:
     )
 
 
-def _day(c: str, pattern: str = "yyyy-MM-dd"):
-    return F.date_format(c, pattern)
+def _day(c: str) -> Column:
+    return F.col(c).cast("date").cast("string")
 
 
-def _later(pattern: str = "yyyy-MM-dd"):
+def _later() -> Column:
     """A date some years after the event: its value, three days to the unit."""
     days = F.floor(F.col("value") * 3).cast("int")
-    return F.date_format(F.date_add(F.to_date("ts"), days), pattern)
+    return F.date_add(F.col("ts").cast("date"), days).cast("string")
+
+
+def _slashed(c: Column) -> Column:
+    return F.translate(c, "-", "/")
 
 
 def right(events: DataFrame) -> DataFrame:
@@ -150,8 +157,8 @@ def lawsuit(events: DataFrame) -> DataFrame:
 def breakfaith(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("EID"),
-        _later("yyyy/MM/dd").alias("FBDATE"),
-        F.when(F.col("event_type") != "click", _day("ts", "yyyy/MM/dd")).alias("SXENDDATE"),
+        _slashed(_later()).alias("FBDATE"),
+        F.when(F.col("event_type") != "click", _slashed(_day("ts"))).alias("SXENDDATE"),
     )
 
 

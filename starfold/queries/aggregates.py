@@ -20,7 +20,7 @@ def _events(spark, sf):
 
 def _dated(spark, sf):
     """Orders with year and month cut out of a date string."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.col("o_orderdate").cast("date").cast("string")
     return _orders(spark, sf).withColumns(
         {"y": fn.date_piece(day, 1), "m": fn.date_piece(day, 2)}
     )

@@ -232,12 +232,12 @@ def log_bin(spark, sf):
        from o""",
 )
 def date_parts_split(spark, sf):
+    day = F.col("o_orderdate").cast("date").cast("string")
     dates = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("row_id"),
-        *[
-            F.date_format("o_orderdate", p).alias(n)
-            for n, p in (("a", "yyyy-MM-dd"), ("b", "yyyy/MM"), ("c", "yyyy"))
-        ],
+        day.alias("a"),
+        F.translate(F.substring(day, 1, 7), "-", "/").alias("b"),
+        F.substring(day, 1, 4).alias("c"),
     )
     return dates.select(
         "row_id",

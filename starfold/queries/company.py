@@ -261,7 +261,7 @@ def _block_query(block, recipe):
     build = getattr(company, f"{block}_block")
 
     def run(spark, sf):
-        return rounded(build(bindings.company_star(spark, sf)[block], recipe))
+        return rounded(build(bindings.company_table(spark, sf, block), recipe))
 
     run.__doc__ = build.__doc__
     return run
@@ -308,4 +308,4 @@ for _recipe in (BASE, CARRY, WIDE, STACKED):
       from s""",
 )
 def lawsuit_amounts(spark, sf):
-    return rounded(company.lawsuit_amounts(bindings.company_star(spark, sf)["lawsuit"]))
+    return rounded(company.lawsuit_amounts(bindings.company_table(spark, sf, "lawsuit")))

@@ -25,7 +25,8 @@ from starfold.models.stack import fold_mean
 from starfold.operators import exact_folds, stratified_holdout
 from starfold.plans import bindings
 from starfold.plans.documents import document_matrix, feature_names
-from starfold.queries.registry import query, rounded
+from starfold.plans.runs import RUNS, score_companies
+from starfold.queries.registry import QUERIES, query, rounded
 from starfold.session import materialize, scratch_path
 from starfold.sources import (
     STAR_SCHEMAS,
@@ -182,7 +183,7 @@ def features_by_index(spark, sf):
 def _folded(spark, sf):
     frame, _ = _frame(spark, sf)
     labelled = frame.where(F.col("TARGET").isNotNull())
-    return frame, materialize(exact_folds(labelled, "EID", FOLDS), "folds")
+    return frame, materialize(exact_folds(labelled, "EID", FOLDS), "folds", "fold")
 
 
 BASE_MODELS = (_small(MANY_LEAVES), _small(DEPTH_SIX))
@@ -195,6 +196,25 @@ def oof_stack(spark, sf):
     return scores.select("EID", "TARGET", "fold", "score_0", "score_1")
 
 
+def _in_range(column):
+    return F.col(column).between(0, 1).cast("int")
+
+
+@query(
+    "oof_rows",
+    f"""with r as (select doc_id as EID, quality as TARGET, count(*) over () as n,
+                      row_number() over (order by md5(doc_id::varchar || ':2017')) - 1 as k from labels),
+            s as (select EID, TARGET, k, n // {FOLDS} as base, n % {FOLDS} as extra from r)
+       select EID, TARGET, (case when k < extra * (base + 1) then k // (base + 1)
+              else extra + (k - extra * (base + 1)) // base end)::int as fold, 1 as ok_0, 1 as ok_1 from s""",
+)
+def oof_rows(spark, sf):
+    """Every labelled row exactly once, in its fold, with a probability from each base model."""
+    return oof_stack(spark, sf).select(
+        "EID", "TARGET", "fold", _in_range("score_0").alias("ok_0"), _in_range("score_1").alias("ok_1")
+    )
+
+
 @query("fold_mean")
 def mean_over_folds(spark, sf):
     frame, train = _folded(spark, sf)
@@ -209,6 +229,33 @@ def blend(spark, sf):
     return submission(stack.predict(_unlabelled(frame)), 0.34)
 
 
+def _run_query(name):
+    def run(spark, sf):
+        small = RUNS[name].sized(ROUNDS, DEPTH, FOLDS)
+        return score_companies(bindings.company_star(spark, sf), small, "logLoss").submission
+
+    run.__doc__ = f"The {name} run over the bound company tables, with small models."
+    return run
+
+
+for _name in RUNS:
+    query(f"run_{_name}")(_run_query(_name))
+
+
+@query(
+    "run_rows",
+    "select c_custkey as EID, 1 as in_range, 1 as decided from customer where c_nationkey >= 18",
+)
+def run_rows(spark, sf):
+    """Every company without a target scored once by the stacked run, decided by its threshold."""
+    scored = QUERIES["run_stacked"](spark, sf)
+    p = F.col("PROB").cast("double")
+    decided = F.col("FORTARGET") == (p > RUNS["stacked"].threshold).cast("int")
+    return scored.select(
+        "EID", p.between(0, 1).cast("int").alias("in_range"), decided.cast("int").alias("decided")
+    )
+
+
 SUBMISSION_SQL = f"""with f as (select user_id as EID, round_even(arg_min(value, event_id) / 500, 8) as p
     from events group by 1)
   select EID, (p > {THRESHOLD})::int as FORTARGET, p::varchar as PROB from f"""

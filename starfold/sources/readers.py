@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.sources.schemas import STAR_FILES, STAR_SCHEMAS
+from starfold.sources.schemas import STAR_FILES, STAR_SCHEMAS, TABLE_SCHEMAS
 
 
 def read_csv(
@@ -50,7 +50,7 @@ def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType | No
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{folder.rstrip('/')}/{name}.parquet", TABLE_SCHEMAS.get(name))
 
 
 def read_star(spark: SparkSession, folder: str, row_key: str = "row_id") -> dict[str, DataFrame]:

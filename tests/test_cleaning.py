@@ -21,11 +21,11 @@ def column(df, c):
 
 def test_amount_unit_is_cut_not_scaled(spark):
     df = spark.createDataFrame(
-        [(1, "100万元"), (2, "250.5"), (3, "abc"), (4, None), (5, "nan"), (6, "1万元x"), (7, "")],
+        [(1, "100万元"), (2, "250.5"), (3, "abc"), (4, None), (5, "nan"), (6, "1万元x"), (7, ""), (8, "1.0d"), (9, " -1.5e2 ")],
         "EID int, a string",
     ).coalesce(1)
-    assert column(df, fn.parse_amount("a")) == [100.0, 250.5, None, None, None, None, None]
-    assert reject_count(df, "a", fn.parse_amount("a")).first()[0] == 4
+    assert column(df, fn.parse_amount("a")) == [100.0, 250.5, None, None, None, None, None, None, -150.0]
+    assert reject_count(df, "a", fn.parse_amount("a")).first()[0] == 5
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         df.select(fn.parse_amount("a", strict=True)).collect()
 
