@@ -8,6 +8,7 @@ from starfold.functions.aggregates import (  # noqa: F401
     dummy_name,
     earliest,
     exact_mean,
+    exact_sum,
     exact_total,
     flag_rate,
     latest,

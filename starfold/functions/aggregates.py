@@ -13,18 +13,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_total(c: Column | str, precision: int = 18, scale: int = 2) -> Column:
-    """Sum of money as double: added in decimal, so the result does not depend on row order.
+def exact_sum(c: Column | str, scale: int = 2) -> Column:
+    """Sum as a decimal, rounded per row to ``scale`` places; NULL for an all-null group.
 
-    An all-null group gives 0.
+    Rows are added as whole numbers, high and low bits apart, so the sum does not depend on row
+    order, cannot overflow in a group of any real size, and stays in long registers. A decimal
+    sum would allocate for every row.
     """
-    total = F.sum(_col(c).cast(f"decimal({precision},{scale})"))
-    return F.coalesce(total.cast("double"), F.lit(0.0))
+    units = F.rint(_col(c) * F.lit(float(10**scale))).cast("bigint")
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(20,0)")
+    return _units(high, low, scale)
 
 
-def exact_mean(c: Column | str, precision: int = 18, scale: int = 2) -> Column:
+def _units(high: Column, low: Column, scale: int) -> Column:
+    total = high * F.lit(1 << 20).cast("decimal(7,0)") + low
+    step = F.lit(f"{10 ** -scale:.{scale}f}").cast(f"decimal({scale + 1},{scale})")
+    return total * step
+
+
+def exact_total(c: Column | str, scale: int = 2) -> Column:
+    """Sum of money as double, 0 for an all-null group."""
+    return F.coalesce(exact_sum(c, scale).cast("double"), F.lit(0.0))
+
+
+def exact_mean(c: Column | str, scale: int = 2) -> Column:
     """Mean of money over the non-null rows, NULL for an all-null group."""
-    total = F.sum(_col(c).cast(f"decimal({precision},{scale})")).cast("double")
+    total = exact_sum(c, scale).cast("double")
     return F.try_divide(total, F.count(_col(c)).cast("double"))
 
 

@@ -82,11 +82,11 @@ def alter(orders: DataFrame) -> DataFrame:
 
 def branch(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     # Order lines repeat (order, line number); with part and supplier the number is unique.
-    parts = [("l_orderkey", "1"), ("l_linenumber", "100"), ("l_partkey", "1000000000000"),
-             ("l_suppkey", "1000000000")]
-    row_id = F.lit(0).cast("decimal(38,0)")
-    for name, step in parts:
-        row_id = (row_id * F.lit(step).cast("decimal(13,0)") + F.col(name)).cast("decimal(38,0)")
+    line = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("decimal(15,0)")
+    part = line * F.lit("1000000000000").cast("decimal(13,0)") + F.col("l_partkey").cast("decimal(12,0)")
+    row_id = part.cast("decimal(27,0)") * F.lit("10000000000").cast("decimal(11,0)") + F.col(
+        "l_suppkey"
+    ).cast("decimal(10,0)")
     flag = F.col("l_returnflag")
     lines = lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"),

@@ -241,9 +241,9 @@ def invest_block(invest: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Shares held, home share, share of ended investments and the last investment year."""
     ended = fn.fill_from("BTENDYEAR", "BTYEAR") > F.col("BTYEAR")
     features = {
-        "BTBL_SUM": fn.exact_total("BTBL", 28, 10),
+        "BTBL_SUM": fn.exact_total("BTBL", 8),
         "BTBL_COUNT": fn.present("BTBL"),
-        "BTBL_RATIO": fn.exact_mean("BTBL", 28, 10),
+        "BTBL_RATIO": fn.exact_mean("BTBL", 8),
         "invest_home_prob": fn.flag_rate("IFHOME"),
         recipe.invest_life: fn.flag_rate(fn.flag(ended)),
         "BTYEAR": fn.latest("BTYEAR"),

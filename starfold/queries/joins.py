@@ -178,7 +178,7 @@ def star_assembly(spark, sf):
         {
             "lines": fn.row_count(),
             "returned": F.count_if(F.col("l_returnflag") == "R"),
-            "price": F.sum(F.col("l_extendedprice").cast("decimal(18,2)")),
+            "price": fn.exact_sum("l_extendedprice"),
             "top": fn.biggest("l_quantity"),
         },
         key="o_orderkey",
