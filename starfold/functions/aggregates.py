@@ -88,16 +88,20 @@ def year_span(c: Column | str) -> Column:
     return F.max(_col(c)) - F.min(_col(c))
 
 
-def order_key(year: Column | str, month: Column | str, tiebreak: Column | str) -> Column:
-    """(year, month, whole-number tie-break) packed into one decimal.
+def order_key(
+    year: Column | str, month: Column | str, tiebreak: Column | str, digits: int = 19
+) -> Column:
+    """(year, month, whole-number tie-break of up to ``digits`` digits) packed into one decimal.
 
     A decimal fits a fixed-width aggregation buffer, so ``max_by`` on it runs as a hash
     aggregate. Ordering by a struct would sort every input row instead.
     """
+    if digits > 28:
+        raise ValueError("at most 28 digits fit beside year and month")
     when = (_col(year).cast("int") * 100 + _col(month).cast("int")).cast("decimal(8,0)")
-    # More than the 2**64 values a long can take, so the tie-break never reaches the next month.
-    step = F.lit("20000000000000000000").cast("decimal(20,0)")
-    return when * step + _col(tiebreak).cast("decimal(19,0)")
+    # Twice the range of the tie-break, so a negative one never reaches the month before.
+    step = F.lit("2" + "0" * digits).cast(f"decimal({digits + 1},0)")
+    return when * step + _col(tiebreak).cast(f"decimal({digits},0)")
 
 
 def carry_latest(c: Column | str, order: Column) -> Column:

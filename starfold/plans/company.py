@@ -181,9 +181,12 @@ def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id")
 
 
 def _order(df: DataFrame, order: str):
-    """Latest (year, month) row, ties by ``order``: packed when the tie-break is a whole number."""
-    if df.schema[order].dataType.typeName() in ("integer", "long"):
+    """Latest (year, month) row, ties by ``order``: packed when that is a whole number."""
+    kind = df.schema[order].dataType
+    if kind.typeName() in ("integer", "long"):
         return fn.order_key("_y", "_m", order)
+    if kind.typeName() == "decimal" and kind.scale == 0 and kind.precision <= 28:
+        return fn.order_key("_y", "_m", order, kind.precision)
     return F.struct("_ym", order)
 
 

@@ -22,7 +22,7 @@ from starfold.models import (
     top_features,
 )
 from starfold.models.stack import fold_mean
-from starfold.operators import exact_folds, stratified_holdout
+from starfold.operators import base_rate, exact_folds, stratified_holdout
 from starfold.plans import bindings
 from starfold.plans.documents import document_matrix, feature_names
 from starfold.plans.runs import RUNS, score_companies
@@ -281,6 +281,16 @@ def scored_csv(spark, sf):
     return read_csv(spark, path, "EID long, FORTARGET int, PROB string")
 
 
+@query(
+    "submission_profile",
+    f"""with s as ({SUBMISSION_SQL})
+        select count(*) as rows, count(*) filter (where FORTARGET = 1) as positives,
+               (count(*) filter (where FORTARGET = 1))::double / count(*) as positive_rate from s""",
+)
+def submission_profile(spark, sf):
+    return base_rate(_fixed_scores(spark, sf), "FORTARGET")
+
+
 @query("write_importance")
 def importance_csv(spark, sf):
     path = scratch_path(spark, "importance")

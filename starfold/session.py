@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "starfold", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on. ``conf`` keys use ``__`` for dots."""
@@ -35,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="starfold-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="starfold-")
+    return _LOCAL[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

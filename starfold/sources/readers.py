@@ -29,16 +29,29 @@ def read_csv(
     if other:
         known = {f.name for f in declared}
         columns += [
-            _cast(F.col(f"`{c}`"), other, strict).alias(c) for c in raw.columns if c not in known
+            _typed(c, T.StructType.fromDDL(f"c {other}")[0].dataType, strict).alias(c)
+            for c in raw.columns
+            if c not in known
         ]
     if row_key:
-        place = F.struct(
-            "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
-        )
-        columns.append(place.alias(row_key))
+        columns.append(_file_order(raw).alias(row_key))
     return raw.select(*columns)
 
 
+def _file_order(raw: DataFrame) -> Column:
+    """A key that sorts rows as they stand in the input, without numbering them in one task.
+
+    Rows of one task are counted in order, and the block's offset orders the tasks. For a single
+    file both fit one decimal; several files need their path in front.
+    """
+    start, within = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    if len(raw.inputFiles()) > 1:
+        return F.struct("_metadata.file_path", start.alias("start"), within.alias("row"))
+    row = within.bitwiseAND(F.lit((1 << 33) - 1))
+    block = start.cast("decimal(16,0)") * F.lit(1 << 33).cast("decimal(10,0)")
+    return (block + row.cast("decimal(10,0)")).cast("decimal(26,0)")
+
+
 def reject_count(raw: DataFrame, column: str, parsed: Column) -> DataFrame:
     """Rows whose text is present but does not parse."""
     return raw.agg(F.count_if(F.col(column).isNotNull() & parsed.isNull()).alias("rejects"))
@@ -77,9 +90,16 @@ def _fields(schema: str | T.StructType | None) -> list[T.StructField]:
 
 def _typed(name: str, kind: T.DataType, strict: bool) -> Column:
     text = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return text
     if isinstance(kind, T.IntegerType):
-        return _cast(_cast(text, "double", strict), "int", strict)
-    return text if isinstance(kind, T.StringType) else _cast(text, kind, strict)
+        return _cast(_number(text, strict), "int", strict)
+    return _number(text, strict) if isinstance(kind, T.DoubleType) else _cast(text, kind, strict)
+
+
+def _number(text: Column, strict: bool) -> Column:
+    """Text as double, with "nan" read as missing."""
+    return F.nanvl(_cast(text, "double", strict), F.lit(None))
 
 
 def _cast(c: Column, kind, strict: bool) -> Column:

@@ -1,9 +1,13 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from starfold.models import feature_map
+from starfold.plans.company import WIDE, alter_block
 from starfold.sources import (
     STAR_FILES,
+    STAR_SCHEMAS,
     read_csv,
     read_star,
     write_feature_map,
@@ -18,7 +22,7 @@ def put(folder, name, text):
 
 
 def test_csv_is_matched_by_name(spark, tmp_path):
-    path = put(tmp_path, "a.csv", "B_ENDYEAR,EID,extra,note\n2015.0,1,2.5,x\n,2,,y\nbad,3,1,z\n")
+    path = put(tmp_path, "a.csv", "B_ENDYEAR,EID,extra,note\n2015.0,1,2.5,x\n,2,nan,y\nbad,3,1,z\n")
     df = read_csv(spark, path, "EID long, B_ENDYEAR int", other="double")
     assert df.dtypes == [("EID", "bigint"), ("B_ENDYEAR", "int"), ("extra", "double"), ("note", "double")]
     assert sorted(map(tuple, df.collect())) == [(1, 2015, 2.5, None), (2, None, None, None), (3, None, 1.0, None)]
@@ -40,6 +44,21 @@ def test_row_key_follows_the_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_row_key_over_several_files(spark, tmp_path):
+    for part in range(3):
+        put(tmp_path, f"part-{part}.csv", "EID,v\n" + "".join(f"1,{part * 10 + i}\n" for i in range(10)))
+    df = read_csv(spark, str(tmp_path), "EID long, v int", row_key="row_id")
+    assert [r.v for r in df.repartition(5).orderBy("row_id").collect()] == list(range(30))
+
+
+def test_single_file_key_keeps_hash_aggregation(spark, tmp_path):
+    text = "EID,ALTERNO,ALTDATE,ALTBE,ALTAF\n1,a,2014-05,1,2\n1,b,2014-05,3,9\n1,a,2013-12,0,0\n"
+    df = read_csv(spark, put(tmp_path, "alter.csv", text), STAR_SCHEMAS["alter"], row_key="row_id")
+    block = alter_block(df, WIDE)
+    assert "SortAggregate" not in block._jdf.queryExecution().executedPlan().toString()
+    assert block.first().ALTAF_ALTBE == pytest.approx(math.log1p(9 - 3))
+
+
 def test_star_reader_finds_all_tables(spark, tmp_path):
     heads = {
         "train": "EID,TARGET\n1,1\n", "test": "EID\n2\n", "entbase": "EID,ZCZB,ETYPE,FINZB,TZINUM,HY\n1,5,2,,1,9\n",
