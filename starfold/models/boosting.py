@@ -23,7 +23,8 @@ class BoostSettings:
 
     ``leaves`` sets the depth when ``depth`` is not given: trees here grow level by level, so a
     tree of 128 leaves is one of depth 7. ``patience`` is the number of rounds without a better
-    validation metric after which later rounds are discarded.
+    validation metric after which later rounds are discarded. With ``tolerance`` training itself
+    stops as soon as a round improves the validation loss by no more than that share.
     """
 
     rounds: int = 100
@@ -35,6 +36,7 @@ class BoostSettings:
     min_leaf_rows: int = 1
     min_split_gain: float = 0.0
     patience: int = 50
+    tolerance: float | None = None
     max_bins: int = 32
     seed: int = 2017
 
@@ -177,12 +179,25 @@ class BoostedClassifier:
         self._model: GBTClassificationModel | None = None
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> BoostedClassifier:
-        """Train on ``train``; with ``valid``, keep the rounds up to its best metric."""
+        """Train on ``train``; with ``valid``, keep the rounds up to its best metric.
+
+        Patience needs all rounds trained before it can look back; a tolerance saves the rounds
+        after the stop, which matters when each round is a pass over a large table.
+        """
         context = train.sparkSession.sparkContext
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(shared_dir(train.sparkSession))
         columns = [self.features, F.col(self.label).cast("double").alias(self.label)]
-        model = self.settings.estimator(self.features, self.label).fit(train.select(*columns))
+        estimator = self.settings.estimator(self.features, self.label)
+        rows = train.select(*columns)
+        if valid is not None and self.settings.tolerance is not None:
+            estimator.setParams(
+                validationIndicatorCol="_valid", validationTol=self.settings.tolerance
+            )
+            held = valid.select(*columns, F.lit(True).alias("_valid"))
+            self._model = estimator.fit(rows.withColumn("_valid", F.lit(False)).unionByName(held))
+            return self
+        model = estimator.fit(rows)
         if valid is not None:
             patience = self.settings.patience
             self.history = round_metrics(

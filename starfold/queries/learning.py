@@ -106,6 +106,13 @@ def gbt_few_leaves(spark, sf):
     return model.predict(_unlabelled(frame)).select("EID", "score")
 
 
+@query("gbt_tolerance_stop")
+def gbt_tolerance_stop(spark, sf):
+    """Training that stops by itself once the held-out loss stops improving."""
+    frame, _, _, model = _fit(spark, sf, MANY_LEAVES.with_(tolerance=0.01))
+    return model.predict(_unlabelled(frame)).select("EID", "score")
+
+
 @query("score_submission")
 def score_submission(spark, sf):
     frame, _, _, model = _fit(spark, sf)

@@ -135,6 +135,14 @@ def test_patience_ends_the_history_early(rows):
         assert best_round(short, patience, True) == best_round(full, patience, True)
 
 
+def test_tolerance_stops_training(rows):
+    train, held = rows.where("fold > 0"), rows.where("fold = 0")
+    eager = BoostedClassifier(SMALL.with_(rounds=20, tolerance=0.5)).fit(train, held)
+    strict = BoostedClassifier(SMALL.with_(rounds=20, tolerance=0.0)).fit(train, held)
+    assert eager.get_model().getNumTrees < strict.get_model().getNumTrees
+    assert area_under_roc(strict.predict(held), "TARGET", "score") > 0.7
+
+
 def test_split_importance_counts_the_printed_splits(fitted):
     model = fitted.get_model()
     used = [int(i) for i in re.findall(r"If \(feature (\d+)", model.toDebugString)]
