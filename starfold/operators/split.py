@@ -90,8 +90,9 @@ def _cut_hashes(
     """Map stratum -> hashes sitting at the wanted 1-based ranks, as a scalar subquery.
 
     ``wanted`` is an array over ``_n`` (rows in the stratum) and ``_s`` (its name); ranks below 1
-    give no cut. Keys must be unique. The bucket table has at most 2**bits rows per stratum, and
-    the one bucket ranked per cut holds about n / 2**bits rows.
+    give no cut. The bucket table has at most 2**bits rows per stratum, and the one bucket ranked
+    per cut holds about n / 2**bits keys. Copies of a key are counted together before the ranking;
+    they stay on one side of the cut, so counts are exact when keys are unique.
     """
     h = hash_text(key, seed)
     bucket = F.shiftright(_number(h, 8), 32 - bits)
@@ -108,7 +109,9 @@ def _cut_hashes(
     )
     # One row per (stratum, wanted rank): bounded by the caller's parameters, not by the data.
     near = hashed.join(F.broadcast(totals), ["_s", "_b"])
-    place = F.row_number().over(Window.partitionBy("_s", "_i").orderBy("_h"))
-    found = near.withColumn("_place", place).where(F.col("_place") == F.col("_local"))
+    copies = near.groupBy("_s", "_i", "_local", "_h").agg(F.count(F.lit(1)).alias("_m"))
+    place = F.sum("_m").over(Window.partitionBy("_s", "_i").orderBy("_h"))
+    reached = copies.withColumn("_place", place).where(F.col("_place") >= F.col("_local"))
+    found = reached.where(F.col("_place") - F.col("_m") < F.col("_local"))
     grouped = found.groupBy("_s").agg(F.sort_array(F.collect_list("_h")).alias("_cuts"))
     return grouped.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_cuts")))).scalar()

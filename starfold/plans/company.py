@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,17 +129,25 @@ def _values(recipe: Recipe, column: str, discover) -> Sequence:
 
 
 def pin_values(tables: Mapping[str, DataFrame], recipe: Recipe, order: str = "row_id") -> Recipe:
-    """The recipe with its categories read once, so later data gets the same feature columns."""
+    """The recipe with its categories read once, so later data gets the same feature columns.
+
+    The columns not pinned yet are read side by side.
+    """
     entbase = tables["entbase"]
     if recipe.capital_limit is not None:
         entbase = entbase.where(F.col("ZCZB") < recipe.capital_limit)
-    found = {
-        "ETYPE": _types(entbase, recipe),
-        "ALTERNO": first_seen_values(tables["alter"], "ALTERNO", order),
-        "RIGHTTYPE": vocabulary(tables["right"], "RIGHTTYPE"),
-        "WZCODE": vocabulary(tables["recruit"], "WZCODE"),
+    readers = {
+        "ETYPE": lambda: _types(entbase, recipe),
+        "ALTERNO": lambda: first_seen_values(tables["alter"], "ALTERNO", order),
+        "RIGHTTYPE": lambda: vocabulary(tables["right"], "RIGHTTYPE"),
+        "WZCODE": lambda: vocabulary(tables["recruit"], "WZCODE"),
     }
-    return replace(recipe, values=found | dict(recipe.values))
+    missing = [c for c in readers if c not in recipe.values]
+    if not missing:
+        return recipe
+    with ThreadPool(len(missing)) as pool:
+        found = pool.map(lambda c: readers[c](), missing)
+    return replace(recipe, values=dict(recipe.values) | dict(zip(missing, found)))
 
 
 def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id") -> DataFrame:
@@ -327,6 +336,7 @@ def company_matrix(
 
     ``tables["spine"]`` holds EID and TARGET, with a NULL target for companies to be scored.
     """
+    recipe = pin_values(tables, recipe)
     blocks = [
         entbase_block(tables["entbase"], recipe, helper=recipe.money == "log"),
         alter_block(tables["alter"], recipe),

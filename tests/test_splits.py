@@ -58,6 +58,16 @@ def test_exact_folds_differ_by_one_row(spark, n):
     assert order == sorted(order)
 
 
+def test_copies_of_a_key_stay_together(spark):
+    ids = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("EID"))
+    for out, df in (
+        ("is_valid", exact_split(ids, "EID", 0.3, 10000, bits=4)),
+        ("fold", exact_folds(ids, "EID", 4, bits=4)),
+    ):
+        assert df.count() == 3000
+        assert df.groupBy("EID").agg(F.count_distinct(out).alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 def test_hash_folds_do_not_depend_on_partitioning(spark):
     ids = spark.range(2000).withColumnRenamed("id", "EID")
     one = {r.EID: r.fold for r in ids.coalesce(1).withColumn("fold", hash_fold("EID", 8)).collect()}
