@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import simhash
+from starfold.llm import linehash, simhash
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,29 @@ def query(function):
 def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    kept = linehash.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_dedup"] = r"""
+with lines as (
+    select doc_id, pos, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+    from (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as pos
+          from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents))
+), held as (
+    select line_key, min(doc_id) as first_doc from lines where length(line_key) >= 10
+    group by line_key having count(distinct doc_id) > 1
+), marked as (
+    select l.doc_id, l.pos, l.line, coalesce(h.first_doc <> l.doc_id, false) as dropped
+    from lines l left join held h on l.line_key = h.line_key
+)
+select doc_id, count(*) as n_lines, cast(count(*) filter (where dropped) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
+from marked group by doc_id
+"""
