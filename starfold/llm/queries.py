@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import decontam, linehash, simhash
+from starfold.llm import bpe, decontam, linehash, simhash
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,13 @@ from marked group by doc_id
 @query
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op1_byte_bpe(spark, sf_dir):
+    ranks = bpe.read_ranks(RANKS)
+    pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(pieces, ranks, public_tokenizers.PATTERN), len(ranks.splitlines()))
