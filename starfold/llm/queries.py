@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, decontam, linehash, simhash
+from starfold.llm import bpe, cotrain, decontam, linehash, simhash
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op1_byte_bpe(spark, sf_dir):
     ranks = bpe.read_ranks(RANKS)
     pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(pieces, ranks, public_tokenizers.PATTERN), len(ranks.splitlines()))
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    scored = cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "content_p", "metadata_p", "reject_p", "kept")
