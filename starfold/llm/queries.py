@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, cotrain, decontam, linehash, simhash
+from starfold.llm import bpe, cotrain, decontam, linehash, simhash, urls
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,38 @@ def op1_byte_bpe(spark, sf_dir):
 def op3_quality_classifier(spark, sf_dir):
     scored = cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "content_p", "metadata_p", "reject_p", "kept")
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    """The list holds the URLs that were fetched by a referral link; other pages of that URL go too."""
+    pages = table(spark, sf_dir, "pages")
+    referred = pages.where(F.col("url").rlike(r"[?&]ref=")).select("url")
+    return urls.judge(pages.select("page_id", "url"), referred)
+
+
+ORACLES["op5_url_filter"] = r"""
+with cutoff as (
+    select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest
+    from pages
+), parts as (
+    select page_id, url,
+           translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from cutoff
+), canon as (
+    select *, regexp_replace(host, '^www\.', '') || rtrim(path, '/') as canonical,
+           case when ('.' || host) like '%.example.org' and path like '/en/1%' then 'example.org/en/1'
+                when ('.' || host) like '%.example.org' and path like '/es/%' then 'example.org/es/'
+                when ('.' || host) like '%.com' and path like '/fr/%' then 'com/fr/'
+                when ('.' || host) like '%.com' and path like '/de/%' then 'com/de/'
+                when ('.' || host) like '%.org' and path like '/%' then 'org/' end as rule
+    from parts
+), listed as (
+    select distinct canonical from canon where canonical <> '' and regexp_matches(url, '[?&]ref=')
+)
+select page_id, host, path, rule,
+       case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+            when canonical in (select canonical from listed) then 'block' else 'allow' end as verdict
+from canon
+"""
