@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, cotrain, decontam, linehash, simhash, urls
+from starfold.llm import bpe, cotrain, decontam, licenses, linehash, simhash, urls
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,20 @@ select page_id, host, path, rule,
             when canonical in (select canonical from listed) then 'block' else 'allow' end as verdict
 from canon
 """
+
+
+@query
+def op8_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct("places.label"))
+    both = F.array_sort(F.array_union("places.label", "blocks.label"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.start").alias("first_word"),
+        F.array_max("places.start").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(both, ",").alias("labels"),
+        F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)).alias("score"),
+    )
