@@ -156,8 +156,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text"))
 
     # 1. places of the prefix words; the text itself does not travel
-    lead = F.col("text").rlike("^" + NOT_WORD).cast("int").alias("lead")
-    word_rows = rows.select("doc_id", lead, F.posexplode(_pieces(F.col("text"))).alias("pos", "w"))
+    split = rows.select("doc_id", _pieces(F.col("text")).alias("pieces"))
+    split = split.select("doc_id", (F.col("pieces")[0] == "").cast("int").alias("lead"), "pieces")
+    # outer, because a plain explode makes Spark split each text once more to test for emptiness
+    word_rows = split.select("doc_id", "lead", F.posexplode_outer("pieces").alias("pos", "w"))
     placed = word_rows.select("doc_id", (F.col("pos") - F.col("lead")).alias("pos"), F.xxhash64("w").alias("word"))
     hits = placed.join(small_enough(prefix, n_prefix, 64), "word")
     hits = hits.select("doc_id", "item_id", "n_words", "hash", (F.col("pos") - F.col("back")).alias("at"))
