@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, cotrain, decontam, licenses, linehash, pivots, simhash, urls
+from starfold.llm import bpe, cotrain, decontam, hmm, licenses, linehash, pivots, simhash, urls
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op8_license_scan(spark, sf_dir):
 @query
 def op10_embedding_near_dedup(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op6_hmm_scoring(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
