@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, cotrain, decontam, hmm, licenses, linehash, pivots, simhash, urls
+from starfold.llm import bpe, cotrain, decontam, hmm, licenses, linehash, pivots, simhash, suffix, urls
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,16 @@ def op10_embedding_near_dedup(spark, sf_dir):
 @query
 def op6_hmm_scoring(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
