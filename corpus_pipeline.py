@@ -23,14 +23,12 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = cotrain.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("kept").select(*_names(docs))
+    return cotrain.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linehash.dedup_lines(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", n_chars).select(*_names(docs))
+    return linehash.dedup_lines(docs, counts=False).withColumn("n_chars", n_chars)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +64,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
-
-def _names(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]

@@ -25,14 +25,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import bound_batches, cut, map_batches
+from starfold.llm.common import cut, map_batches
 
 SAMPLE_ROWS = 20_000
 VOCABULARY = 4096
 LEAST_DOCS = 5
+SURE_GAIN = 8.0
+LEAST_TOKENS = 64
 HOLD_OUT = 5
 ROUNDS = 3
 SURE = 0.97
+PENALTY = 0.3
 REJECT_AT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOLS = re.compile(r"[^\w\s.,]+|[.,]{2,}")
@@ -149,7 +152,10 @@ def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
 
 
 def vocabulary(labelled: DataFrame, view: str, size: int = VOCABULARY) -> list[str]:
-    """The tokens that tell most about y, by the log-likelihood ratio of presence against class."""
+    """The tokens that tell most about y, by the log-likelihood ratio of presence against class.
+
+    Tokens below ``SURE_GAIN`` may differ by chance and are left out, but for the first ``LEAST_TOKENS``.
+    """
     n, bad = labelled.agg(F.count("*"), F.sum("y")).first()
     counts = labelled.select(F.explode(view).alias("token"), "y").groupBy("token")
     counts = counts.agg(F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("k"))
@@ -166,7 +172,8 @@ def vocabulary(labelled: DataFrame, view: str, size: int = VOCABULARY) -> list[s
         + term(bad - k, (n - df) * rate)
         + term(n - df - bad + k, (n - df) * (1 - rate))
     )
-    return [r.token for r in counts.orderBy(gain.desc(), "token").limit(size).select("token").collect()]
+    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "token").limit(size).collect()
+    return [r.token for i, r in enumerate(best) if i < LEAST_TOKENS or r.gain >= SURE_GAIN]
 
 
 def _vectors(rows: DataFrame, view: str, words: list[str]) -> DataFrame:
@@ -174,9 +181,9 @@ def _vectors(rows: DataFrame, view: str, words: list[str]) -> DataFrame:
     return model.setBinary(True).transform(rows)
 
 
-def _fit(rows: DataFrame, view: str, words: list[str]):
+def _fit(rows: DataFrame, view: str):
     learner = LogisticRegression(
-        featuresCol=f"{view}_v", labelCol="label", maxIter=30, regParam=1e-4, standardization=False, rawPredictionCol="raw"
+        featuresCol=f"{view}_v", labelCol="label", maxIter=30, regParam=PENALTY / rows.count(), standardization=False, rawPredictionCol="raw"
     )
     return learner.fit(rows.select(f"{view}_v", F.col("label").cast("double")))
 
@@ -201,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int
             own = data.where("kind = 'train'").select(f"{v}_v", F.col("y").alias("label"))
             if pseudo[v] is not None:
                 own = own.unionByName(data.join(pseudo[v], "doc_id").select(f"{v}_v", "label"))
-            models[v] = _fit(own, v, words[v])
+            models[v] = _fit(own, v)
             margins = models[v].transform(margins).withColumn(f"{v}_m", vector_to_array("raw")[1])
             margins = margins.drop("raw", "probability", "prediction")
         held = margins.where("kind = 'held'").select("y", "content_m", "metadata_m").toPandas()
@@ -229,38 +236,51 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int
     return Model(*views, tuple(map(float, both)))
 
 
-def score(docs: DataFrame, model: Model | None, reject_at: float = REJECT_AT) -> DataFrame:
-    """The documents with content_p, metadata_p, reject_p (probabilities of rejection) and ``kept``.
+SCORES = ("content_p", "metadata_p", "reject_p")
 
-    Every row is scored on its whole text, with null text as empty and null source or language as a
-    value of its own. Without a model the probabilities are null and every row is kept. Columns of
-    the input with these names are replaced; others are handed on whatever their names.
-    """
-    names = ("content_p", "metadata_p", "reject_p")
-    wanted = [c for c in docs.columns if c not in (*names, "kept")]
-    if model is None:
-        empty = [F.lit(None).cast("double").alias(n) for n in names]
-        return docs.select(*[F.col(f"`{c}`") for c in wanted], *empty, F.lit(True).alias("kept"))
+
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, content_p, metadata_p, reject_p) with the input's columns inside ``row``."""
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in wanted]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
     )
+    if model is None:
+        return rows.select("row", *[F.lit(None).cast("double").alias(n) for n in SCORES])
 
     def run(batch):
         columns = [batch.column(c).to_pylist() for c in ("source", "lang", "text")]
         found = [model.scores(*x) for x in zip(*columns)]
         arrays = [pa.array(x, pa.float64()) for x in zip(*found)]
-        yield pa.record_batch([batch.column("row"), *arrays], names=["row", *names])
+        yield pa.record_batch([batch.column("row"), *arrays], names=["row", *SCORES])
 
     schema = rows.select("row").schema
-    for n in names:
+    for n in SCORES:
         schema = schema.add(n, "double")
-    bound_batches(docs.sparkSession)
-    scored = map_batches(rows, run, schema)
-    back = [F.col("row").getField(c).alias(c) for c in wanted]
-    return scored.select(*back, *names, (F.col("reject_p") < reject_at).alias("kept"))
+    return map_batches(rows, run, schema)
+
+
+def _accepted(reject_at: float):
+    return F.coalesce(F.col("reject_p") < reject_at, F.lit(True))
+
+
+def score(docs: DataFrame, model: Model | None, reject_at: float = REJECT_AT) -> DataFrame:
+    """The documents with content_p, metadata_p, reject_p (probabilities of rejection) and ``kept``.
+
+    Every row is scored on its whole text, with null text as empty and null source or language as a
+    value of its own. Without a model the probabilities are null and every row is kept. Columns of
+    the input with these names are replaced; others are handed on whatever their names.
+    """
+    back = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (*SCORES, "kept")]
+    return _scored(docs, model).select(*back, *SCORES, _accepted(reject_at).alias("kept"))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
+    """Pipeline stage: the documents that the fitted model does not reject, with their columns."""
+    rows = _scored(docs, fit(docs, labels)).where(_accepted(reject_at))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -171,9 +171,11 @@ def _probe(batches):
                 yield pa.record_batch([pa.array(doc[gone]), pa.array(h1[gone])], names=["doc_id", "h1"])
 
 
-def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, counts: bool = True) -> DataFrame:
     """The documents with repeated lines dropped, plus ``n_lines`` (before) and ``n_dropped``.
 
+    Without ``counts`` the result has the input's columns only.
+
     A line's key is its text stripped of ASCII white space at both ends, A-Z lower-cased. Keys of
     ``min_points`` code points or more that occur in two or more documents keep their lines only in
     the smallest ``doc_id`` holding them; all other lines stay, joined by line feeds. Null or empty
@@ -212,7 +214,8 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     gone = routed.mapInArrow(_probe, "doc_id long, h1 long").groupBy("doc_id")
     gone = gone.agg(F.collect_list("h1").alias("gone")).withColumnRenamed("doc_id", "gone_id")
 
-    wanted = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    added = ("n_lines", "n_dropped") if counts else ()
+    wanted = [c for c in docs.columns if c not in added]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in wanted if c != "text"]).alias("row"),
         F.col("doc_id").cast("long").alias("id"),
@@ -236,7 +239,7 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     schema = rows.select("row", "text").schema.add("n_lines", "long").add("n_dropped", "long")
     kept = map_batches(rows.select("row", "id", "text", "gone"), rebuild, schema)
     back = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in wanted]
-    return kept.select(*back, "n_lines", "n_dropped")
+    return kept.select(*back, *added)
 
 
 def _lines_out(keys: list, lost: set, hot: Arrays, doc: int) -> set[int]:

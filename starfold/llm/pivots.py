@@ -129,15 +129,15 @@ def _groups(batches, keys: list[str]):
         yield rest
 
 
-def verify(vectors, ids, own, p: int, q: int, similarity: float = SIMILARITY, shared: int = SHARED) -> np.ndarray:
-    """Boolean matrix of the links that belong to this cell of the list (p, q)."""
+def verify(vectors, ids, own, p: int, q: int, across: bool, similarity: float = SIMILARITY, shared: int = SHARED) -> np.ndarray:
+    """Boolean matrix of the links that belong to this cell of the list (p, q); ``across``: of two blocks."""
     unit = _unit(vectors)
     values, position = np.unique(ids, return_inverse=True)
     hot = np.zeros((len(ids), len(values)), np.float32)
     hot[np.arange(len(ids))[:, None], position.reshape(ids.shape)] = 1
     below = hot[:, (values < q) & (values != p)]
     links = (unit @ unit.T >= similarity) & (hot @ hot.T >= shared) & (below @ below.T == 0)
-    if own.min() != own.max():
+    if across:
         links &= own[:, None] != own[None]
     np.fill_diagonal(links, False)
     return links
@@ -170,8 +170,8 @@ def cell_links(cells: DataFrame, similarity: float = SIMILARITY, shared: int = S
             vectors = np.stack(_rows(group.column("vector")))
             ids = np.stack(_rows(group.column("ids"))).astype(np.int64)
             reps, copies, own = (group.column(c).to_numpy() for c in ("rep", "copies", "own"))
-            p, q = (int(group.column(c)[0].as_py()) for c in ("p", "q"))
-            links = verify(vectors, ids, own, p, q, similarity, shared)
+            p, q, a, b = (int(group.column(c)[0].as_py()) for c in ("p", "q", "a", "b"))
+            links = verify(vectors, ids, own, p, q, a != b, similarity, shared)
             any_link = links.any(axis=1)
             if any_link.any():
                 roots = _stars(links, reps)

@@ -143,5 +143,5 @@ def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: in
     """
     groups = near_duplicates(docs, shingle_words, max_bits)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
