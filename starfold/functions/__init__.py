@@ -1,5 +1,4 @@
 from starfold.functions.aggregates import (  # noqa: F401
-    any_row,
     biggest,
     carry_first,
     carry_latest,
@@ -7,9 +6,6 @@ from starfold.functions.aggregates import (  # noqa: F401
     category_shares,
     dummy_name,
     earliest,
-    exact_mean,
-    exact_sum,
-    exact_total,
     flag_rate,
     latest,
     mean_of,
@@ -17,6 +13,7 @@ from starfold.functions.aggregates import (  # noqa: F401
     present,
     row_count,
     share_where,
+    total_of,
     truncated_mean,
     year_span,
 )

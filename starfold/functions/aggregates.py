@@ -13,34 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_sum(c: Column | str, scale: int = 2) -> Column:
-    """Sum as a decimal, rounded per row to ``scale`` places; NULL for an all-null group.
+def total_of(c: Column | str) -> Column:
+    """Sum as double, 0 for an all-null group.
 
-    Rows are added as whole numbers, high and low bits apart, so the sum does not depend on row
-    order, cannot overflow in a group of any real size, and stays in long registers. A decimal
-    sum would allocate for every row.
+    Decimals and whole numbers add up exactly in their own type. Doubles add as doubles: no digit is
+    dropped and no size overflows; the last bits depend on the order of rows, and NaN stays NaN.
     """
-    units = F.rint(_col(c) * F.lit(float(10**scale))).cast("bigint")
-    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(20,0)")
-    return _units(high, low, scale)
-
-
-def _units(high: Column, low: Column, scale: int) -> Column:
-    total = high * F.lit(1 << 20).cast("decimal(7,0)") + low
-    step = F.lit(f"{10 ** -scale:.{scale}f}").cast(f"decimal({scale + 1},{scale})")
-    return total * step
-
-
-def exact_total(c: Column | str, scale: int = 2) -> Column:
-    """Sum of money as double, 0 for an all-null group."""
-    return F.coalesce(exact_sum(c, scale).cast("double"), F.lit(0.0))
-
-
-def exact_mean(c: Column | str, scale: int = 2) -> Column:
-    """Mean of money over the non-null rows, NULL for an all-null group."""
-    total = exact_sum(c, scale).cast("double")
-    return F.try_divide(total, F.count(_col(c)).cast("double"))
+    return F.coalesce(F.sum(_col(c)).cast("double"), F.lit(0.0))
 
 
 def present(c: Column | str) -> Column:
@@ -53,8 +32,8 @@ def row_count() -> Column:
 
 
 def mean_of(c: Column | str) -> Column:
-    """Mean of an integer-valued column (year, 0/1 flag); NULL for an all-null group."""
-    return F.avg(_col(c))
+    """Mean of the non-null rows as double; NULL for an all-null group."""
+    return F.avg(_col(c)).cast("double")
 
 
 def truncated_mean(c: Column | str) -> Column:
@@ -114,11 +93,6 @@ def carry_first(c: Column | str, order: Column | str) -> Column:
     return F.min_by(_col(c), _col(order))
 
 
-def any_row(c: Column | str) -> Column:
-    """For columns known to be equal within the group."""
-    return F.any_value(_col(c))
-
-
 def dummy_name(prefix: str, value) -> str:
     """Column name of a category; without dots, which Spark reads as struct access."""
     if isinstance(value, float) and value.is_integer():

@@ -22,15 +22,9 @@ def scale_by_max(df: DataFrame, column: str, out: str | None = None) -> DataFram
     return df.withColumn(out or column, F.try_divide(F.col(column).cast("double"), top.cast("double")))
 
 
-def fill_truncated_mean(
-    df: DataFrame, column: str, out: str | None = None, decimal: str | None = None
-) -> DataFrame:
-    """Fill NULLs with the whole part of the column's mean.
-
-    ``decimal`` names a decimal type to add up in, for a mean that cannot depend on row order.
-    """
-    mean = _mean(F.col(column), decimal)
-    whole = df.agg(mean.cast("bigint").alias("m")).scalar()
+def fill_truncated_mean(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Fill NULLs with the whole part of the column's mean."""
+    whole = df.agg(F.avg(column).cast("bigint").alias("m")).scalar()
     return df.withColumn(out or column, F.coalesce(F.col(column), whole.cast(_type(df, column))))
 
 
@@ -65,11 +59,5 @@ def log_scale(
     return df.withColumns(columns)
 
 
-def _mean(c: Column, decimal: str | None) -> Column:
-    if decimal is None:
-        return F.avg(c)
-    return F.try_divide(F.sum(c.cast(decimal)).cast("double"), F.count(c).cast("double"))
-
-
 def _type(df: DataFrame, column: str):
     return df.schema[column].dataType

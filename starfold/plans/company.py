@@ -253,9 +253,9 @@ def invest_block(invest: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Shares held, home share, share of ended investments and the last investment year."""
     ended = fn.fill_from("BTENDYEAR", "BTYEAR") > F.col("BTYEAR")
     features = {
-        "BTBL_SUM": fn.exact_total("BTBL", 8),
+        "BTBL_SUM": fn.total_of("BTBL"),
         "BTBL_COUNT": fn.present("BTBL"),
-        "BTBL_RATIO": fn.exact_mean("BTBL", 8),
+        "BTBL_RATIO": fn.mean_of("BTBL"),
         "invest_home_prob": fn.flag_rate("IFHOME"),
         recipe.invest_life: fn.flag_rate(fn.flag(ended)),
         "BTYEAR": fn.latest("BTYEAR"),
@@ -280,16 +280,16 @@ def lawsuit_block(lawsuit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
         "LAWDATE_Y": fn.latest(fn.date_piece("LAWDATE", 1)),
     }
     if recipe.money:
-        features["_claims"] = fn.exact_total("LAWAMOUNT")
+        features["_claims"] = fn.total_of("LAWAMOUNT")
     return FeatureBlock("lawsuit", lawsuit, features).build()
 
 
 def lawsuit_amounts(lawsuit: DataFrame) -> DataFrame:
     """The amount features of lawsuits: log-binned sum, mean, count and last dates."""
     features = {
-        "_sum": fn.exact_total("LAWAMOUNT"),
+        "_sum": fn.total_of("LAWAMOUNT"),
         "lawsuit_LAWAMOUNT_count": fn.present("LAWAMOUNT"),
-        "lawsuit_LAWAMOUNT_avg": fn.exact_mean("LAWAMOUNT"),
+        "lawsuit_LAWAMOUNT_avg": fn.mean_of("LAWAMOUNT"),
         "LAWDATE_Y": fn.latest(fn.date_piece("LAWDATE", 1)),
         "LAWDATE_M": fn.biggest(fn.date_piece("LAWDATE", 2)),
     }
@@ -313,7 +313,7 @@ def recruit_block(recruit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     sites = _values(recipe, "WZCODE", lambda: vocabulary(recruit, "WZCODE"))
     features = fn.category_counts("WZCODE", sites, "WZCODE")
     features |= {
-        "recruit_RECRNUM_sum": fn.exact_total("RECRNUM"),
+        "recruit_RECRNUM_sum": fn.total_of("RECRNUM"),
         "recruit_RECRNUM_count": fn.row_count(),
     }
     derived = {}

@@ -32,7 +32,7 @@ DATED_SQL = """(select *, o_custkey as EID, split_part(strftime(o_orderdate, '%Y
 
 @query(
     "group_sum_count",
-    """select EID, coalesce(sum(cast(v as decimal(18,2)))::double, 0) as total, count(v) as n
+    """select EID, round(coalesce(sum(v), 0), 6) as total, count(v) as n
        from (select user_id as EID, case when event_type = 'purchase' then value end as v from events)
        group by 1""",
 )
@@ -40,13 +40,29 @@ def group_sum_count(spark, sf):
     events = _events(spark, sf).withColumn(
         "v", F.when(F.col("event_type") == "purchase", F.col("value"))
     )
-    return FeatureBlock("e", events, {"total": fn.exact_total("v"), "n": fn.present("v")}).build()
+    return rounded(FeatureBlock("e", events, {"total": fn.total_of("v"), "n": fn.present("v")}).build())
+
+
+@query(
+    "sum_many_decimals",
+    """select user_id as EID, round(sum(value / 7), 6) as total, round(avg(value / 7), 6) as average,
+              round(sum(value / 7 * 1e9) / 1e9, 6) as large
+       from events group by 1""",
+)
+def sum_many_decimals(spark, sf):
+    """Sums of a column with more digits than any scale keeps, small and large."""
+    events = _events(spark, sf).withColumn("v", F.col("value") / 7)
+    features = {
+        "total": fn.total_of("v"),
+        "average": fn.mean_of("v"),
+        "large": fn.total_of(F.col("v") * 1e9) / 1e9,
+    }
+    return rounded(FeatureBlock("e", events, features).build())
 
 
 @query(
     "group_rate",
-    """select EID, avg(home) as home_rate,
-              sum(cast(price as decimal(18,2)))::double / nullif(count(price), 0) as price_mean
+    """select EID, round(avg(home), 6) as home_rate, round(avg(price), 6) as price_mean
        from (select o_custkey as EID,
                     case when o_orderpriority <> '5-LOW' then (o_orderstatus = 'F')::int end as home,
                     case when o_orderstatus <> 'P' then o_totalprice end as price from orders)
@@ -61,8 +77,8 @@ def group_rate(spark, sf):
             "price": F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")),
         }
     )
-    features = {"home_rate": fn.flag_rate("home"), "price_mean": fn.exact_mean("price")}
-    return FeatureBlock("o", orders, features).build()
+    features = {"home_rate": fn.flag_rate("home"), "price_mean": fn.mean_of("price")}
+    return rounded(FeatureBlock("o", orders, features).build())
 
 
 @query(
@@ -110,14 +126,14 @@ def count_scaled(spark, sf):
 
 @query(
     "cross_table_ratio",
-    """with a as (select user_id as EID, sum(cast(value as decimal(18,2)))::double as amount from events group by 1),
+    """with a as (select user_id as EID, sum(value) as amount from events group by 1),
             b as (select c_custkey as EID, max(c_acctbal) as capital from customer group by 1)
        select EID, round(amount / nullif(capital, 0) / 10000, 9) as money_BL,
               round(case when amount > -1 then ln(1 + amount) end / nullif(capital, 0), 9) as money_log
        from a full join b using (EID)""",
 )
 def cross_ratio(spark, sf):
-    claims = FeatureBlock("e", _events(spark, sf), {"amount": fn.exact_total("value")}).build()
+    claims = FeatureBlock("e", _events(spark, sf), {"amount": fn.total_of("value")}).build()
     customers = table(spark, sf, "customer").withColumnRenamed("c_custkey", "EID")
     capital = FeatureBlock("c", customers, {"capital": fn.biggest("c_acctbal")}).build()
     both = align(claims, capital, "EID")

@@ -138,11 +138,11 @@ def fill_from_column(spark, sf):
 @query(
     "fill_trunc_mean",
     f"""with c as (select c_custkey as EID, {CAPITAL_SQL} as ZCZB from customer),
-        m as (select trunc(sum(cast(ZCZB as decimal(18,2)))::double / count(ZCZB)) as v from c)
+        m as (select trunc(avg(ZCZB)) as v from c)
         select EID, coalesce(ZCZB, (select v from m)) as ZCZB from c""",
 )
 def fill_trunc_mean(spark, sf):
-    return fill_truncated_mean(_capital(spark, sf), "ZCZB", decimal="decimal(18,2)")
+    return fill_truncated_mean(_capital(spark, sf), "ZCZB")
 
 
 @query(

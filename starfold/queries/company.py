@@ -184,7 +184,7 @@ def _lawsuit(r):
     sql = """
       select EID, count(LAWAMOUNT) as lawsuit_LAWAMOUNT_count,
              max(split_part(LAWDATE, '-', 1)::int) as LAWDATE_Y,
-             coalesce(sum(LAWAMOUNT::decimal(18,2))::double, 0) as claims
+             coalesce(sum(LAWAMOUNT), 0) as claims
       from lawsuit group by 1"""
     return sql, {"lawsuit_LAWAMOUNT_count": WHOLE, "LAWDATE_Y": WHOLE}
 
@@ -206,7 +206,7 @@ def _recruit(r):
     columns |= {"recruit_RECRNUM_sum": DOUBLE, "recruit_RECRNUM_count": WHOLE}
     if r.recruit_mean:
         columns["recurt_info_ration"] = DOUBLE
-    total = "coalesce(sum(RECRNUM::decimal(18,2))::double, 0)"
+    total = "coalesce(sum(RECRNUM), 0)"
     sql = f"""
       select EID, {counts}, {total} as recruit_RECRNUM_sum, count(*) as recruit_RECRNUM_count,
              {total} / count(*) as recurt_info_ration
@@ -298,7 +298,7 @@ for _recipe in (BASE, CARRY, WIDE, STACKED):
 @query(
     "company_lawsuit_amounts",
     f"""with {ROLES_SQL}, s as (
-        select EID, coalesce(sum(LAWAMOUNT::decimal(18,2))::double, 0) as total,
+        select EID, coalesce(sum(LAWAMOUNT), 0) as total,
                count(LAWAMOUNT) as n, max(split_part(LAWDATE, '-', 1)::int) as y,
                max(split_part(LAWDATE, '-', 2)::int) as m
         from lawsuit group by 1)

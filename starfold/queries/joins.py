@@ -27,12 +27,12 @@ def _customers(spark, sf):
 
 def _event_counts(spark, sf):
     events = table(spark, sf, "events").withColumnRenamed("user_id", "EID")
-    features = {"n": fn.row_count(), "amount": fn.exact_total("value")}
-    return FeatureBlock("events", events, features).build()
+    features = {"n": fn.row_count(), "amount": fn.total_of("value")}
+    return rounded(FeatureBlock("events", events, features).build())
 
 
 EVENT_COUNTS_SQL = """(select user_id as EID, count(*) as n,
-  sum(cast(value as decimal(18,2)))::double as amount from events group by 1)"""
+  round(sum(value), 6) as amount from events group by 1)"""
 
 
 @query(
@@ -104,20 +104,19 @@ def _dummy_counts(column, prefix, values):
 STAR_SQL = f"""
 with o as (
   select o_custkey as EID, count(*) as order_n,
-         sum(cast(o_totalprice as decimal(18,2)))::double as order_sum,
-         sum(cast(o_totalprice as decimal(18,2)))::double / count(o_totalprice) as order_mean,
-         avg((o_orderstatus = 'F')::int) as order_done_rate,
+         round(sum(o_totalprice), 6) as order_sum, round(avg(o_totalprice), 6) as order_mean,
+         round(avg((o_orderstatus = 'F')::int), 6) as order_done_rate,
          min(year(o_orderdate))::int as order_first_year, max(year(o_orderdate))::int as order_last_year,
          arg_max(o_totalprice, row(year(o_orderdate), month(o_orderdate), o_orderkey)) as order_last_price,
          {_dummy_counts('o_orderstatus', 'STATUS', STATUSES)}
   from orders group by 1),
 l as (
-  select o_custkey as EID, count(*) as line_n, sum(cast(l_extendedprice as decimal(18,2)))::double as line_sum,
-         (count(*) filter (where l_returnflag = 'R'))::double / count(*) as line_return_rate,
+  select o_custkey as EID, count(*) as line_n, round(sum(l_extendedprice), 6) as line_sum,
+         round((count(*) filter (where l_returnflag = 'R'))::double / count(*), 6) as line_return_rate,
          max(l_quantity) as line_top_quantity
   from lineitem join orders on l_orderkey = o_orderkey group by 1),
 e as (
-  select user_id as EID, count(*) as event_n, sum(cast(value as decimal(18,2)))::double as event_sum,
+  select user_id as EID, count(*) as event_n, round(sum(value), 6) as event_sum,
          max(value) as event_top
   from events group by 1)
 select c_custkey as EID,
@@ -149,7 +148,7 @@ def star_assembly(spark, sf):
         F.col("c_custkey").alias("EID"), F.col("c_acctbal").alias("capital"), "c_mktsegment"
     )
     scaled = log_scale(companies, "capital")
-    spine = rounded(one_hot(scaled, "c_mktsegment", values=["BUILDING", "MACHINERY"], prefix="ETYPE"))
+    spine = one_hot(scaled, "c_mktsegment", values=["BUILDING", "MACHINERY"], prefix="ETYPE")
 
     dated = orders.withColumnsRenamed({"o_custkey": "EID"}).withColumns(
         {"y": F.year("o_orderdate"), "m": F.month("o_orderdate")}
@@ -159,8 +158,8 @@ def star_assembly(spark, sf):
         dated,
         {
             "order_n": fn.row_count(),
-            "order_sum": fn.exact_total("o_totalprice"),
-            "order_mean": fn.exact_mean("o_totalprice"),
+            "order_sum": fn.total_of("o_totalprice"),
+            "order_mean": fn.mean_of("o_totalprice"),
             "order_done_rate": fn.flag_rate(fn.flag(F.col("o_orderstatus") == "F")),
             "order_first_year": fn.earliest("y"),
             "order_last_year": fn.latest("y"),
@@ -178,7 +177,7 @@ def star_assembly(spark, sf):
         {
             "lines": fn.row_count(),
             "returned": F.count_if(F.col("l_returnflag") == "R"),
-            "price": fn.exact_sum("l_extendedprice"),
+            "price": F.sum("l_extendedprice"),
             "top": fn.biggest("l_quantity"),
         },
         key="o_orderkey",
@@ -199,9 +198,9 @@ def star_assembly(spark, sf):
         events.withColumnRenamed("user_id", "EID"),
         {
             "event_n": fn.row_count(),
-            "event_sum": fn.exact_total("value"),
+            "event_sum": fn.total_of("value"),
             "event_top": fn.biggest("value"),
         },
     )
     blocks = [b.build() for b in (order_block, line_block, event_block)]
-    return assemble(spine, blocks, fill=-999)
+    return rounded(assemble(spine, blocks, fill=-999))

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,10 +44,22 @@ def test_rates_of_null_groups_stay_null(spark):
 
 def test_all_null_sum_is_zero_and_mean_null(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 0.1), (2, 0.2)], "EID int, x double")
-    features = {"sum": fn.exact_total("x"), "n": fn.present("x"), "mean": fn.exact_mean("x")}
+    features = {"sum": fn.total_of("x"), "n": fn.present("x"), "mean": fn.mean_of("x")}
     got = by_key(FeatureBlock("b", df, features).build())
     assert got[1] == {"EID": 1, "sum": 0.0, "n": 0, "mean": None}
-    assert got[2] == {"EID": 2, "sum": 0.3, "n": 2, "mean": 0.15}
+    assert got[2] == {"EID": 2, "sum": pytest.approx(0.3), "n": 2, "mean": pytest.approx(0.15)}
+
+
+def test_sums_drop_no_digit_and_have_no_limit(spark):
+    rows = [(1, 0.004)] * 3 + [(2, 1e12), (2, 1e12 + 0.25), (3, float("nan")), (3, 1.0), (4, 1e300)]
+    df = spark.createDataFrame(rows, "EID int, x double")
+    got = by_key(FeatureBlock("b", df, {"sum": fn.total_of("x"), "mean": fn.mean_of("x")}).build())
+    assert got[1]["sum"] == pytest.approx(0.012, rel=1e-12) and got[1]["mean"] == pytest.approx(0.004, rel=1e-12)
+    assert got[2]["sum"] == 2e12 + 0.25 and got[4]["sum"] == 1e300
+    assert math.isnan(got[3]["sum"]) and math.isnan(got[3]["mean"])
+    exact = df.where("EID < 3").selectExpr("EID", "cast(x as decimal(38, 18)) as x")
+    got = by_key(FeatureBlock("b", exact, {"sum": fn.total_of("x")}).build())
+    assert got[1]["sum"] == 0.012 and got[2]["sum"] == 2e12 + 0.25
 
 
 def test_null_keys_make_no_entity(spark):
