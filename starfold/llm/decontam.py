@@ -206,7 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     listed = listed.withColumn("value", F.col("value").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
     asked = w_prints.select("n_words", "content", "f1", "f2", F.explode(_blocks()).alias("b"))
     asked = asked.select("n_words", "content", "f1", "f2", "b.block", "b.value")
-    pairs = asked.alias("w").join(listed.alias("i"), ["n_words", "block", "value"])
+    # merge: Spark takes the exploded list for as small as the items and would broadcast it
+    pairs = asked.alias("w").join(listed.hint("merge").alias("i"), ["n_words", "block", "value"])
     pairs = pairs.where(_distance() <= RADIUS).select("n_words", "content", "item_id").distinct()
 
     # 5. exact similarity of the candidates
@@ -230,4 +231,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     Rows without doc_id stay.
     """
     gone = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
