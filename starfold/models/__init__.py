@@ -13,8 +13,10 @@ from starfold.models.boosting import (  # noqa: F401
 )
 from starfold.models.evaluate import (  # noqa: F401
     area_under_roc,
+    areas_under_roc,
     feature_map,
     gain_importance,
+    kept_rounds,
     metric_history,
     split_importance,
     top_features,

@@ -13,18 +13,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.models.evaluate import area_under_roc
+from starfold.models.evaluate import areas_under_roc
 from starfold.session import materialize, shared_dir
 
 
+FIRST_ROUNDS = 64
+
+
 @dataclass(frozen=True)
 class BoostSettings:
     """Training settings.
 
     ``leaves`` sets the depth when ``depth`` is not given: trees here grow level by level, so a
     tree of 128 leaves is one of depth 7. ``patience`` is the number of rounds without a better
-    validation metric after which later rounds are discarded. With ``tolerance`` training itself
-    stops as soon as a round improves the validation loss by no more than that share.
+    validation metric after which training ends. With ``tolerance`` it ends as soon as a round
+    improves the validation loss by no more than that share. ``max_bins`` is how many split
+    candidates a feature has.
     """
 
     rounds: int = 100
@@ -123,7 +127,8 @@ def prefix_model(model: GBTClassificationModel, rounds: int) -> GBTClassificatio
     cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
         java.uid(), trees, weights, java.numFeatures(), 2
     )
-    return GBTClassificationModel(java.copyValues(cut, java.extractParamMap()))
+    shorter = GBTClassificationModel(java.copyValues(cut, java.extractParamMap()))
+    return shorter.setFeaturesCol(model.getFeaturesCol())
 
 
 def round_metrics(
@@ -137,8 +142,9 @@ def round_metrics(
     """The metric after each boosting round, measured on ``df``.
 
     logLoss covers all rounds. areaUnderROC runs every tree over the rows once, a chunk of trees
-    at a time, keeping the running margins as table columns; with ``patience`` it ends after the
-    chunk in which that many rounds brought no better value.
+    at a time, keeping the running margin as a table column, and takes one pass for the areas of a
+    chunk; with ``patience`` it ends after the chunk in which that many rounds brought no better
+    value.
     """
     if metric == "logLoss":
         return list(model.evaluateEachIteration(df))
@@ -157,7 +163,7 @@ def round_metrics(
             margin = margin + F.col(f"_tree_{i}") * F.lit(float(weights[i]))
             names.append(margin.alias(f"margin_{i + 1}"))
         rows = materialize(rows.select(label, features, *names), "margins")
-        out += [area_under_roc(rows, label, f"margin_{i + 1}") for i in at]
+        out += areas_under_roc(rows, label, [f"margin_{i + 1}" for i in at])
         rows = rows.select(label, features, f"margin_{at[-1] + 1}")
         if patience is not None and len(out) - best_round(out, patience, True) >= patience:
             break
@@ -176,38 +182,56 @@ class BoostedClassifier:
         self.features = features
         self.metric = metric
         self.history: list[float] = []
+        self.train_history: list[float] = []
+        self.trained_rounds = 0
         self._model: GBTClassificationModel | None = None
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> BoostedClassifier:
-        """Train on ``train``; with ``valid``, keep the rounds up to its best metric.
+        """Train on ``train``; with ``valid``, stop by its metric and keep the rounds up to the best.
 
-        Patience needs all rounds trained before it can look back; a tolerance saves the rounds
-        after the stop, which matters when each round is a pass over a large table.
+        Training starts with ``FIRST_ROUNDS`` rounds and doubles them until the patience is used up.
+        For a fixed seed a longer fit begins with the rounds of a shorter one, so each fit replaces
+        the one before, and all of them together train fewer than four times the rounds needed.
         """
         context = train.sparkSession.sparkContext
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(shared_dir(train.sparkSession))
         columns = [self.features, F.col(self.label).cast("double").alias(self.label)]
-        estimator = self.settings.estimator(self.features, self.label)
         rows = train.select(*columns)
-        if valid is not None and self.settings.tolerance is not None:
-            estimator.setParams(
-                validationIndicatorCol="_valid", validationTol=self.settings.tolerance
-            )
-            held = valid.select(*columns, F.lit(True).alias("_valid"))
-            self._model = estimator.fit(rows.withColumn("_valid", F.lit(False)).unionByName(held))
-            return self
-        model = estimator.fit(rows)
-        if valid is not None:
-            patience = self.settings.patience
-            self.history = round_metrics(
-                model, valid.select(*columns), self.label, self.metric, patience
-            )
-            keep = best_round(self.history, patience, larger_is_better=self.metric != "logLoss")
-            model = prefix_model(model, keep)
-        self._model = model
+        held = None if valid is None else valid.select(*columns)
+        if held is None:
+            self._model = self._train(rows, self.settings.rounds)
+        elif self.settings.tolerance is not None:
+            marked = rows.withColumn("_valid", F.lit(False)).unionByName(held.withColumn("_valid", F.lit(True)))
+            self._model = self._train(marked, self.settings.rounds, self.settings.tolerance)
+            self.history = round_metrics(self._model, held, self.label, self.metric)
+        else:
+            self._model = self._train_patiently(rows, held)
+        if held is not None:
+            self.train_history = round_metrics(self._model, rows, self.label, self.metric)
         return self
 
+    def _train(self, rows: DataFrame, rounds: int, tolerance: float | None = None) -> GBTClassificationModel:
+        estimator = self.settings.with_(rounds=rounds).estimator(self.features, self.label)
+        if tolerance is not None:
+            estimator.setParams(validationIndicatorCol="_valid", validationTol=tolerance)
+        model = estimator.fit(rows)
+        self.trained_rounds = model.getNumTrees
+        return model
+
+    def _train_patiently(self, rows: DataFrame, held: DataFrame) -> GBTClassificationModel:
+        patience, most = self.settings.patience, self.settings.rounds
+        larger = self.metric != "logLoss"
+        rounds = min(FIRST_ROUNDS, most)
+        while True:
+            model = self._train(rows, rounds)
+            history = round_metrics(model, held, self.label, self.metric, patience)
+            keep = best_round(history, patience, larger)
+            if rounds == most or len(history) - keep >= patience:
+                self.history = history
+                return prefix_model(model, keep)
+            rounds = min(2 * rounds, most)
+
     def predict(self, df: DataFrame, out: str = "score") -> DataFrame:
         """Add the probability of the positive class."""
         made = ["rawPrediction", "probability", "prediction"]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starfold.session import scratch_path
@@ -22,6 +22,29 @@ def area_under_roc(df: DataFrame, label: str, score: str) -> float:
     )
 
 
+def areas_under_roc(df: DataFrame, label: str, scores: Sequence[str], buckets: int = 4096) -> list[float]:
+    """The exact area under the curve of several score columns, in one pass over the rows.
+
+    Rows are counted by (column, score), then cumulated in two steps: over score ranges, and inside
+    each range. A window therefore holds one range of one column, never a whole column.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(s).cast("double").alias("s")) for i, s in enumerate(scores)])
+    long = df.select(F.col(label).cast("int").alias("y"), F.explode(values).alias("v")).select("y", "v.i", "v.s")
+    counts = long.groupBy("i", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    # Margins run over all numbers; their logistic value spreads them over the ranges in order.
+    place = F.floor(buckets / (1 + F.exp(-F.col("s")))).cast("int")
+    counts = counts.withColumn("b", place)
+    inside = Window.partitionBy("i", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranges = counts.withColumn("below", below).groupBy("i", "b").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("own")
+    )
+    earlier = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    area = F.sum(F.col("own") + F.col("p") * F.col("before")) / (F.sum("p") * F.sum("n"))
+    areas = ranges.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).groupBy("i").agg(area.alias("a"))
+    return [r.a for r in areas.orderBy("i").collect()]
+
+
 def metric_history(
     spark: SparkSession, history: Sequence[float], metric: str = "logLoss"
 ) -> DataFrame:
@@ -30,6 +53,24 @@ def metric_history(
     return spark.createDataFrame(rows, "round int, metric string, value double")
 
 
+def kept_rounds(history: DataFrame, run: str, patience: int, larger_is_better: bool) -> DataFrame:
+    """(run, kept, trained) from rows (run, round, value): what ``best_round`` says for each run.
+
+    ``kept`` is the best round read before ``patience`` rounds passed without a strictly better
+    value, ``trained`` the round at which reading stopped. A run's rounds are a bounded group.
+    """
+    value = F.col("value") if larger_is_better else -F.col("value")
+    upto = Window.partitionBy(run).orderBy("round")
+    before = F.max(value).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    rows = history.withColumn("_before", before)
+    better = F.when(F.col("_before").isNull() | (value > F.col("_before")), F.col("round"))
+    rows = rows.withColumn("_best", F.max(better).over(upto))
+    tired = F.when(F.col("round") - F.col("_best") >= patience, F.col("round"))
+    last = F.coalesce(F.min(tired).over(Window.partitionBy(run)), F.max("round").over(Window.partitionBy(run)))
+    read = rows.withColumn("_last", last).where(F.col("round") <= F.col("_last"))
+    return read.groupBy(run).agg(F.max_by("_best", "round").alias("kept"), F.max("_last").alias("trained"))
+
+
 def feature_map(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Index, name and type letter ('q', quantitative) of every feature, in vector order."""
     rows = [(i, n, "q") for i, n in enumerate(names)]

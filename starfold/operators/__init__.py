@@ -10,6 +10,8 @@ from starfold.operators.assemble import (  # noqa: F401
 )
 from starfold.operators.blocks import FeatureBlock  # noqa: F401
 from starfold.operators.encode import (  # noqa: F401
+    category_counts_long,
+    category_vectors,
     codebook,
     dictionary_encode,
     first_seen_values,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.functions.nulls import fill_numeric
+from starfold.session import materialize
 
 
 @dataclass(frozen=True)
@@ -32,22 +33,25 @@ class FeatureBlock:
         rows = self.source.where(F.col(self.key).isNotNull())
         out = rows.groupBy(self.key).agg(*[c.alias(n) for n, c in self.features.items()])
         if self.scaled:
-            out = out.withColumns(self._scaled(rows))
+            out = self._with_scaled(out)
         if self.derived:
             out = out.withColumns(dict(self.derived))
         if self.drop:
             out = out.drop(*self.drop)
         return out if self.fill is None else fill_numeric(out, self.fill, skip=[self.key])
 
-    def _scaled(self, rows: DataFrame) -> dict[str, Column]:
+    def _with_scaled(self, out: DataFrame) -> DataFrame:
         """``scaled[new] = feature``: the feature over its largest group value.
 
-        The largest values come from a second aggregation that computes those features only.
+        The block, one row per key, is written first: the largest values are then read from a few of
+        its columns, and the child table behind it is read once.
         """
+        out = materialize(out, "block")
         needed = sorted(set(self.scaled.values()))
-        slim = rows.groupBy(self.key).agg(*[self.features[n].alias(n) for n in needed])
-        tops = slim.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
-        return {
-            new: F.try_divide(F.col(n).cast("double"), tops[n].cast("double"))
-            for new, n in self.scaled.items()
-        }
+        tops = out.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
+        return out.withColumns(
+            {
+                new: F.try_divide(F.col(n).cast("double"), tops[n].cast("double"))
+                for new, n in self.scaled.items()
+            }
+        )

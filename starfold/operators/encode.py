@@ -22,7 +22,8 @@ def vocabulary(df: DataFrame, column: str, max_values: int = 1000) -> list:
     """The distinct non-null values in value order, for use as column names.
 
     Nothing is dropped: a wider column raises, because every value becomes a feature column.
-    Count such a column in long form with ``groupBy(key, column).count()`` instead.
+    ``max_values`` is how many columns the caller will take. A column of any width goes to
+    ``category_counts_long`` and ``category_vectors`` instead.
     """
     rows = (
         df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()
@@ -130,3 +131,20 @@ def wide_category_counts(
     return wide.select(
         key, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(dummy_name(prefix, v)) for v in values]
     )
+
+
+def category_counts_long(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column, n): rows per entity and value, for any number of values; NULL is a value."""
+    return df.where(F.col(key).isNotNull()).groupBy(key, column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, codes, counts): the counts of each entity as a sparse vector over all values.
+
+    ``codes`` are ascending codebook numbers (by value); an entity holds only the values it has.
+    """
+    long = category_counts_long(df, key, column)
+    coded = dictionary_encode(long, column, out="_number")
+    pairs = F.sort_array(F.collect_list(F.struct("_number", "n"))).alias("_pairs")
+    rows = coded.groupBy(key).agg(pairs)
+    return rows.select(key, F.col("_pairs._number").alias("codes"), F.col("_pairs.n").alias("counts"))

@@ -2,8 +2,9 @@
 
 Every choice depends only on (key, seed) through an md5 hash, so a re-run task or another cluster
 size gives the same split. The plain hash forms need no shuffle at all. The exact forms also hit
-exact row counts: a count per hash bucket finds the bucket holding the wanted rank, only that
-bucket is ranked, and the resulting cut hash is compared against every row.
+exact row counts: a count per hash bucket finds the bucket holding the wanted rank, the next hash
+digits split that bucket again, only what is left of it is ranked, and the resulting cut hash is
+compared against every row.
 """
 
 from __future__ import annotations
@@ -90,13 +91,23 @@ def _cut_hashes(
     """Map stratum -> hashes sitting at the wanted 1-based ranks, as a scalar subquery.
 
     ``wanted`` is an array over ``_n`` (rows in the stratum) and ``_s`` (its name); ranks below 1
-    give no cut. The bucket table has at most 2**bits rows per stratum, and the one bucket ranked
-    per cut holds about n / 2**bits keys. Copies of a key are counted together before the ranking;
+    give no cut. A bucket table has at most 2**bits rows per stratum and cut. Buckets are split
+    twice, by different hash digits, so about n / 2**(2 * bits) keys are ranked per cut: 250 of
+    10**12 with the default. Copies of a key are counted together before the ranking;
     they stay on one side of the cut, so counts are exact when keys are unique.
     """
+    grouped = _ranked(df, key, stratum, wanted, seed, bits)
+    grouped = grouped.groupBy("_s").agg(F.sort_array(F.collect_list("_h")).alias("_cuts"))
+    return grouped.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_cuts")))).scalar()
+
+
+def _ranked(
+    df: DataFrame, key: str, stratum: Column, wanted: Column, seed: int, bits: int
+) -> DataFrame:
+    """(stratum, cut number, hash) at each wanted rank."""
     h = hash_text(key, seed)
-    bucket = F.shiftright(_number(h, 8), 32 - bits)
-    hashed = df.select(stratum.alias("_s"), bucket.alias("_b"), h.alias("_h"))
+    first = F.shiftright(_number(h, 8), 32 - bits)
+    hashed = df.select(stratum.alias("_s"), first.alias("_b"), h.alias("_h"))
     counts = hashed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy("_s").orderBy("_b")
     totals = (
@@ -109,9 +120,20 @@ def _cut_hashes(
     )
     # One row per (stratum, wanted rank): bounded by the caller's parameters, not by the data.
     near = hashed.join(F.broadcast(totals), ["_s", "_b"])
-    copies = near.groupBy("_s", "_i", "_local", "_h").agg(F.count(F.lit(1)).alias("_m"))
+    return _refined(near, bits)
+
+
+def _refined(near: DataFrame, bits: int) -> DataFrame:
+    """Split the chosen buckets by the digits after their own bits, then rank what is left."""
+    digits = _number(F.substring("_h", 1 + bits // 4, 8), 8)
+    rows = near.withColumn("_f", F.shiftright(digits, 32 - bits - bits % 4))
+    counts = rows.groupBy("_s", "_i", "_local", "_f").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_s", "_i").orderBy("_f")
+    counts = counts.withColumn("_cum", F.sum("_c").over(upto))
+    chosen = counts.where((F.col("_cum") >= F.col("_local")) & (F.col("_cum") - F.col("_c") < F.col("_local")))
+    chosen = chosen.select("_s", "_i", "_f", (F.col("_local") - F.col("_cum") + F.col("_c")).alias("_rest"))
+    left = rows.join(F.broadcast(chosen), ["_s", "_i", "_f"])
+    copies = left.groupBy("_s", "_i", "_rest", "_h").agg(F.count(F.lit(1)).alias("_m"))
     place = F.sum("_m").over(Window.partitionBy("_s", "_i").orderBy("_h"))
-    reached = copies.withColumn("_place", place).where(F.col("_place") >= F.col("_local"))
-    found = reached.where(F.col("_place") - F.col("_m") < F.col("_local"))
-    grouped = found.groupBy("_s").agg(F.sort_array(F.collect_list("_h")).alias("_cuts"))
-    return grouped.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_cuts")))).scalar()
+    reached = copies.withColumn("_place", place).where(F.col("_place") >= F.col("_rest"))
+    return reached.where(F.col("_place") - F.col("_m") < F.col("_rest")).select("_s", "_i", "_h")

@@ -190,7 +190,7 @@ def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id")
 
 
 def _order(df: DataFrame, order: str):
-    """Latest (year, month) row, ties by ``order``: packed when that is a whole number."""
+    """Latest (year, month) row, ties by ``order``: packed for the whole numbers that readers give."""
     kind = df.schema[order].dataType
     if kind.typeName() in ("integer", "long"):
         return fn.order_key("_y", "_m", order)
@@ -317,6 +317,7 @@ def recruit_block(recruit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
         "recruit_RECRNUM_count": fn.row_count(),
     }
     derived = {}
+    # Fixed value: the name of this feature in the scoring runs.
     if recipe.recruit_mean:
         derived["recurt_info_ration"] = fn.ratio("recruit_RECRNUM_sum", "recruit_RECRNUM_count")
     return FeatureBlock("recruit", recruit, features, derived=derived).build()
@@ -334,7 +335,8 @@ def company_matrix(
 ) -> DataFrame:
     """One row per company of the spine with every feature of the recipe.
 
-    ``tables["spine"]`` holds EID and TARGET, with a NULL target for companies to be scored.
+    ``tables["spine"]`` holds EID and TARGET, and ``split`` ("train" or "test") if it comes from two
+    lists; without it a NULL target marks the companies to be scored.
     """
     recipe = pin_values(tables, recipe)
     blocks = [
@@ -351,8 +353,8 @@ def company_matrix(
     wide = assemble(tables["spine"], blocks, KEY)
     if recipe.money:
         wide = wide.withColumn("money_BL", money_ratio(recipe)).drop("_claims", "_capital")
-    return wide if fill is None else fn.fill_numeric(wide, fill, skip=[KEY, "TARGET"])
+    return wide if fill is None else fn.fill_numeric(wide, fill, skip=[KEY, "TARGET", "split"])
 
 
 def feature_names(matrix: DataFrame) -> list[str]:
-    return [c for c in matrix.columns if c not in (KEY, "TARGET")]
+    return [c for c in matrix.columns if c not in (KEY, "TARGET", "split")]

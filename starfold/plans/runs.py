@@ -72,33 +72,46 @@ RUNS = {
 
 @dataclass
 class Outcome:
-    """What a run leaves behind. ``importance`` and ``history`` need a single model."""
+    """What a run leaves behind. ``importance`` and ``history`` need a single model.
+
+    ``unreadable`` counts training rows whose target could not be read; they are neither trained on
+    nor scored.
+    """
 
     submission: DataFrame
     features: DataFrame
     importance: DataFrame | None = None
     history: list[float] | None = None
+    unreadable: int = 0
 
 
 def spine_of(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Both company lists as one spine; the target is NULL where it is to be predicted."""
-    return stack_rows(train.select(KEY, "TARGET"), test.select(KEY))
+    """Both company lists as one spine, each row marked with the list it comes from."""
+    known = train.select(KEY, "TARGET", F.lit("train").alias("split"))
+    return stack_rows(known, test.select(KEY, F.lit("test").alias("split")))
 
 
 def score_companies(
     tables: Mapping[str, DataFrame], run: Run, metric: str = "areaUnderROC"
 ) -> Outcome:
-    """Build the features once, train, and score the companies without a target."""
+    """Build the features once, train, and score the companies of the test list.
+
+    A spine without ``split`` is scored where the target is NULL.
+    """
     matrix = company_matrix(tables, run.recipe)
     names = feature_names(matrix)
     spark = matrix.sparkSession
-    frame = materialize(feature_vector(matrix, names).select(KEY, "TARGET", "features"), "matrix")
-    known, unknown = frame.where(F.col("TARGET").isNotNull()), frame.where(F.col("TARGET").isNull())
+    if "split" not in matrix.columns:
+        matrix = matrix.withColumn("split", F.when(F.col("TARGET").isNull(), "test").otherwise("train"))
+    frame = materialize(feature_vector(matrix, names).select(KEY, "TARGET", "split", "features"), "matrix")
+    listed, unknown = frame.where("split = 'train'"), frame.where("split = 'test'")
+    known = listed.where(F.col("TARGET").isNotNull())
+    unreadable = listed.where(F.col("TARGET").isNull()).count()
     listing = feature_map(spark, names)
     if run.folds:
         train = materialize(exact_folds(known, KEY, run.folds, run.seed), "folds", "fold")
         model = Stack(run.models, run.models[0], run.folds, metric=metric).fit(train)
-        return Outcome(submission(model.predict(unknown), run.threshold), listing)
+        return Outcome(submission(model.predict(unknown), run.threshold), listing, unreadable=unreadable)
     if run.share is not None:
         split = exact_split(known, KEY, run.share, run.seed)
     else:
@@ -112,6 +125,7 @@ def score_companies(
         listing,
         split_importance(model.get_model(), names),
         model.history,
+        unreadable,
     )
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from starfold.plans import BASE, CARRY, STACKED, WIDE, bindings, company
+from starfold.plans.runs import spine_of
 from starfold.queries.registry import query, rounded
+from starfold.session import scratch_path
+from starfold.sources import STAR_FILES, read_star
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 
@@ -309,3 +314,48 @@ for _recipe in (BASE, CARRY, WIDE, STACKED):
 )
 def lawsuit_amounts(spark, sf):
     return rounded(company.lawsuit_amounts(bindings.company_table(spark, sf, "lawsuit")))
+
+
+def _lists(spark, sf):
+    """The two company lists: the target of some training companies cannot be read."""
+    spine = bindings.company_table(spark, sf, "spine")
+    known = F.col("TARGET").isNotNull()
+    train = spine.where(known).withColumn("TARGET", F.when(F.col("EID") % 50 != 0, F.col("TARGET")))
+    return train, spine.where(~known)
+
+
+@query(
+    "spine_split",
+    f"""with {ROLES_SQL}
+        select EID, case when EID % 50 <> 0 then TARGET end as TARGET,
+               case when TARGET is null then 'test' else 'train' end as split from spine""",
+)
+def spine_split(spark, sf):
+    """Both lists as one spine; a training row without readable target stays a training row."""
+    return spine_of(*_lists(spark, sf))
+
+
+CSV_PARTS = 3
+
+
+def _write_star(spark, sf):
+    """The bound tables as CSV folders of several files; ordered tables keep their row order."""
+    folder = scratch_path(spark, "csv-star")
+    star = bindings.company_star(spark, sf)
+    spine = star.pop("spine")
+    known = F.col("TARGET").isNotNull()
+    star |= {"train": spine.where(known), "test": spine.where(~known).select("EID")}
+    for name, rows in star.items():
+        parts = rows.repartition(CSV_PARTS)
+        if "row_id" in rows.columns:
+            parts = rows.repartitionByRange(CSV_PARTS, "row_id").sortWithinPartitions("row_id").drop("row_id")
+        parts.write.csv(f"{folder}/{STAR_FILES[name]}", header=True)
+    return folder
+
+
+@query("csv_star_run", matrix_sql(BASE))
+def csv_star_run(spark, sf):
+    """Every feature of the base recipe, from CSV files: eleven tables of several files each."""
+    star = read_star(spark, _write_star(spark, sf))
+    spine = spine_of(star["train"], star["test"])
+    return rounded(company.company_matrix(star | {"spine": spine}).drop("split"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from starfold import functions as fn
 from starfold.operators import (
     FeatureBlock,
+    category_counts_long,
+    category_vectors,
     dictionary_encode,
     one_hot,
     vocabulary,
@@ -132,3 +134,33 @@ def category_share(spark, sf):
 def category_rows(spark, sf):
     events = table(spark, sf, "events").withColumnRenamed("user_id", "EID")
     return FeatureBlock("events", events, {"rows": fn.row_count()}).build()
+
+
+PARTS_SQL = """(select o_custkey as EID, l_partkey as part, count(*) as n
+  from lineitem join orders on l_orderkey = o_orderkey group by all)"""
+
+
+def _parts(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("part"))
+    owners = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("EID"))
+    return lines.join(owners, "o_orderkey").select("EID", "part")
+
+
+@query("category_counts_long", f"select EID, part, n from {PARTS_SQL}")
+def counts_long(spark, sf):
+    """Counts per company and part: as many values as there are parts, none of them a column."""
+    return category_counts_long(_parts(spark, sf), "EID", "part")
+
+
+@query(
+    "category_vectors",
+    f"""with b as (select part, row_number() over (order by part) - 1 as code
+                   from (select distinct part from {PARTS_SQL}))
+        select EID, string_agg(code::varchar || ':' || n::varchar, ' ' order by code) as vector
+        from {PARTS_SQL} join b using (part) group by 1""",
+)
+def count_vectors(spark, sf):
+    """The same counts as one sparse vector per company, shown as code:count pairs."""
+    vectors = category_vectors(_parts(spark, sf), "EID", "part")
+    shown = F.transform(F.arrays_zip("codes", "counts"), lambda p: F.concat_ws(":", p["codes"], p["counts"]))
+    return vectors.select("EID", F.array_join(shown, " ").alias("vector"))

@@ -15,6 +15,7 @@ from starfold.models import (
     feature_map,
     feature_vector,
     gain_importance,
+    kept_rounds,
     metric_history,
     out_of_fold,
     split_importance,
@@ -94,6 +95,41 @@ def gbt_fit_score(spark, sf):
     return model.predict(_unlabelled(frame)).select("EID", "score")
 
 
+@query(
+    "gbt_stump",
+    """with d as (select doc_id as EID, (lang = 'en')::int as side, quality
+                 from documents left join labels using (doc_id)),
+            m as (select side, avg(2.0 * quality - 1) as v from d where quality is not null group by 1)
+       select EID, round(1 / (1 + exp(-2 * v)), 9) as score from d join m using (side) where quality is null""",
+)
+def gbt_stump(spark, sf):
+    """One round of depth one on one 0/1 feature: a fitted model whose scores follow by hand."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("EID"), (F.col("lang") == "en").cast("int").alias("side"))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("EID"), F.col("quality").alias("TARGET"))
+    frame = materialize(feature_vector(documents.join(labels, "EID", "left"), ["side"]), "stump")
+    model = BoostedClassifier(BoostSettings(rounds=1, depth=1)).fit(frame.where("TARGET is not null"))
+    return rounded(model.predict(_unlabelled(frame)).select("EID", "score"), 9)
+
+
+@query(
+    "early_stop_rounds",
+    """with h as (select user_id % 5 as run, hour(ts)::int + 1 as round, round(avg(value), 6) as value from events group by all),
+            b as (select *, max(value) over w as before from h
+                  window w as (partition by run order by round rows between unbounded preceding and 1 preceding)),
+            s as (select *, max(case when before is null or value > before then round end)
+                              over (partition by run order by round) as best from b),
+            e as (select run, min(round) filter (where round - best >= 4) as stopped, max(round) as last from s group by 1)
+       select run, (arg_max(best, round))::int as kept, coalesce(max(stopped), max(last))::int as trained
+       from s join e using (run) where round <= coalesce(stopped, last) group by 1""",
+)
+def early_stop_rounds(spark, sf):
+    """The round a patient watcher keeps, and the round it stops at, for histories held as rows."""
+    events = table(spark, sf, "events")
+    history = events.groupBy((F.col("user_id") % 5).alias("run"), (F.hour("ts") + 1).alias("round"))
+    history = rounded(history.agg(F.avg("value").alias("value")))
+    return kept_rounds(history, "run", patience=4, larger_is_better=True)
+
+
 @query("gbt_second_config")
 def gbt_second_config(spark, sf):
     frame, _, _, model = _fit(spark, sf, DEPTH_SIX)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starfold.session import materialize
 from starfold.sources.schemas import STAR_FILES, STAR_SCHEMAS, TABLE_SCHEMAS
 
 
@@ -19,11 +20,14 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row; columns are matched by name, not position.
 
+    All files of a folder must have the same header: a file with another one raises when it is read.
+
     Declared columns get their type, and text that does not parse becomes NULL (or raises when
     ``strict``). Whole numbers may be written as "2015.0". Undeclared columns are cast to
     ``other``, or dropped when it is None. ``row_key`` adds a key that sorts rows in file order.
     """
-    raw = spark.read.option("header", True).csv(path)
+    # enforceSchema off: Spark compares the header of every file with the one it planned by
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     declared = _fields(schema)
     columns = [_typed(f.name, f.dataType, strict).alias(f.name) for f in declared]
     if other:
@@ -33,23 +37,40 @@ def read_csv(
             for c in raw.columns
             if c not in known
         ]
-    if row_key:
-        columns.append(_file_order(raw).alias(row_key))
-    return raw.select(*columns)
+    if not row_key:
+        return raw.select(*columns)
+    return _in_file_order(raw.select(*columns, *_place()), path, row_key)
+
+
+FILE_ROWS = 50_000
+
+
+def _place() -> list[Column]:
+    """File, block and row number within the task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        row.alias("_row"),
+    ]
 
 
-def _file_order(raw: DataFrame) -> Column:
-    """A key that sorts rows as they stand in the input, without numbering them in one task.
+def _in_file_order(rows: DataFrame, path: str, row_key: str) -> DataFrame:
+    """Add a key that sorts rows as they stand in the input, files by path.
 
-    Rows of one task are counted in order, and the block's offset orders the tasks. For a single
-    file both fit one decimal; several files need their path in front.
+    The bytes before a row's block, over all files, order the blocks; rows of one task are counted in
+    order. Both fit one decimal, whatever the number of files, so the key stays in a fixed-width buffer.
     """
-    start, within = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    if len(raw.inputFiles()) > 1:
-        return F.struct("_metadata.file_path", start.alias("start"), within.alias("row"))
-    row = within.bitwiseAND(F.lit((1 << 33) - 1))
-    block = start.cast("decimal(16,0)") * F.lit(1 << 33).cast("decimal(10,0)")
-    return (block + row.cast("decimal(10,0)")).cast("decimal(26,0)")
+    files = rows.sparkSession.read.format("binaryFile").load(path)
+    # One row per input file; only names and lengths are read.
+    before = F.sum("length").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select(F.col("_metadata.file_path").alias("_file"), "length")
+    files = materialize(files.select("_file", F.coalesce(before, F.lit(0)).alias("_before")), "input-files")
+    if files.limit(FILE_ROWS + 1).count() <= FILE_ROWS:
+        files = F.broadcast(files)
+    block = (F.col("_before") + F.col("_start")).cast("decimal(18,0)") * F.lit(1 << 33).cast("decimal(10,0)")
+    key = (block + F.col("_row").cast("decimal(10,0)")).cast("decimal(28,0)")
+    return rows.join(files, "_file", "left").withColumn(row_key, key).drop("_file", "_start", "_row", "_before")
 
 
 def reject_count(raw: DataFrame, column: str, parsed: Column) -> DataFrame:

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from starfold.operators import (
+    category_counts_long,
+    category_vectors,
     dictionary_encode,
     first_seen_values,
     one_hot,
@@ -58,6 +60,20 @@ def test_wide_dictionary_numbers_every_value_once(spark):
     assert [code for _, code in pairs] == list(range(3001))
 
 
+def test_long_counts_and_vectors_have_no_limit(spark):
+    df = spark.range(0, 9000).select((F.col("id") % 4).alias("EID"), (F.col("id") % 3001).cast("string").alias("c"))
+    long = category_counts_long(df, "EID", "c")
+    assert long.count() == 9000 - 0 * 4 and long.agg(F.sum("n")).first()[0] == 9000
+    rows = category_vectors(df, "EID", "c").collect()
+    values = sorted({str(i) for i in range(3001)})
+    for r in rows:
+        want = {}
+        for i in range(9000):
+            if i % 4 == r.EID:
+                want[values.index(str(i % 3001))] = want.get(values.index(str(i % 3001)), 0) + 1
+        assert dict(zip(r.codes, r.counts)) == want and list(r.codes) == sorted(want)
+
+
 def test_wide_counts(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None)], "EID int, c string")
     got = wide_category_counts(df, "EID", "c", ["a", "b"], "C").collect()

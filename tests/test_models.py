@@ -13,6 +13,7 @@ from starfold.models import (
     BoostSettings,
     Stack,
     area_under_roc,
+    areas_under_roc,
     best_round,
     feature_map,
     feature_vector,
@@ -135,11 +136,49 @@ def test_patience_ends_the_history_early(rows):
         assert best_round(short, patience, True) == best_round(full, patience, True)
 
 
+@pytest.mark.parametrize("shares", [(0.8, 0.9), (0.8, 0.6), (0.6, 0.4)])
+def test_prefix_equals_a_shorter_fit_with_sampling(rows, shares):
+    train = rows.where("fold > 0").select("features", F.col("TARGET").cast("double").alias("TARGET"))
+    settings = SMALL.with_(row_share=shares[0], feature_share=shares[1], rounds=6)
+    long = settings.estimator("features", "TARGET").fit(train)
+    short = settings.with_(rounds=3).estimator("features", "TARGET").fit(train)
+    held = rows.where("fold = 0")
+    a, b = ([r.probability[1] for r in m.transform(held).orderBy("EID").collect()] for m in (prefix_model(long, 3), short))
+    assert a == pytest.approx(b, abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["logLoss", "areaUnderROC"])
+def test_patience_ends_training(rows, monkeypatch, metric):
+    """Fewer rounds than asked are trained, and the model kept is that of a full training."""
+    from starfold.models import boosting
+
+    monkeypatch.setattr(boosting, "FIRST_ROUNDS", 4)
+    train, held = rows.where("fold > 0"), rows.where("fold = 0")
+    settings = SMALL.with_(rounds=64, patience=3, depth=3, learning_rate=1.0)
+    model = BoostedClassifier(settings, metric=metric).fit(train, held)
+    assert model.trained_rounds < 64
+    full = BoostedClassifier(settings.with_(rounds=model.trained_rounds)).fit(train).get_model()
+    columns = held.select("features", F.col("TARGET").cast("double").alias("TARGET"))
+    history = round_metrics(full, columns, "TARGET", metric)
+    assert model.get_model().getNumTrees == best_round(history, 3, metric != "logLoss")
+    assert model.history == pytest.approx(history[: len(model.history)])
+    assert len(model.train_history) == model.get_model().getNumTrees
+
+
+def test_areas_in_one_pass(spark, rows, fitted):
+    scored = fitted.predict(rows).withColumn("tied", F.round("score", 1)).withColumn("far", (F.col("score") - 0.5) * 900)
+    pairs = scored.select("TARGET", "score", "tied", "far").collect()
+    want = [auc_by_pairs([(r.TARGET, r[c]) for r in pairs]) for c in ("score", "tied", "far")]
+    for buckets in (1, 7, 4096):
+        assert areas_under_roc(scored, "TARGET", ["score", "tied", "far"], buckets) == pytest.approx(want)
+
+
 def test_tolerance_stops_training(rows):
     train, held = rows.where("fold > 0"), rows.where("fold = 0")
     eager = BoostedClassifier(SMALL.with_(rounds=20, tolerance=0.5)).fit(train, held)
     strict = BoostedClassifier(SMALL.with_(rounds=20, tolerance=0.0)).fit(train, held)
     assert eager.get_model().getNumTrees < strict.get_model().getNumTrees
+    assert len(eager.history) == len(eager.train_history) == eager.get_model().getNumTrees
     assert area_under_roc(strict.predict(held), "TARGET", "score") > 0.7
 
 

@@ -64,6 +64,18 @@ def test_run_from_csv_to_csv(spark, inputs, tmp_path, name):
         assert 1 <= len(outcome.history) <= 3
 
 
+def test_training_rows_without_target_are_not_scored(spark, inputs, tmp_path):
+    import shutil
+
+    folder = tmp_path / "in"
+    shutil.copytree(inputs, folder)
+    train = (folder / "train.csv").read_text().replace("\n5,0\n", "\n5,?\n").replace("\n5,1\n", "\n5,?\n")
+    (folder / "train.csv").write_text(train)
+    outcome = run_files(spark, str(folder), str(tmp_path / "out"), RUNS["base"].sized(rounds=2, depth=2))
+    assert outcome.unreadable == 1
+    assert sorted(r.EID for r in outcome.submission.collect()) == list(range(91, 121))
+
+
 def test_presets():
     assert {n: r.threshold for n, r in RUNS.items()} == {
         "base": 0.222, "carry": 0.222, "wide": 0.271, "stacked": 0.34

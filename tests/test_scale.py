@@ -87,7 +87,27 @@ def test_star_join_shuffles_the_spine_once(spark):
     assert plan.count("SortMergeJoin") == 4
 
 
-FITS_MODELS = {"oof_rows", "run_rows"}
+def test_scaled_block_reads_its_source_once(spark):
+    """Order lines and orders are joined once, while the block is written."""
+    from starfold.operators import blocks
+
+    plans = []
+    original = blocks.materialize
+
+    def watched(df, name, by=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, name, by)
+
+    blocks.materialize = watched
+    try:
+        df = QUERIES["company_branch_base"](spark, FOLDER)
+    finally:
+        blocks.materialize = original
+    after = df._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 1 and plans[0].count("lineitem.parquet") == 1 and "lineitem.parquet" not in after
+
+
+FITS_MODELS = {"oof_rows", "run_rows", "gbt_stump"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "SortAggregate")
 

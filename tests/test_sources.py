@@ -51,14 +51,26 @@ def test_row_key_over_several_files(spark, tmp_path):
     assert [r.v for r in df.repartition(5).orderBy("row_id").collect()] == list(range(30))
 
 
-def test_single_file_key_keeps_hash_aggregation(spark, tmp_path):
-    text = "EID,ALTERNO,ALTDATE,ALTBE,ALTAF\n1,a,2014-05,1,2\n1,b,2014-05,3,9\n1,a,2013-12,0,0\n"
-    df = read_csv(spark, put(tmp_path, "alter.csv", text), STAR_SCHEMAS["alter"], row_key="row_id")
+@pytest.mark.parametrize("files", [1, 3])
+def test_row_key_keeps_hash_aggregation(spark, tmp_path, files):
+    lines = ["1,a,2013-12,0,0\n", "1,a,2014-05,1,2\n", "1,b,2014-05,3,9\n"]
+    for i in range(files):
+        own = lines if files == 1 else lines[i : i + 1]
+        put(tmp_path, f"part {i}.csv", "EID,ALTERNO,ALTDATE,ALTBE,ALTAF\n" + "".join(own))
+    df = read_csv(spark, str(tmp_path), STAR_SCHEMAS["alter"], row_key="row_id")
+    assert df.schema["row_id"].dataType.simpleString() == "decimal(28,0)"
     block = alter_block(df, WIDE)
     assert "SortAggregate" not in block._jdf.queryExecution().executedPlan().toString()
     assert block.first().ALTAF_ALTBE == pytest.approx(math.log1p(9 - 3))
 
 
+def test_another_header_raises_instead_of_swapping(spark, tmp_path):
+    put(tmp_path, "a.csv", "EID,X,Y\n1,10,20\n")
+    put(tmp_path, "b.csv", "EID,Y,X\n2,20,10\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(tmp_path), "EID long, X int, Y int").collect()
+
+
 def test_star_reader_finds_all_tables(spark, tmp_path):
     heads = {
         "train": "EID,TARGET\n1,1\n", "test": "EID\n2\n", "entbase": "EID,ZCZB,ETYPE,FINZB,TZINUM,HY\n1,5,2,,1,9\n",

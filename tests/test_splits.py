@@ -58,10 +58,30 @@ def test_exact_folds_differ_by_one_row(spark, n):
     assert order == sorted(order)
 
 
+def test_few_rows_are_ranked_per_cut(spark):
+    """The second split leaves about n / 2^(2 * bits) hashes for the ranking."""
+    from starfold.operators import split
+
+    ids = spark.range(20_000).withColumnRenamed("id", "EID")
+    plan = []
+    original = split._refined
+
+    def watched(near, bits):
+        plan.append(near.count())
+        return original(near, bits)
+
+    split._refined = watched
+    try:
+        got = exact_split(ids, "EID", 0.3, 10000, bits=2).where("is_valid = 1").count()
+    finally:
+        split._refined = original
+    assert got == 6000 and plan[0] < 20_000 / 4 * 1.2
+
+
 def test_copies_of_a_key_stay_together(spark):
     ids = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("EID"))
     for out, df in (
-        ("is_valid", exact_split(ids, "EID", 0.3, 10000, bits=4)),
+        ("is_valid", exact_split(ids, "EID", 0.3, 10000, bits=2)),
         ("fold", exact_folds(ids, "EID", 4, bits=4)),
     ):
         assert df.count() == 3000
