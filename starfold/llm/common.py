@@ -13,7 +13,7 @@ from starfold.sources import table
 
 __all__ = ["blank", "bound_batches", "components", "cut", "map_batches", "small_enough", "table"]
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BROADCAST_BYTES = 16 << 20
 
 

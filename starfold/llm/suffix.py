@@ -33,7 +33,7 @@ GRAM = 64
 MOST_PIECES = 256
 FAN_OUT = 4
 CHUNK = 1 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 SEED = 5
 
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
