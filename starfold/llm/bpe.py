@@ -108,7 +108,7 @@ def stitched(docs: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = O
     )
     plan = cut(plan, "bpe-seams")
     size = plan.agg(F.coalesce(F.sum("seams"), F.lit(0))).first()[0]
-    held = rows.drop("head", "tail").join(small_enough(plan.drop("seams"), size, 64), "row", "left")
+    held = rows.drop("head", "tail").join(small_enough(plan.drop("seams"), size, 200), "row", "left")
     limit = F.least("n", F.coalesce("open", "n"))
 
     def edge(k):

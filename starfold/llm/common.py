@@ -14,7 +14,7 @@ from starfold.sources import table
 __all__ = ["blank", "bound_batches", "components", "cut", "map_batches", "small_enough", "table"]
 
 BATCH_BYTES = 2 << 20
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +47,10 @@ def blank(c: str) -> Column:
 
 
 def small_enough(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only for a side whose counted size is under the limit; else leave it to a shuffle."""
+    """Hint a broadcast only for a side whose counted size is under the limit; else leave it to a shuffle.
+
+    ``row_bytes`` is what a row takes in the hash table of the join, several times its raw width.
+    """
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 

@@ -161,13 +161,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     # outer, because a plain explode makes Spark split each text once more to test for emptiness
     word_rows = split.select("doc_id", "lead", F.posexplode_outer("pieces").alias("pos", "w"))
     placed = word_rows.select("doc_id", (F.col("pos") - F.col("lead")).alias("pos"), F.xxhash64("w").alias("word"))
-    hits = placed.join(small_enough(prefix, n_prefix, 64), "word")
+    hits = placed.join(small_enough(prefix, n_prefix, 200), "word")
     hits = hits.select("doc_id", "item_id", "n_words", "hash", (F.col("pos") - F.col("back")).alias("at"))
     hits = cut(hits.where("at >= 0").distinct(), "benchmark-hits")
     hit_docs = cut(hits.select("doc_id").distinct(), "benchmark-hit-docs")
 
     # 2. only the documents with such words are read again; the shingles at their places are compared
-    wanted = rows.join(small_enough(hit_docs, hit_docs.count(), 16), "doc_id", "left_semi")
+    wanted = rows.join(small_enough(hit_docs, hit_docs.count(), 64), "doc_id", "left_semi")
     places = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "hash", "at")).alias("places"))
     held = wanted.join(places, "doc_id").withColumn("words", words_of(F.col("text")))
     true = F.filter("places", lambda p: _joined(F.slice("words", p["at"] + 1, n)) == p["hash"])

@@ -104,7 +104,7 @@ def _cells(described: DataFrame) -> DataFrame:
     lengths = lists.groupBy("dim", "p", "q").count().where("count > 1")
     lengths = cut(lengths.select("dim", "p", "q", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "list-lengths")
     placed = described.withColumn("l", F.explode(pairs)).select("*", "l.p", "l.q").drop("l")
-    placed = placed.join(small_enough(lengths, lengths.count(), 48), ["dim", "p", "q"])
+    placed = placed.join(small_enough(lengths, lengths.count(), 120), ["dim", "p", "q"])
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int").alias("own")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("*", own, other)

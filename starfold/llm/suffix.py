@@ -134,7 +134,7 @@ def _with_text(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     )
     by_text = cut(by_text, "suffix-readings")
     names = by_text.select("d", "row")
-    held = rows.select("d", "row", "text").join(small_enough(names, names.count(), 32), ["d", "row"], "left_semi")
+    held = rows.select("d", "row", "text").join(small_enough(names, names.count(), 96), ["d", "row"], "left_semi")
     held = held.dropDuplicates(["d", "row"]).join(by_text, ["d", "row"])
 
     def run(batch):
@@ -226,8 +226,8 @@ def repeated_windows(pieces: DataFrame, length: int, width: int) -> DataFrame:
     n_hot = hot.count()
     if not n_hot:
         return sorted_repeats(pieces, length)
-    few = sorted_repeats(pieces.join(small_enough(hot, n_hot, 16), "key", "left_anti"), length)
-    many = pieces.join(small_enough(hot, n_hot, 16), "key", "left_semi")
+    few = sorted_repeats(pieces.join(small_enough(hot, n_hot, 64), "key", "left_anti"), length)
+    many = pieces.join(small_enough(hot, n_hot, 64), "key", "left_semi")
     if width == 1:
         # the key is the window itself: whatever differs under it differs by a hash collision only
         whole = F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b")))
@@ -268,13 +268,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         raise ValueError("gram must lie between 1 and length")
     rows = _keyed(docs)
     keys = repeated_keys(rows, length, gram)
-    met = places(rows, length, gram).join(small_enough(keys, keys.count(), 16), "key", "left_semi")
+    met = places(rows, length, gram).join(small_enough(keys, keys.count(), 64), "key", "left_semi")
     met = cut(met, "suffix-places")
     contents = met.groupBy("key", "hash", "offset", "count").agg(
         F.count("*").alias("n"), F.min(F.struct("d", "row", "start")).alias("at")
     )
     contents = cut(contents, "suffix-contents")
-    rivals = contents.groupBy("key").agg(F.count("*").alias("different"))
+    # written, so that a key with very many pieces can be split in the join
+    rivals = cut(contents.groupBy("key").agg(F.count("*").alias("different")), "suffix-rivals")
     classed = contents.join(rivals, "key")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b")))
     alone = classed.where("different = 1 and n > 1").select("key", "hash", whole.alias("runs"))
@@ -301,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         yield pa.record_batch(arrays, names=["doc_id", "n_bytes", "spans", "kept"])
 
     columns = ["doc_id", "text", "runs"]
-    if touched * 32 > BROADCAST_BYTES:
+    if touched * 96 > BROADCAST_BYTES:
         return map_batches(rows.join(marks, ["d", "row"], "left").select(columns), run, REMOVED)
     # few enough names to tell, without a shuffle, which texts stay as they are
     clean = rows.join(F.broadcast(names), ["d", "row"], "left_anti")

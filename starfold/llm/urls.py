@@ -85,7 +85,7 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 def possible(urls: DataFrame, filter_rows: DataFrame, blocks: int) -> DataFrame:
     """``urls`` (column ``canonical``) with ``maybe``: false for none of the listed ones."""
     probe = urls.withColumn("block", _block(F.col("canonical"), blocks))
-    words = small_enough(filter_rows, blocks, 8 * (WORDS + 1) * 2)
+    words = small_enough(filter_rows, blocks, 120)
     found = probe.join(words, "block", "left")
     hits = [F.col(n).bitwiseAND(m) == m for n, m in zip(WORD_NAMES, _masks(F.col("canonical")))]
     maybe = F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))
