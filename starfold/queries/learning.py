@@ -17,7 +17,6 @@ from starfold.models import (
     gain_importance,
     kept_rounds,
     metric_history,
-    out_of_fold,
     split_importance,
     submission,
     top_features,
@@ -38,14 +37,28 @@ from starfold.sources import (
     write_scored,
 )
 
-# Query-sized training: the presets with fewer rounds, smaller trees and fewer folds.
-ROUNDS, DEPTH, FOLDS = 4, 3, 3
+# The registered queries train the presets with their own depth, leaf sizes, shares and folds, but
+# at most this many rounds: each round is a pass over the data per tree level, and a full training with
+# patience takes one to three minutes per fit on one machine. ``run_files`` trains the presets in full.
+ROUNDS = 12
+FOLDS = RUNS["stacked"].folds
 THRESHOLD = 0.222
 LANGUAGES = ("de", "en", "es", "fr")
 
 
+_FITTED: dict[tuple, tuple] = {}
+
+
 def _small(settings: BoostSettings) -> BoostSettings:
-    return settings.with_(rounds=ROUNDS, depth=DEPTH, min_leaf_rows=1)
+    return settings.with_(rounds=ROUNDS)
+
+
+def _once(spark, key, make):
+    """Queries about one model share its fit: made once per application, folder and settings."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
 
 
 def _frame(spark, sf):
@@ -57,6 +70,10 @@ def _frame(spark, sf):
 
 
 def _fit(spark, sf, settings=MANY_LEAVES, metric="logLoss"):
+    return _once(spark, ("fit", sf, settings, metric), lambda: _new_fit(spark, sf, settings, metric))
+
+
+def _new_fit(spark, sf, settings, metric):
     frame, names = _frame(spark, sf)
     labelled = frame.where(F.col("TARGET").isNotNull())
     split = materialize(
@@ -232,11 +249,19 @@ def _folded(spark, sf):
 BASE_MODELS = (_small(MANY_LEAVES), _small(DEPTH_SIX))
 
 
+def _stacked(spark, sf):
+    """The rows and the stack fitted on them."""
+
+    def make():
+        frame, train = _folded(spark, sf)
+        return frame, Stack(BASE_MODELS, _small(MANY_LEAVES), FOLDS).fit(train)
+
+    return _once(spark, ("stack", sf), make)
+
+
 @query("oof_stack")
 def oof_stack(spark, sf):
-    _, train = _folded(spark, sf)
-    scores, _ = out_of_fold(train, BASE_MODELS, FOLDS)
-    return scores.select("EID", "TARGET", "fold", "score_0", "score_1")
+    return _stacked(spark, sf)[1].oof.select("EID", "TARGET", "fold", "score_0", "score_1")
 
 
 def _in_range(column):
@@ -260,24 +285,23 @@ def oof_rows(spark, sf):
 
 @query("fold_mean")
 def mean_over_folds(spark, sf):
-    frame, train = _folded(spark, sf)
-    _, models = out_of_fold(train, BASE_MODELS, FOLDS)
-    return fold_mean(_unlabelled(frame), models).select("EID", "score_0", "score_1")
+    frame, stack = _stacked(spark, sf)
+    return fold_mean(_unlabelled(frame), stack.models).select("EID", "score_0", "score_1")
 
 
 @query("blend")
 def blend(spark, sf):
-    frame, train = _folded(spark, sf)
-    stack = Stack(BASE_MODELS, _small(MANY_LEAVES), FOLDS).fit(train)
+    frame, stack = _stacked(spark, sf)
     return submission(stack.predict(_unlabelled(frame)), 0.34)
 
 
 def _run_query(name):
     def run(spark, sf):
-        small = RUNS[name].sized(ROUNDS, DEPTH, FOLDS)
-        return score_companies(bindings.company_star(spark, sf), small, "logLoss").submission
+        run = RUNS[name].sized(ROUNDS)
+        star = bindings.company_star(spark, sf)
+        return _once(spark, ("run", sf, name), lambda: score_companies(star, run)).submission
 
-    run.__doc__ = f"The {name} run over the bound company tables, with small models."
+    run.__doc__ = f"The {name} run over the bound company tables, in few rounds."
     return run
 
 
