@@ -40,9 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ranks = bpe.read_ranks(RANKS)
-    pieces = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(pieces, ranks, public_tokenizers.PATTERN), len(ranks.splitlines()))
+    return bpe.document_digests(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
 
 
 STAGES = [

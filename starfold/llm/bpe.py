@@ -162,27 +162,70 @@ def decode(pieces: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return map_batches(pieces, run, f"{PIECES}, bytes binary")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+class _Digest:
+    """Token count and running digests of one document."""
+
+    def __init__(self):
+        self.count, self.text, self.raw = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: list[int], data: bytes, decimal: list[str]) -> None:
+        if ids:
+            self.text.update(((" " if self.count else "") + " ".join(map(decimal.__getitem__, ids))).encode())
+        self.raw.update(data)
+        self.count += len(ids)
+
+    def row(self, doc) -> tuple:
+        return doc, self.count, self.text.hexdigest(), self.raw.hexdigest()
+
+
+def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+
+
 def digests(decoded: DataFrame, vocabulary: int) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, from pieces in ``encode``'s order."""
 
     def run(batches):
-        decimal = _decimals(vocabulary)
-        text, raw, n = hashlib.sha256(), hashlib.sha256(), 0
+        decimal, own = _decimals(vocabulary), _Digest()
         for batch in batches:
             out = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_pieces", "ids", "bytes")]
             for doc, piece, pieces, ids, data in zip(*columns):
-                if ids:
-                    text.update(((" " if n else "") + " ".join(map(decimal.__getitem__, ids))).encode())
-                raw.update(data)
-                n += len(ids)
+                own.add(ids, data, decimal)
                 if piece == pieces - 1:
-                    out.append((doc, n, text.hexdigest(), raw.hexdigest()))
-                    text, raw, n = hashlib.sha256(), hashlib.sha256(), 0
+                    out.append(own.row(doc))
+                    own = _Digest()
             if out:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                arrays = [pa.array(x, t) for x, t in zip(zip(*out), types)]
-                yield pa.record_batch(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield _digest_batch(out)
 
     bound_batches(decoded.sparkSession)
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.mapInArrow(run, DIGESTS)
+
+
+def document_digests(
+    docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """``digests(decode(encode(docs)))``, with one Python pass over the texts of one piece.
+
+    Such a text is encoded, decoded and digested by the same worker, so its ids never leave it.
+    """
+    vocabulary = len(ranks.splitlines())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text"))
+    is_long = F.length("text") > chunk + overlap
+
+    def run(batch):
+        bpe, decimal, out = encoder(ranks, pattern), _decimals(vocabulary), []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own, ids = _Digest(), bpe.encode_ordinary(text)
+            own.add(ids, bpe.decode_bytes(ids), decimal)
+            out.append(own.row(doc))
+        yield _digest_batch(out)
+
+    short = map_batches(rows.where(~is_long), run, DIGESTS)
+    long = decode(encode(rows.where(is_long), ranks, pattern, chunk, overlap), ranks, pattern)
+    return short.unionByName(digests(long, vocabulary))

@@ -12,11 +12,6 @@ smallest hash of their id. Everything else runs over all rows.
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -26,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfold.llm.common import cut, map_batches
+from starfold.llm.views import Model, View, content_tokens, metadata_tokens
 
 SAMPLE_ROWS = 20_000
 VOCABULARY = 4096
@@ -37,76 +33,9 @@ ROUNDS = 3
 SURE = 0.97
 PENALTY = 0.3
 REJECT_AT = 0.5
-WORD = re.compile(r"[^\W\d_]+")
-SYMBOLS = re.compile(r"[^\w\s.,]+|[.,]{2,}")
 VIEWS = ("content", "metadata")
 
 
-def content_tokens(text: str | None) -> set[str]:
-    """Presence features of a text; shares are cut to tenths. Null is read as empty."""
-    text = text or ""
-    words = WORD.findall(text.lower())
-    tokens = set(words)
-    tokens.update("~" + run[:3] for run in SYMBOLS.findall(text))
-    if words:
-        letters = max(1, sum(map(len, words)))
-        upper = sum(map(str.isupper, text))
-        common = Counter(words).most_common(1)[0][1]
-        tokens.add(f"~upper {10 * upper // letters}")
-        if len(words) >= 20:
-            tokens.add(f"~distinct {10 * len(set(words)) // len(words)}")
-            tokens.add(f"~common {10 * common // len(words)}")
-        tokens.add(f"~symbols {min(10, 10 * (len(text) - letters - text.count(' ')) // letters)}")
-    else:
-        tokens.add("~wordless")
-    return tokens
-
-
-def metadata_tokens(source: str | None, lang: str | None, text: str | None) -> set[str]:
-    """Presence features that do not look at the words."""
-    text = text or ""
-    return {
-        f"source {source}",
-        f"lang {lang}",
-        f"length {int(math.log2(len(text) + 1))}",
-        f"lines {int(math.log2(text.count(chr(10)) + 1))}",
-    }
-
-
-@dataclass
-class View:
-    """One fitted linear view: margin = intercept + the weights of the tokens that are present."""
-
-    weights: dict[str, float] = field(default_factory=dict)
-    intercept: float = 0.0
-    slope: float = 1.0
-    offset: float = 0.0
-
-    def margin(self, tokens: set[str]) -> float:
-        return self.intercept + math.fsum(self.weights[t] for t in tokens if t in self.weights)
-
-
-@dataclass
-class Model:
-    """Both views and the weights that combine their calibrated margins."""
-
-    content: View
-    metadata: View
-    combine: tuple[float, float, float]
-
-    def scores(self, source, lang, text) -> tuple[float, float, float]:
-        """(content, metadata, combined) probability that a document is to be rejected."""
-        one = self.content.margin(content_tokens(text))
-        two = self.metadata.margin(metadata_tokens(source, lang, text))
-        a, b, c = self.combine
-        margins = (
-            self.content.slope * one + self.content.offset,
-            self.metadata.slope * two + self.metadata.offset,
-            a * one + b * two + c,
-        )
-        return tuple(1 / (1 + math.exp(-max(-500.0, min(500.0, m)))) for m in margins)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Newton steps for a logistic fit of a few columns; the last weight is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])

@@ -14,7 +14,6 @@ keys whatever the corpus, so they get arrays of their own that travel with the t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -138,13 +137,14 @@ def document_keys(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
 def shard_arrays(keys: DataFrame) -> DataFrame:
     """One row of arrays per shard from (shard, h1, h2, n, first_doc)."""
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        h1, h2 = (part[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        made = Arrays.build(h1, h2, part["n"].to_numpy(), part["first_doc"].to_numpy().astype(np.int64))
-        names = [c.split()[0] for c in ARRAYS.split(", ")]
-        return pd.DataFrame([(int(part["shard"].iloc[0]), *made.row())], columns=["shard", *names])
+    def build(part: pa.Table) -> pa.Table:
+        h1, h2, counts, firsts = (part.column(c).to_numpy() for c in ("h1", "h2", "n", "first_doc"))
+        row = Arrays.build(h1.view(np.uint64), h2.view(np.uint64), counts, firsts).row()
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        columns = [part.column("shard").slice(0, 1), *[pa.array([v], t) for v, t in zip(row, kinds)]]
+        return pa.table(columns, names=["shard", *[c.split()[0] for c in ARRAYS.split(", ")]])
 
-    return keys.groupBy("shard").applyInPandas(build, f"shard int, {ARRAYS}")
+    return keys.groupBy("shard").applyInArrow(build, f"shard int, {ARRAYS}")
 
 
 def _probe(batches):

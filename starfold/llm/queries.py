@@ -63,8 +63,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @query
 def op1_byte_bpe(spark, sf_dir):
     ranks = bpe.read_ranks(RANKS)
-    pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(pieces, ranks, public_tokenizers.PATTERN), len(ranks.splitlines()))
+    return bpe.document_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 @query

@@ -47,6 +47,8 @@ def test_bpe_pieces_equal_whole_texts(spark):
     expected = [(d, *whole_text(t)) for d, t in rows]
     assert ordered(tuple(r) for r in found) == ordered(expected)
     assert max(r.n_pieces for r in pieces.collect()) > 3
+    fused = bpe.document_digests(documents(spark, rows), RANKS, PATTERN, chunk=200, overlap=40).collect()
+    assert ordered(tuple(r) for r in fused) == ordered(expected)
 
 
 def test_bpe_chunks_overlap_and_cover():
