@@ -3,7 +3,6 @@ from starfold.operators.assemble import (  # noqa: F401
     anti,
     assemble,
     attach,
-    cross_table_ratio,
     matching,
     stack_rows,
     unique_rows,

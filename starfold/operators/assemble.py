@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfold.functions.nulls import fill_numeric
-from starfold.functions.scalars import ratio
+from starfold.session import materialize
 
 
 def unique_rows(df: DataFrame, key: str) -> DataFrame:
@@ -54,10 +54,12 @@ def anti(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def attach(df: DataFrame, lookup: DataFrame, key: str, small_rows: int = 10_000) -> DataFrame:
     """Left-join a frame with one row per key that is not the entity key.
 
-    Rows of ``df`` may pile up on one key. When the lookup is counted to be small it is broadcast
-    and no row of ``df`` moves; otherwise adaptive execution splits the heavy partitions.
+    Rows of ``df`` may pile up on one key. The lookup is written once; when it is counted to be small
+    it is broadcast and no row of ``df`` moves, otherwise adaptive execution splits the heavy
+    partitions.
     """
-    small = lookup.select(key).limit(small_rows + 1).count() <= small_rows
+    lookup = materialize(lookup, "lookup")
+    small = lookup.count() <= small_rows
     return df.join(F.broadcast(lookup) if small else lookup, key, "left")
 
 
@@ -66,14 +68,6 @@ def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "full")
 
 
-def cross_table_ratio(
-    left: DataFrame, right: DataFrame, key: str, numerator: str, denominator: str, out: str
-) -> DataFrame:
-    """Ratio of two entity-level aggregates from different tables, over the keys of ``left``."""
-    both = left.join(right, key, "left")
-    return both.select(key, ratio(numerator, denominator).alias(out))
-
-
 def stack_rows(first: DataFrame, second: DataFrame) -> DataFrame:
     """All rows of both frames, matched by column name; absent columns become NULL."""
     return first.unionByName(second, allowMissingColumns=True)

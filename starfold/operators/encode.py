@@ -82,6 +82,7 @@ def codebook(
     """
     first = F.col(column) if order is None else F.min(order)
     seen = df.groupBy(column).agg(F.any_value(first).alias("_first") if order is None else first.alias("_first"))
+    seen = materialize(seen, "values")
     head = seen.limit(small_rows + 1).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0)).alias("b"),

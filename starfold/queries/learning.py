@@ -61,6 +61,11 @@ def _once(spark, key, make):
     return _FITTED[key]
 
 
+def forget_fits() -> None:
+    """Fit anew from here on, for timing."""
+    _FITTED.clear()
+
+
 def _frame(spark, sf):
     """Features as one vector, written once; labelled and unlabelled documents together."""
     matrix = document_matrix(spark, sf)

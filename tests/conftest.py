@@ -5,18 +5,20 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from starfold.session import build_session  # noqa: E402
+from starfold.session import build_session, clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "starfold-tests",
         "local[8]",
         spark__sql__shuffle__partitions=8,
         spark__driver__memory="8g",
         spark__default__parallelism=8,
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

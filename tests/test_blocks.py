@@ -12,7 +12,6 @@ from starfold.operators import (
     attach,
     base_rate,
     coverage,
-    cross_table_ratio,
     distinct_ids,
     stack_rows,
     unique_rows,
@@ -144,14 +143,6 @@ def test_assembly_keeps_the_spine_and_fills(spark):
     }
 
 
-def test_ratio_across_tables(spark):
-    left = spark.createDataFrame([(1, 6.0), (2, 1.0), (3, 1.0)], "EID int, num double")
-    right = spark.createDataFrame([(1, 3.0), (2, 0.0), (4, 1.0)], "EID int, den double")
-    got = by_key(cross_table_ratio(left, right, "EID", "num", "den", "r"))
-    assert {k: v["r"] for k, v in got.items()} == {1: 2.0, 2: None, 3: None}
-    assert sorted(by_key(align(left, right, "EID"))) == [1, 2, 3, 4]
-
-
 def test_profile(spark):
     a = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "EID int, TARGET int")
     b = spark.createDataFrame([(2,), (3,), (3,)], "EID int")
