@@ -35,6 +35,7 @@ FOLDS = 10
 ADD = 0.1
 SEGMENT = 128
 BLOCK_TOKENS = 1 << 20
+BLOCK_SEGMENTS = BLOCK_TOKENS // SEGMENT
 FLUSH_WORDS = 400_000
 SEED = 17
 END_SYMBOL = 0
@@ -242,7 +243,7 @@ def expected_counts(model: Hmm, flat: np.ndarray, starts: np.ndarray, lengths: n
     return gammas[-1].sum(axis=0), moves * move, emits
 
 
-def _blocks(batches, columns: list[str]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+def _blocks(batches) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Batches up to about ``BLOCK_TOKENS`` tokens with all their symbols and the documents' lengths."""
     held, size = [], 0
     for batch in batches:
@@ -280,9 +281,12 @@ def train(documents: DataFrame, unigram: np.ndarray, states: int = STATES, steps
 
         def run(batches, model=model):
             sums = np.zeros((size + states + 1, states))
-            for _, flat, lengths in _blocks(batches, []):
-                begin, moves, emits = expected_counts(model, flat, *_segments(lengths))
-                sums += np.concatenate([emits, moves, begin[None]])
+            for _, flat, lengths in _blocks(batches):
+                starts, sizes = _segments(lengths)
+                for i in range(0, len(starts), BLOCK_SEGMENTS):
+                    part = slice(i, i + BLOCK_SEGMENTS)
+                    begin, moves, emits = expected_counts(model, flat, starts[part], sizes[part])
+                    sums += np.concatenate([emits, moves, begin[None]])
             used = np.flatnonzero(sums.any(axis=1))
             columns = [pa.array(used, pa.int32()), *[pa.array(np.ascontiguousarray(sums[used, k])) for k in range(states)]]
             yield pa.record_batch(columns, names=["row", *names])
@@ -316,7 +320,7 @@ def score(docs: DataFrame, states: int = STATES, steps: int = STEPS) -> DataFram
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_in_class"]
 
     def run(batches):
-        for held, flat, lengths in _blocks(batches, names):
+        for held, flat, lengths in _blocks(batches):
             found = log_likelihoods(model, flat, np.cumsum(lengths) - lengths, lengths)
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             yield pa.record_batch([*[whole.column(n) for n in names], pa.array(found)], names=[*names, "log_symbols"])
