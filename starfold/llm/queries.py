@@ -145,3 +145,91 @@ def op2_suffix_dedup(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+ORACLES["op8_license_scan"] = rf"""
+with lower as (
+    select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+    from documents
+), words as (
+    select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from lower
+), phrases as (
+    select string_split(phrase, ' ') as p, label from (values {_values(licenses.PHRASES)}) v(phrase, label)
+), places as (
+    select doc_id, label, i - 1 as start
+    from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words) s, phrases
+    where w[i] = p[1] and w[i:i + len(p) - 1] = p
+), base as (
+    select doc_id, count(*) as n_base, min(start) as first_word, max(start) as last_word,
+           string_agg(distinct label, ',' order by label) as base_labels
+    from places group by 1
+), templates as (
+    select label, list_distinct(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t
+    from (values {_values(licenses.TEMPLATES)}) v(label, text)
+), lines as (
+    select doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w
+    from (select doc_id, unnest(string_split(t, chr(10))) as line from lower)
+), blocks as (
+    select doc_id, label, len(list_intersect(t, w))::double / len(t) as containment
+    from lines, templates where len(list_intersect(t, w)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)
+), method as (
+    select doc_id, max(containment) as score from blocks group by 1
+), labelled as (
+    select doc_id, string_agg(distinct label, ',' order by label) as labels
+    from (select doc_id, label from places union all select doc_id, label from blocks) group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+from words left join base using (doc_id) left join labelled using (doc_id) left join method using (doc_id)
+"""
+
+
+ORACLES["op2_suffix_dedup"] = r"""
+with docs as (
+    select doc_id, encode(coalesce(text, '')) as raw from documents
+), windows as (
+    select doc_id, i, hash(raw[i + 1:i + 200]) as h
+    from (select doc_id, raw, unnest(range(0, octet_length(raw) - 199)) as i from docs)
+), repeated as (
+    select doc_id, i from windows
+    where h in (select h from windows group by h having count(*) > 1)
+), marked as (
+    select doc_id, i, coalesce(i > lag(i) over w + 200, true)::int as fresh
+    from repeated window w as (partition by doc_id order by i)
+), spans as (
+    select doc_id, span, min(i) as a, max(i) + 200 as b
+    from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as span from marked) group by all
+), edges as (
+    select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans
+), cut as (
+    select doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed, max(b) as last,
+           list(raw[before + 1:a] order by a) as parts
+    from edges join docs using (doc_id) group by 1
+)
+select doc_id, octet_length(raw)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(case when n_spans is null then raw
+                   else list_reduce(parts, lambda x, y: x || y) || raw[last + 1:] end) as kept_sha256
+from docs left join cut using (doc_id)
+"""
+
+ORACLES["op10_embedding_near_dedup"] = """
+with recursive vectors as (
+    select vec_id, embedding::double[] as x from embeddings
+), usable as (
+    select vec_id, x from vectors
+    where len(list_filter(x, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(x, lambda v: v <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from usable a join usable b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+    where list_cosine_similarity(a.x, b.x) >= 0.9
+), reached(a, b) as (
+    select vec_id, vec_id from vectors union select r.a, l.b from reached r join links l on r.b = l.a
+), counted as (
+    select a, count(*) as n from links group by 1
+)
+select vec_id, coalesce(any_value(n), 0) as n_links, min(b) as component_id, vec_id = min(b) as kept
+from vectors join reached on vec_id = reached.a left join counted on vec_id = counted.a group by vec_id
+"""
