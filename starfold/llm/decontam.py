@@ -170,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     wanted = rows.join(small_enough(hit_docs, hit_docs.count(), 64), "doc_id", "left_semi")
     places = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "hash", "at")).alias("places"))
     held = wanted.join(places, "doc_id").withColumn("words", words_of(F.col("text")))
-    true = F.filter("places", lambda p: _joined(F.slice("words", p["at"] + 1, n)) == p["hash"])
+    true = F.filter("places", lambda p: _joined(F.slice("words", p["at"] + 1, F.least(F.lit(n), p["n_words"]))) == p["hash"])
     held = held.select("doc_id", "words", true.alias("places")).where(F.size("places") > 0)
     starts = F.array_distinct(
         F.flatten(

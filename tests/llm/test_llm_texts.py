@@ -192,6 +192,14 @@ def test_decontamination_against_all_windows(spark):
     assert len(found) == len(expected) > 40
 
 
+def test_items_shorter_than_a_shingle_match_whole(spark):
+    rows = [(1, "aa www1 w2 w3 bb cc dd ee"), (2, "www1 w2 w3"), (3, "zz solo yy"), (4, "www1 w2 w4 w3"), (5, "www1 w2")]
+    items = [(7, "WWW1 w2, w3"), (8, "solo")]
+    found = decontam.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.first_word) for r in found} == {(1, 7, 1), (2, 7, 0), (3, 8, 1)}
+    assert {k: 1.0 for k in contaminated(rows, items)} == {(r.doc_id, r.item_id): r.similarity for r in found}
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
