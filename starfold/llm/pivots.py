@@ -1,10 +1,10 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors, those with the smallest hash of their
-id: about sqrt(n), at most ``MAX_PIVOTS``. Every vector is described by the ids of its ``NEAREST``
-nearest pivots in order. Two vectors are candidates if their descriptions share ``SHARED`` pivots or
-more; as that is at least two, the inverted lists are kept per pair of pivots, which are short where
-lists of single pivots would be long. A pair of vectors that meets in several lists is counted in the
+Reference points (pivots) are a bounded sample of the vectors, those with the smallest hash: about
+sqrt(n), at most ``MAX_PIVOTS``. Every vector is described by the ids of its ``NEAREST`` nearest pivots
+in order. Two vectors are candidates if their descriptions share ``SHARED`` pivots or more; as that
+is at least two, the inverted lists are kept per pair of pivots, which are short where lists of single
+pivots would be long. A pair of vectors that meets in several lists is counted in the
 list of its two smallest shared pivots only. Candidates are verified by their cosine.
 
 Lists longer than ``BLOCK`` are split: every pair of blocks is a cell of its own, so no task gets an
@@ -45,20 +45,23 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): vec_id with a 128-bit hash of its vector, and one row per usable vector."""
+    """(members, classes): vec_id with a 128-bit hash of its vector, and one row per usable vector.
+
+    A class goes by ``rep``, the first half of its hash; ``first_id`` is its smallest vec_id.
+    """
     x = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").distinct()
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     hashes = [F.when(usable, F.xxhash64("embedding", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
     x = x.select("vec_id", "embedding", *hashes)
     classes = x.where("h0 is not null").groupBy("h0", "h1")
-    classes = classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("vector"))
-    return x.drop("embedding"), cut(classes, "vector-classes")
+    classes = classes.agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("embedding").alias("vector"))
+    return x.drop("embedding"), cut(classes.withColumn("rep", F.col("h0")), "vector-classes")
 
 
 def pivot_sample(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: the ``count`` vectors with the smallest hash of their id."""
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(count).select("vector").collect()
+    """Unit pivots by dimension: the ``count`` vectors with the smallest hash."""
+    rows = classes.orderBy("h0", "h1").limit(count).select("vector").collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r.vector), []).append(r.vector)
@@ -189,23 +192,27 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, share
     number of dimensions are compared. Equal vectors are merged first and linked to each other.
     Null, empty and zero vectors and those with null or non-finite entries link with nothing and
     are kept. A row without vec_id links with nothing and has a null component and ``kept``.
-    Repeated rows (same id, same vector) are one vector; other columns are ignored.
+    Repeated rows (same id, same vector) are one vector; an id with several vectors has a row for
+    each. Other columns are ignored.
     """
     members, classes = distinct_vectors(embeddings)
     count = classes.count()
     size = min(MAX_PIVOTS, max(LEAST_PIVOTS, 1 << max(0, int(np.ceil(np.log2(max(count, 1)) / 2)))))
-    described = cut(permutations(classes.drop("h0", "h1"), pivot_sample(classes, size)), "permutations")
+    described = cut(permutations(classes, pivot_sample(classes, size)), "permutations")
     found = cut(cell_links(_cells(described), similarity, shared), "cell-links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.select("h0", "h1", "rep", "copies").join(sums, "rep", "left")
+    named = classes.select("h0", "h1", "rep", "first_id", "copies").join(sums, "rep", "left")
     named = named.join(parts, F.col("rep") == F.col("id"), "left")
     named = named.select(
         "h0",
         "h1",
+        "first_id",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"),
+        F.coalesce("root", "rep").alias("root"),
     )
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = named.join(smallest, "root").select("h0", "h1", "n_links", "component_id")
     out = members.where("h0 is not null").join(named, ["h0", "h1"]).select("vec_id", "n_links", "component_id")
     alone = members.where("h0 is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(alone).withColumn("n_links", F.col("n_links").cast("long"))

@@ -156,10 +156,12 @@ def test_embedding_links(spark, monkeypatch, block):
 
 
 def test_embedding_rows_without_id(spark):
-    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, None)]
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, None), (1, [0.0, 1.0]), (3, [0.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = ordered((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(frame).collect())
-    assert found == ordered([(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, None), (None, 0, None, None)])
+    assert found == ordered(
+        [(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False), (None, 0, None, None), (None, 0, None, None)]
+    )
 
 
 # tables without rows, awkward rows ---------------------------------------------------------------
