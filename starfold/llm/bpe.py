@@ -26,6 +26,7 @@ from starfold.llm.common import blank, bound_batches, cut, map_batches, small_en
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
+LONG_SPACE = regex.compile(r"\s{5000}")
 PIECES = "doc_id long, piece int, n_pieces int, ids array<int>"
 
 
@@ -41,6 +42,13 @@ def encoder(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def encode_text(bpe: tiktoken.Encoding, pattern: str, text: str) -> list[int]:
+    """The ids of one text. The library's own splitter overflows on very long runs of white space."""
+    if LONG_SPACE.search(text) is None:
+        return bpe.encode_ordinary(text)
+    return [i for match in regex.finditer(pattern, text) for i in bpe._encode_single_piece(match.group())]
+
+
 @functools.lru_cache(maxsize=4)
 def _decimals(size: int) -> list[str]:
     return [str(i) for i in range(size)]
@@ -138,7 +146,7 @@ def encode(
 
     def run(batch):
         bpe = encoder(ranks, pattern)
-        ids = [bpe.encode_ordinary(text) for text in batch.column("text").to_pylist()]
+        ids = [encode_text(bpe, pattern, text) for text in batch.column("text").to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -221,7 +229,7 @@ def document_digests(
     def run(batch):
         bpe, decimal, out = encoder(ranks, pattern), _decimals(vocabulary), []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own, ids = _Digest(), bpe.encode_ordinary(text)
+            own, ids = _Digest(), encode_text(bpe, pattern, text)
             own.add(ids, bpe.decode_bytes(ids), decimal)
             out.append(own.row(doc))
         yield _digest_batch(out)

@@ -51,6 +51,15 @@ def test_bpe_pieces_equal_whole_texts(spark):
     assert ordered(tuple(r) for r in fused) == ordered(expected)
 
 
+def test_bpe_of_long_runs(spark):
+    bpe_ = bpe.encoder(RANKS, PATTERN)
+    text = "a" + " " * 6000 + "b\n" + "\n" * 5500 + " it's 12!"
+    assert bpe.encode_text(bpe_, PATTERN, text) == bpe_.encode_ordinary(text)
+    rows = [(1, " " * 1_000_000), (2, "x" * 1_000_000 + "  y")]
+    found = bpe.document_digests(documents(spark, rows), RANKS, PATTERN).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in found} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in rows}
+
+
 def test_bpe_chunks_overlap_and_cover():
     text = "".join(chr(97 + i % 26) for i in range(1000))
     parts = bpe.chunks(text, 100, 20)
