@@ -1,15 +1,18 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors, those with the smallest hash: about
-sqrt(n), at most ``MAX_PIVOTS``. Every vector is described by the ids of its ``NEAREST`` nearest pivots
-in order. Two vectors are candidates if their descriptions share ``SHARED`` pivots or more; as that
-is at least two, the inverted lists are kept per pair of pivots, which are short where lists of single
-pivots would be long. A pair of vectors that meets in several lists is counted in the
+Reference points (pivots) are a cover of a bounded sample of the vectors, taken by smallest hash: about
+sqrt(n), at most ``MAX_PIVOTS``, none within cosine ``COVER`` of another, so that a dense cluster gets
+few of them whatever its share of the rows. Every vector is described by the ids of its ``NEAREST``
+nearest pivots in order; the nearest one is its home. Two vectors are candidates if they have the same
+home or their descriptions share ``SHARED`` pivots or more; as that is at least two, the inverted lists
+are kept per pair of pivots, which are short where lists of single pivots would be long. A pair of one
+home is counted in the list of that home; another pair that meets in several lists is counted in the
 list of its two smallest shared pivots only. Candidates are verified by their cosine.
 
 Lists longer than ``BLOCK`` are split: every pair of blocks is a cell of its own, so no task gets an
-unbounded list and no candidate is lost. A cell returns sums and a spanning star of its links, never
-its pairs.
+unbounded list and no candidate is lost. In the list of a pair of pivots a home with more than ``BLOCK``
+vectors has blocks of its own, which are not compared with each other. A cell returns sums and a
+spanning star of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from starfold.llm.common import bound_batches, components, cut, map_batches, sma
 SIMILARITY = 0.9
 MAX_PIVOTS = 4096
 LEAST_PIVOTS = 64
+COVER = 0.75
+CANDIDATES = 4
 NEAREST = 8
 SHARED = 2
 BLOCK = 256
+ONE_HOME = -NEAREST - 1
 CELL = ["dim", "p", "q", "a", "b"]
 
 
@@ -59,13 +65,25 @@ def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x.drop("embedding"), cut(classes.withColumn("rep", F.col("h0")), "vector-classes")
 
 
+def cover(vectors: np.ndarray, count: int, within: float = COVER) -> np.ndarray:
+    """At most ``count`` of the unit vectors, in their order, none within that cosine of another."""
+    nearest, kept = np.full(len(vectors), -2.0), []
+    for i in range(len(vectors)):
+        if nearest[i] < within:
+            kept.append(i)
+            nearest = np.maximum(nearest, vectors @ vectors[i])
+            if len(kept) == count:
+                break
+    return vectors[kept]
+
+
 def pivot_sample(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: the ``count`` vectors with the smallest hash."""
-    rows = classes.orderBy("h0", "h1").limit(count).select("vector").collect()
+    """Unit pivots by dimension: a cover of the ``CANDIDATES * count`` vectors with the smallest hash."""
+    rows = classes.orderBy("h0", "h1").limit(CANDIDATES * count).select("vector").collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r.vector), []).append(r.vector)
-    return {d: _unit(np.array(v, float)) for d, v in by_dim.items()}
+    return {d: cover(_unit(np.array(v, float)), count) for d, v in by_dim.items()}
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray | None, nearest: int = NEAREST) -> np.ndarray:
@@ -95,27 +113,62 @@ def permutations(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
     return map_batches(classes, run, f"rep long, copies long, vector {kind}, dim int, ids array<int>")
 
 
-def _cells(described: DataFrame) -> DataFrame:
-    """Every vector once for each list it is in, and there once for each cell of the list."""
+def _home_cells(described: DataFrame) -> DataFrame:
+    """Every vector once for each cell of the list of its home; ``q`` is ``ONE_HOME`` there."""
+    placed = described.withColumn("p", F.col("ids")[0])
+    lengths = placed.groupBy("dim", "p").count().where("count > 1")
+    lengths = cut(lengths.select("dim", "p", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "home-lengths")
+    placed = placed.join(small_enough(lengths, lengths.count(), 120), ["dim", "p"])
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).alias("own")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    return _dealt(placed.select("*", F.lit(ONE_HOME).alias("q"), own, other))
+
+
+def _pair_cells(described: DataFrame) -> DataFrame:
+    """Every vector once for each list of a pair of pivots, and there once for each cell with another home."""
     pairs = F.array(
         *[
             F.struct(F.least(F.col("ids")[i], F.col("ids")[j]).alias("p"), F.greatest(F.col("ids")[i], F.col("ids")[j]).alias("q"))
             for i, j in combinations(range(NEAREST), 2)
         ]
     )
-    lists = described.select("dim", F.explode(pairs).alias("l")).select("dim", "l.p", "l.q")
-    lengths = lists.groupBy("dim", "p", "q").count().where("count > 1")
-    lengths = cut(lengths.select("dim", "p", "q", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "list-lengths")
-    placed = described.withColumn("l", F.explode(pairs)).select("*", "l.p", "l.q").drop("l")
-    placed = placed.join(small_enough(lengths, lengths.count(), 120), ["dim", "p", "q"])
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int").alias("own")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("*", own, other)
-    return dealt.select(
+    home = F.col("ids")[0].alias("home")
+    lists = described.select("dim", home, F.explode(pairs).alias("l")).select("dim", "home", "l.p", "l.q")
+    sizes = lists.groupBy("dim", "p", "q", "home").count()
+    # A part is one home with more than BLOCK vectors, or (null) all the others of the list.
+    parts = sizes.withColumn("part", F.when(F.col("count") > BLOCK, F.col("home"))).groupBy("dim", "p", "q", "part")
+    parts = parts.agg(F.sum("count").alias("size"), F.count("*").alias("homes"))
+    parts = parts.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    lengths = parts.groupBy("dim", "p", "q").agg(F.sum("homes").alias("homes"), F.collect_list(F.struct("part", "blocks")).alias("parts"))
+    lengths = cut(lengths.where("homes > 1").drop("homes"), "list-lengths")
+    placed = described.select("*", home, F.explode(pairs).alias("l")).select("*", "l.p", "l.q").drop("l")
+    placed = placed.join(small_enough(lengths, lengths.count(), 240), ["dim", "p", "q"])
+    mine = F.filter("parts", lambda x: x["part"] == F.col("home"))
+    mine = F.when(F.size(mine) > 0, mine[0]).otherwise(F.filter("parts", lambda x: x["part"].isNull())[0])
+    placed = placed.withColumn("mine", mine)
+
+    def block(part, number):
+        return F.coalesce(part, F.lit(ONE_HOME)).cast("long") * (1 << 32) + number
+
+    own = block(F.col("mine.part"), F.pmod(F.xxhash64("rep", F.lit(7)), F.col("mine.blocks"))).alias("own")
+    across = F.filter("parts", lambda x: x["part"].isNull() | ~x["part"].eqNullSafe(F.col("mine.part")))
+    numbers = F.transform(
+        across, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda n: block(x["part"], n))
+    )
+    return _dealt(placed.select("*", own, F.explode(F.flatten(numbers)).alias("other")))
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    return placed.select(
         "dim", "p", "q", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "copies", "vector", "ids"
     )
 
 
+def _cells(described: DataFrame) -> DataFrame:
+    """Every vector once for each cell in which it is compared."""
+    return _home_cells(described).unionByName(_pair_cells(described))
+
+
 def _groups(batches, keys: list[str]):
     """Runs of equal keys in sorted input, each as one batch."""
     rest = None
@@ -135,15 +188,18 @@ def _groups(batches, keys: list[str]):
 def verify(vectors, ids, own, p: int, q: int, across: bool, similarity: float = SIMILARITY, shared: int = SHARED) -> np.ndarray:
     """Boolean matrix of the links that belong to this cell of the list (p, q); ``across``: of two blocks."""
     unit = _unit(vectors)
+    links = unit @ unit.T >= similarity
+    if across:
+        links &= own[:, None] != own[None]
+    np.fill_diagonal(links, False)
+    if q == ONE_HOME:
+        return links
     values, position = np.unique(ids, return_inverse=True)
     hot = np.zeros((len(ids), len(values)), np.float32)
     hot[np.arange(len(ids))[:, None], position.reshape(ids.shape)] = 1
     below = hot[:, (values < q) & (values != p)]
-    links = (unit @ unit.T >= similarity) & (hot @ hot.T >= shared) & (below @ below.T == 0)
-    if across:
-        links &= own[:, None] != own[None]
-    np.fill_diagonal(links, False)
-    return links
+    links &= (hot @ hot.T >= shared) & (below @ below.T == 0)
+    return links & (ids[:, :1] != ids[:, 0])
 
 
 def _stars(links: np.ndarray, reps: np.ndarray) -> np.ndarray:

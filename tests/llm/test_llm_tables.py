@@ -164,6 +164,27 @@ def test_embedding_rows_without_id(spark):
     )
 
 
+@pytest.mark.parametrize("cosine", [0.9, 0.96])
+def test_embedding_links_of_one_large_cluster(spark, monkeypatch, cosine):
+    """A third of the rows lie around one centre; with blocks of 64 their lists are split too."""
+    monkeypatch.setattr(pivots, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    centre, noise = rng.normal(size=32), rng.normal(size=(1000, 32))
+    centre /= np.linalg.norm(centre)
+    noise -= (noise @ centre)[:, None] * centre
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    vectors = np.concatenate([cosine**0.5 * centre + (1 - cosine) ** 0.5 * noise, rng.normal(size=(2000, 32))])
+    vectors[2900:] = vectors[1500:1600] + 0.3 * rng.normal(size=(100, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(frame).collect()}
+    found = np.array([got[i] for i in range(3000)])
+    assert expected[:1000].sum() > 100_000 and (found <= expected).all()
+    assert found[:1000].sum() >= 0.99 * expected[:1000].sum()
+    assert found[1000:].sum() >= 0.95 * expected[1000:].sum()
+
+
 # tables without rows, awkward rows ---------------------------------------------------------------
 
 
