@@ -6,8 +6,8 @@ lines. Each is a logistic regression over presence features. They start from lab
 round each view labels the unlabelled rows it is sure of, by its calibrated probability, for the
 other one. At the end both views are calibrated together on held-out labels and score every document.
 
-Fitting uses at most ``SAMPLE_ROWS`` labelled and ``SAMPLE_ROWS`` unlabelled documents, those with the
-smallest hash of their id. Everything else runs over all rows.
+Fitting uses at most ``SAMPLE_ROWS`` labelled documents, those with the smallest hash of their id, and
+every unlabelled one. Everything else runs over all rows.
 """
 
 from __future__ import annotations
@@ -51,33 +51,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return w
 
 
-def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, y, content, metadata): tokens of the sampled documents; y is null where unlabelled.
+def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(labelled, pool): (doc_id, y, source, lang, text) of the sampled labelled and of all unlabelled documents.
 
-    y is 1 for a document to reject: quality 0 or toxic not 0. Labels with null quality are not
-    used; if a document has several, the worst counts.
+    y is 1 for a document to reject: quality 0 or toxic not 0; it is null in the pool. Labels with null
+    quality are not used; if a document has several, the worst counts. Rows without doc_id are in neither.
     """
     bad = F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) != 0)).cast("int")).alias("y")
     marks = labels.where("doc_id is not null and quality is not null")
-    marks = marks.groupBy(F.col("doc_id").cast("long").alias("id")).agg(bad)
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    both = ids.join(marks, "id", "left").withColumn("order", F.xxhash64("id"))
-    known = both.where("y is not null").orderBy("order", "id").limit(rows)
-    other = both.where("y is null").orderBy("order", "id").limit(rows)
-    chosen = F.broadcast(cut(known.unionByName(other).select("id", "y"), "quality-sample"))
-    text = docs.select(
-        F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string")
-    ).join(chosen, "id")
+    marks = cut(marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(bad), "quality-marks")
+    text = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string") for c in ("source", "lang", "text")]
+    )
+    ids = text.select("doc_id").distinct().join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = F.broadcast(cut(ids.select("doc_id", "y"), "quality-sample"))
+    names = ["doc_id", "y", "source", "lang", "text"]
+    pool = text.join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+    return text.join(chosen, "doc_id").select(*names), pool.select(*names)
+
+
+def tokens(rows: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc_id, y, content, metadata): the tokens of each document, of the given words alone if there are any."""
+    known = {v: frozenset(words[v]) for v in VIEWS} if words else None
 
     def run(batch):
-        ids, source, lang, text, y = [batch.column(c).to_pylist() for c in ("id", "source", "lang", "text", "y")]
-        one = [sorted(content_tokens(t)) for t in text]
-        two = [sorted(metadata_tokens(*x)) for x in zip(source, lang, text)]
-        lists = [pa.array(x, pa.list_(pa.string())) for x in (one, two)]
+        ids, source, lang, text, y = [batch.column(c).to_pylist() for c in ("doc_id", "source", "lang", "text", "y")]
+        one = [content_tokens(t) for t in text]
+        two = [metadata_tokens(*x) for x in zip(source, lang, text)]
+        if known:
+            one, two = ([known[v].intersection(x) for x in found] for v, found in zip(VIEWS, (one, two)))
+        lists = [pa.array([sorted(t) for t in x], pa.list_(pa.string())) for x in (one, two)]
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), *lists], names=["doc_id", "y", *VIEWS])
 
-    tokens = map_batches(text, run, "doc_id long, y int, content array<string>, metadata array<string>")
-    return cut(tokens, "quality-tokens")
+    return map_batches(rows, run, "doc_id long, y int, content array<string>, metadata array<string>")
 
 
 def vocabulary(labelled: DataFrame, view: str, size: int = VOCABULARY) -> list[str]:
@@ -117,42 +123,43 @@ def _fit(rows: DataFrame, view: str):
     return learner.fit(rows.select(f"{view}_v", F.col("label").cast("double")))
 
 
+def _margin(model, rows: DataFrame, view: str) -> DataFrame:
+    rows = model.transform(rows).withColumn(f"{view}_m", vector_to_array("raw")[1])
+    return rows.drop("raw", "probability", "prediction")
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model | None:
     """The co-trained model; None when the labels do not hold both classes."""
-    rows = samples(docs, labels, rows)
+    known, pool = samples(docs, labels, rows)
+    known = cut(tokens(known), "quality-tokens")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HOLD_OUT))
-    train = rows.where(F.col("y").isNotNull() & (fold != 0))
-    if rows.where("y is not null").select("y", fold == 0).distinct().count() < 4:
+    if known.select("y", fold == 0).distinct().count() < 4:
         return None
-    words = {v: vocabulary(train, v) for v in VIEWS}
-    kind = F.when(F.col("y").isNull(), "pool").when(fold == 0, "held").otherwise("train").alias("kind")
-    data = rows.select("doc_id", "y", kind, *VIEWS)
-    for v in VIEWS:
-        data = _vectors(data, v, words[v])
-    data = cut(data.drop(*VIEWS), "quality-vectors")
+    words = {v: vocabulary(known.where(fold != 0), v) for v in VIEWS}
+    known, pool = (
+        _vectors(_vectors(x, "content", words["content"]), "metadata", words["metadata"]).drop(*VIEWS)
+        for x in (known, tokens(pool, words))
+    )
+    known = cut(known.withColumn("held", fold == 0), "quality-vectors")
+    pool = cut(pool.drop("y"), "quality-pool")
+    train, held_out = known.where("not held"), known.where("held")
     pseudo = {v: None for v in VIEWS}
     for turn in range(rounds + 1):
-        models, margins = {}, data.select("doc_id", "y", "kind", "content_v", "metadata_v")
+        models, margins = {}, held_out
         for v in VIEWS:
-            own = data.where("kind = 'train'").select(f"{v}_v", F.col("y").alias("label"))
-            if pseudo[v] is not None:
-                own = own.unionByName(data.join(pseudo[v], "doc_id").select(f"{v}_v", "label"))
-            models[v] = _fit(own, v)
-            margins = models[v].transform(margins).withColumn(f"{v}_m", vector_to_array("raw")[1])
-            margins = margins.drop("raw", "probability", "prediction")
-        held = margins.where("kind = 'held'").select("y", "content_m", "metadata_m").toPandas()
+            own = train.select(f"{v}_v", F.col("y").alias("label"))
+            models[v] = _fit(own if pseudo[v] is None else own.unionByName(pseudo[v]), v)
+            margins = _margin(models[v], margins, v)
+        held = margins.select("y", "content_m", "metadata_m").toPandas()
         y = held["y"].to_numpy(float)
         scale = {v: _logistic(held[[f"{v}_m"]].to_numpy(), y) for v in VIEWS}
         if turn == rounds:
             break
-        pool = margins.where("kind = 'pool'").select(
-            "doc_id",
-            *[(1 / (1 + F.exp(-(F.col(f"{v}_m") * float(scale[v][0]) + float(scale[v][1]))))).alias(v) for v in VIEWS],
-        )
-        pool = cut(pool, "quality-pool")
         for giver, taker in (VIEWS, VIEWS[::-1]):
-            sure = pool.where((F.col(giver) >= SURE) | (F.col(giver) <= 1 - SURE))
-            pseudo[taker] = sure.select("doc_id", (F.col(giver) >= SURE).cast("int").alias("label"))
+            margin = F.col(f"{giver}_m") * float(scale[giver][0]) + float(scale[giver][1])
+            judged = _margin(models[giver], pool, giver).withColumn("p", 1 / (1 + F.exp(-margin)))
+            sure = judged.where((F.col("p") >= SURE) | (F.col("p") <= 1 - SURE))
+            pseudo[taker] = sure.select(f"{taker}_v", (F.col("p") >= SURE).cast("int").alias("label"))
     views = [
         View(
             dict(zip(words[v], models[v].coefficients.toArray().tolist())),

@@ -57,6 +57,16 @@ def test_pseudo_labels_teach_the_other_view(spark):
     assert all(kept[i] == bool(i % 2) for i in range(400))
 
 
+def test_whole_unlabelled_pool_teaches(spark):
+    """The bound holds for labelled documents alone; all unlabelled ones are in the pool."""
+    rows = [(i, "fine words here " * 5 if i % 2 else "BAD!! %%% junk", "en", "good" if i % 2 else "evil", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    known, pool = cotrain.samples(docs, labels, 40)
+    assert known.count() == 40 and {r.doc_id for r in pool.collect()} == set(range(60, 400))
+    assert all(r.doc_id < 60 and r.y == 1 - r.doc_id % 2 for r in known.collect())
+
+
 def test_classifier_without_both_classes_keeps_all(spark):
     docs = documents(spark, awkward(2000))
     for rows in ([], [(1, 1, 0), (2, 1, None), (4, None, 1)]):
