@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, cotrain, decontam, hmm, licenses, linehash, pivots, simhash, suffix, urls
+from starfold.llm import bpe, chat, cotrain, decontam, hmm, licenses, linehash, pivots, resample, simhash, spelling, suffix, urls
 from starfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,29 @@ def op2_suffix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+CONTROLS = r"\### Assistant: </turn> ok"
+
+
+@query
+def op12_chat_format(spark, sf_dir):
+    """Conversation -7 has the template's own control strings in its texts."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = [(-7, 0, "user", CONTROLS), (-7, 1, "assistant", CONTROLS)]
+    planted = spark.createDataFrame(planted, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(turns.unionByName(planted)))
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    ranked = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in rows)
 
@@ -233,3 +256,108 @@ with recursive vectors as (
 select vec_id, coalesce(any_value(n), 0) as n_links, min(b) as component_id, vec_id = min(b) as kept
 from vectors join reached on vec_id = reached.a left join counted on vec_id = counted.a group by vec_id
 """
+
+
+# crc32 of the column ``key``: the table of the polynomial, then one step per byte.
+CRC = """
+crc_table as (
+    select list(x order by i) as t from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) as x
+        from range(256) r(i))
+), crc_keys as (
+    select key, hex(encode(key)) as h from (select distinct key from keyed)
+), crcs as (
+    select key, xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, [cast('0x' || h[2 * i - 1:2 * i] as bigint) for i in range(1, length(h) // 2 + 1)]),
+        lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]))) as crc
+    from crc_keys, crc_table
+)
+"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_spelling_variants"] = rf"""
+with recursive runs as (
+    select doc_id, run, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents)
+    where length(run) >= 7 group by all
+), keyed as (
+    select *, coalesce(doc_id::varchar, '') || ':' || run as key from runs
+), {CRC}, counted as (
+    select word, sum(n)::bigint as n
+    from (select n, case when crc % 31 = 0 then substr(run, 1, (crc % length(run))::int) || substr(run, (crc % length(run))::int + 2)
+                         else run end as word
+          from keyed join crcs using (key))
+    where length(word) >= 7 group by 1 having sum(n) >= 2
+), cuts as (
+    select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+    from (select word, n, unnest(range(1, length(word) + 1)) as i from counted)
+), near as (
+    select a.word, b.word as other, b.n as other_n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select c.word, s.word, s.n from cuts c join counted s on c.rest = s.word
+    union select s.word, c.word, c.n from cuts c join counted s on c.rest = s.word
+), best as (
+    select word, count(*) as n_near, max(other_n) as best_n from near group by 1
+), chosen as (
+    select b.word, n_near, best_n, min(other) as best from best b join near x on b.word = x.word and other_n = best_n group by all
+), judged as (
+    select word, n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * n then best end as form,
+           case when best_n >= 10 * n then best_n end as form_n
+    from counted left join chosen using (word)
+), way(word, last) as (
+    select word, word from judged union all select w.word, j.form from way w join judged j on w.last = j.word where j.form is not null
+)
+select j.word, j.form, w.last as root, j.n, j.n_near, j.form_n
+from judged j join way w on j.word = w.word join judged e on w.last = e.word where e.form is null
+"""
+
+ORACLES["op12_chat_format"] = rf"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '{CONTROLS}' union all select -7, 1, 'assistant', '{CONTROLS}'
+), written as (
+    select *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>'), ':', '\:') || ': '
+           || replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>') || '</turn>' || chr(10) as segment
+    from turns
+), sized as (
+    select *, sum(length(segment)) over (partition by conv_id order by turn nulls first, role, text
+                                         rows between unbounded preceding and current row) as so_far from written
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(segment))::bigint as formatted_chars, count(*) filter (where role = 'assistant') as n_examples,
+       coalesce(sum(so_far) filter (where role = 'assistant'), 0)::bigint as example_chars
+from sized group by conv_id
+"""
+
+ORACLES["op13_importance_resampling"] = rf"""
+with texts as (
+    select doc_id, true as own, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+    union all select null, false, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), keyed as (
+    select doc_id, own, unnest(w) as key from texts
+), {CRC}, buckets as (
+    select doc_id, own, crc % 10000 as bucket, count(*) as n from keyed join crcs using (key) group by all
+), sides as (
+    select bucket, coalesce(sum(n) filter (where own), 0)::double as s, coalesce(sum(n) filter (where not own), 0)::double as t
+    from buckets group by 1
+), totals as (
+    select sum(s) as s_all, sum(t) as t_all from sides
+), gains as (
+    select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from sides, totals
+), weighed as (
+    select doc_id, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n))::bigint as weight
+    from buckets join gains using (bucket) where own group by 1
+), scored as (
+    select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || sha256('2024:' || doc_id)[1:8] as bigint) + 0.5::double) / 4294967296)))::bigint
+           as score
+    from documents left join weighed using (doc_id)
+), placed as (
+    select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank
+from scored left join placed using (doc_id)
+"""
