@@ -21,5 +21,6 @@ from starfold.models.evaluate import (  # noqa: F401
     split_importance,
     top_features,
 )
+from starfold.models.persist import Boosted, BoostedModel, Stacked, StackedModel  # noqa: F401
 from starfold.models.stack import Stack, blend_frames, out_of_fold  # noqa: F401
 from starfold.models.submit import submission  # noqa: F401

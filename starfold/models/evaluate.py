@@ -77,10 +77,10 @@ def feature_map(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "index int, feature string, kind string")
 
 
-def split_importance(model: GBTClassificationModel, names: Sequence[str]) -> DataFrame:
+def split_importance(model: GBTClassificationModel, names: Sequence[str] | DataFrame) -> DataFrame:
     """Share of splits made on each used feature, ascending.
 
-    The node table the model itself writes holds one row per node of every tree.
+    ``names`` are the features in vector order, or rows (index, feature) for vectors of any width. The node table the model itself writes holds one row per node of every tree.
     """
     spark = SparkSession.builder.getOrCreate()
     path = scratch_path(spark, "model")
@@ -92,7 +92,8 @@ def split_importance(model: GBTClassificationModel, names: Sequence[str]) -> Dat
         F.count(F.lit(1)).alias("splits")
     )
     total = counts.agg(F.sum("splits")).scalar()
-    named = counts.join(F.broadcast(feature_map(spark, names)), "index")
+    listing = names if isinstance(names, DataFrame) else F.broadcast(feature_map(spark, names))
+    named = counts.join(listing, "index")
     return named.select(
         "feature", (F.col("splits") / total).alias("fscore")
     ).orderBy("fscore", "feature")

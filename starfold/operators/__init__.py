@@ -3,12 +3,15 @@ from starfold.operators.assemble import (  # noqa: F401
     anti,
     assemble,
     attach,
+    attach_spread,
+    hot_keys,
     matching,
     stack_rows,
     unique_rows,
 )
 from starfold.operators.blocks import FeatureBlock  # noqa: F401
 from starfold.operators.encode import (  # noqa: F401
+    append_codes,
     category_counts_long,
     category_vectors,
     codebook,
@@ -18,13 +21,15 @@ from starfold.operators.encode import (  # noqa: F401
     vocabulary,
     wide_category_counts,
 )
-from starfold.operators.profile import base_rate, coverage, distinct_ids  # noqa: F401
+from starfold.operators.profile import base_rate, coverage, distinct_ids, observed  # noqa: F401
 from starfold.operators.scale import (  # noqa: F401
     fill_truncated_mean,
     fill_truncated_min,
     log_scale,
+    log_stats,
     scale_by_max,
 )
+from starfold.operators.sketch import distinct_sketches, estimates, merge_sketches  # noqa: F401
 from starfold.operators.split import (  # noqa: F401
     exact_folds,
     exact_split,
@@ -33,3 +38,4 @@ from starfold.operators.split import (  # noqa: F401
     hash_text,
     stratified_holdout,
 )
+from starfold.operators.states import StateBlock, StateStore  # noqa: F401

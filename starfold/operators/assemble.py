@@ -63,6 +63,33 @@ def attach(df: DataFrame, lookup: DataFrame, key: str, small_rows: int = 10_000)
     return df.join(F.broadcast(lookup) if small else lookup, key, "left")
 
 
+def hot_keys(df: DataFrame, key: str, share: float) -> list:
+    """The keys that own more than ``share`` of the rows: fewer than 1 / share, whatever the table."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    found = counts.where(F.col(key).isNotNull() & (F.col("_n") > total * share)).select(key).collect()
+    return [r[0] for r in found]
+
+
+def attach_spread(
+    df: DataFrame, lookup: DataFrame, key: str, salts: int = 64, share: float = 1 / 256
+) -> DataFrame:
+    """``attach`` for a lookup too large to broadcast: rows of measured hot keys are dealt over salts.
+
+    A key that owns more than ``share`` of the rows gets a salt from the content of each row, and its
+    one lookup row a copy for every salt; all other rows join as they are. A lost task deals its rows
+    as before, since the salt depends on nothing but the row.
+    """
+    hot = hot_keys(df, key, share)
+    if not hot:
+        return df.join(lookup, key, "left")
+    heavy = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    salt = F.when(heavy, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = lookup.withColumn("_salt", F.explode(copies))
+    return df.withColumn("_salt", salt).join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full join of two frames with one row per key."""
     return left.join(right, key, "full")

@@ -17,7 +17,8 @@ class FeatureBlock:
     """One row per key with every declared feature.
 
     ``features`` are aggregate expressions over ``source``. ``derived`` are expressions over the
-    aggregated features. ``fill`` replaces the NULLs of numeric features.
+    aggregated features. ``fill`` replaces the NULLs of numeric features. ``tops`` are largest group
+    values learned before, by the name of the scaled feature; the others are taken from this block.
     """
 
     name: str
@@ -26,6 +27,7 @@ class FeatureBlock:
     key: str = "EID"
     derived: Mapping[str, Column] = field(default_factory=dict)
     scaled: Mapping[str, str] = field(default_factory=dict)
+    tops: Mapping[str, float | None] = field(default_factory=dict)
     drop: tuple[str, ...] = ()
     fill: float | None = None
 
@@ -46,12 +48,15 @@ class FeatureBlock:
         The block, one row per key, is written first: the largest values are then read from a few of
         its columns, and the child table behind it is read once.
         """
-        out = materialize(out, "block")
-        needed = sorted(set(self.scaled.values()))
-        tops = out.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
+        largest = {new: F.lit(self.tops[new]) for new in self.scaled if new in self.tops}
+        needed = sorted({n for new, n in self.scaled.items() if new not in self.tops})
+        if needed:
+            out = materialize(out, "block")
+            tops = out.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
+            largest |= {new: tops[n] for new, n in self.scaled.items() if new not in self.tops}
         return out.withColumns(
             {
-                new: F.try_divide(F.col(n).cast("double"), tops[n].cast("double"))
+                new: F.try_divide(F.col(n).cast("double"), largest[new].cast("double"))
                 for new, n in self.scaled.items()
             }
         )

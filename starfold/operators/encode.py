@@ -103,6 +103,26 @@ def codebook(
     return coded.select(column, (F.col("_start") + within).alias("code")), False
 
 
+def append_codes(
+    book: DataFrame, df: DataFrame, column: str, order: Column | str | None = None, small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """A codebook (column, code) grown by the values of ``df`` that it does not hold.
+
+    Old values keep their codes. New ones get the next numbers, by first appearance in ``df`` or by
+    value when no order is given. Only distinct values are compared with the book. The result is
+    written; an empty book gives what ``codebook`` gives.
+    """
+    first = F.any_value(F.col(column)) if order is None else F.min(order)
+    seen = df.groupBy(column).agg(first.alias("_first"))
+    known = book.select(F.col(column).alias("_known"))
+    fresh = seen.join(known, F.col(column).eqNullSafe(F.col("_known")), "left_anti")
+    added, _ = codebook(fresh, column, "_first", small_rows)
+    start = book.agg(F.coalesce(F.max("code") + 1, F.lit(0)).cast("long")).scalar()
+    return materialize(
+        book.select(column, "code").unionByName(added.select(column, (F.col("code") + start).alias("code"))), "codebook"
+    )
+
+
 def dictionary_encode(
     df: DataFrame,
     column: str,

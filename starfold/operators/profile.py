@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -18,6 +20,16 @@ def base_rate(df: DataFrame, label: str = "TARGET") -> DataFrame:
     )
 
 
+def observed(df: DataFrame, write: Callable[[DataFrame], None], **numbers: Column) -> dict:
+    """Write a table and return aggregates of the written rows, taken in the same pass.
+
+    ``numbers`` are aggregates without distinct values, each a single number. No second job reads the rows.
+    """
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(n) for n, c in numbers.items()]))
+    return seen.get
+
+
 def distinct_ids(frames: list[DataFrame], key: str) -> DataFrame:
     """Number of distinct keys over several frames. Each frame is made distinct before the union."""
     ids = [f.select(key).distinct() for f in frames]

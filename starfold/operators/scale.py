@@ -22,9 +22,17 @@ def scale_by_max(df: DataFrame, column: str, out: str | None = None) -> DataFram
     return df.withColumn(out or column, F.try_divide(F.col(column).cast("double"), top.cast("double")))
 
 
-def fill_truncated_mean(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Fill NULLs with the whole part of the column's mean."""
-    whole = df.agg(F.avg(column).cast("bigint").alias("m")).scalar()
+def log_stats(df: DataFrame, column: str) -> Column:
+    """Largest, mean and smallest ln(1 + x) of a column as a struct, in a single pass."""
+    logged = F.log1p(F.col(column).cast("double"))
+    return scalars(df, top=F.max(logged), mean=F.avg(logged), low=F.min(logged))
+
+
+def fill_truncated_mean(
+    df: DataFrame, column: str, out: str | None = None, mean: Column | None = None
+) -> DataFrame:
+    """Fill NULLs with the whole part of the column's mean, or of a ``mean`` learned before."""
+    whole = df.agg(F.avg(column).cast("bigint").alias("m")).scalar() if mean is None else mean.cast("bigint")
     return df.withColumn(out or column, F.coalesce(F.col(column), whole.cast(_type(df, column))))
 
 
@@ -40,13 +48,16 @@ def log_scale(
     fill: str | None = None,
     out: str | None = None,
     log_out: str | None = None,
+    stats: Column | None = None,
 ) -> DataFrame:
     """ln(1 + x), optional fill with the whole part of the mean or minimum, division by the max.
 
-    The maximum and the fill value come from the same pass. ``log_out`` keeps the unscaled log.
+    The maximum and the fill value come from the same pass, or from ``stats`` as ``log_stats`` gives
+    them for the rows learned from. ``log_out`` keeps the unscaled log.
     """
     logged = F.log1p(F.col(column).cast("double"))
-    stats = scalars(df, top=F.max(logged), mean=F.avg(logged), low=F.min(logged))
+    if stats is None:
+        stats = log_stats(df, column)
     value = logged
     if fill is not None:
         if fill not in ("mean", "min"):

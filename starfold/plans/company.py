@@ -34,8 +34,9 @@ MISSING = -999
 class Recipe:
     """Options of one feature set; the defaults are the base run.
 
-    ``values`` pins the categories of a column (ETYPE, ALTERNO, RIGHTTYPE, WZCODE). Columns that
-    are not pinned are read from the data when a block is built.
+    ``values`` pins the categories of a column (ETYPE, ALTERNO, RIGHTTYPE, WZCODE) and ``scalars`` the
+    maxima and means by name (``scalar_names``). What is not pinned is read from the data when a block is
+    built. Without ``categories`` the blocks have no column per category.
     """
 
     name: str = "base"
@@ -58,7 +59,9 @@ class Recipe:
     breakfaith_more: bool = False
     recruit_mean: bool = True
     money: str | None = None
+    categories: bool = True
     values: Mapping[str, Sequence] = field(default_factory=dict)
+    scalars: Mapping[str, float | None] = field(default_factory=dict)
 
 
 # Limits and dropped categories of the four scoring runs.
@@ -101,27 +104,55 @@ def entbase_block(entbase: DataFrame, recipe: Recipe = BASE, helper: bool = Fals
 
     ``helper`` keeps ``_capital``, the unscaled log of the capital.
     """
-    rows = entbase
-    if recipe.capital_limit is not None:
-        rows = rows.where(F.col("ZCZB") < recipe.capital_limit)
-    types = one_hot(
-        log_scale(rows, "ZCZB", fill="mean", log_out="_capital"),
-        "ETYPE",
-        values=_values(recipe, "ETYPE", lambda: _types(rows, recipe)),
-        without=recipe.etype_without,
-        null_category=recipe.etype_null,
-    )
+    rows = entbase_rows(entbase, recipe)
+    scaled = log_scale(rows, "ZCZB", fill="mean", log_out="_capital", stats=_log_stats(recipe, "ZCZB"))
+    types = scaled.drop("ETYPE")
+    if recipe.categories:
+        types = one_hot(
+            scaled,
+            "ETYPE",
+            values=_values(recipe, "ETYPE", lambda: _types(rows, recipe)),
+            without=recipe.etype_without,
+            null_category=recipe.etype_null,
+        )
     out = fn.fill_numeric(types, 0, skip=[KEY, "_capital"])
     if recipe.capital_gap:
         out = out.withColumn("ZCZB_FINZB", F.col("ZCZB") - F.col("FINZB"))
     return unique_rows(out.drop(*recipe.entbase_drop, *(() if helper else ("_capital",))), KEY)
 
 
-def _types(rows: DataFrame, recipe: Recipe) -> list:
+def entbase_rows(entbase: DataFrame, recipe: Recipe) -> DataFrame:
+    """The rows that the capital limit of the recipe keeps."""
+    return entbase if recipe.capital_limit is None else entbase.where(F.col("ZCZB") < recipe.capital_limit)
+
+
+def company_types(rows: DataFrame, recipe: Recipe) -> DataFrame:
+    """EID and ETYPE with the category that stands for NULL."""
     value = F.col("ETYPE")
     if recipe.etype_null is not None:
         value = F.coalesce(value, F.lit(recipe.etype_null))
-    return vocabulary(rows.select(value.alias("ETYPE")), "ETYPE")
+    return rows.select(KEY, value.alias("ETYPE"))
+
+
+def _types(rows: DataFrame, recipe: Recipe) -> list:
+    return vocabulary(company_types(rows, recipe), "ETYPE")
+
+
+def _log_stats(recipe: Recipe, column: str):
+    """Pinned statistics of a column as ``log_stats`` gives them, None when they are not pinned."""
+    if f"{column}.top" not in recipe.scalars:
+        return None
+    parts = ("top", "mean", "low")
+    return F.struct(*[F.lit(recipe.scalars[f"{column}.{p}"]).cast("double").alias(p) for p in parts])
+
+
+def _mean(recipe: Recipe, column: str):
+    name = f"{column}.mean"
+    return F.lit(recipe.scalars[name]).cast("double") if name in recipe.scalars else None
+
+
+def _tops(recipe: Recipe, *names: str) -> dict:
+    return {n: recipe.scalars[f"{n}.top"] for n in names if f"{n}.top" in recipe.scalars}
 
 
 def _values(recipe: Recipe, column: str, discover) -> Sequence:
@@ -133,9 +164,9 @@ def pin_values(tables: Mapping[str, DataFrame], recipe: Recipe, order: str = "ro
 
     The columns not pinned yet are read side by side.
     """
-    entbase = tables["entbase"]
-    if recipe.capital_limit is not None:
-        entbase = entbase.where(F.col("ZCZB") < recipe.capital_limit)
+    if not recipe.categories:
+        return recipe
+    entbase = entbase_rows(tables["entbase"], recipe)
     readers = {
         "ETYPE": lambda: _types(entbase, recipe),
         "ALTERNO": lambda: first_seen_values(tables["alter"], "ALTERNO", order),
@@ -152,18 +183,15 @@ def pin_values(tables: Mapping[str, DataFrame], recipe: Recipe, order: str = "ro
 
 def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id") -> DataFrame:
     """Change counts by code, amounts of the latest change, first and last change date."""
-    codes = _values(recipe, "ALTERNO", lambda: first_seen_values(alter, "ALTERNO", order))
-    amounts = {c: fn.parse_amount(F.coalesce(F.col(c), F.lit("0"))) for c in ("ALTAF", "ALTBE")}
-    rows = alter.withColumns(amounts)
-    if recipe.amount_limit is not None:
-        rows = rows.where(F.col("ALTAF") < recipe.amount_limit)
+    rows = alter_rows(alter, recipe)
     if recipe.amount_raw:
-        for c in amounts:
-            rows = fill_truncated_mean(rows, c)
+        for c in AMOUNTS:
+            rows = fill_truncated_mean(rows, c, mean=_mean(recipe, c))
         change = fn.log1p_or_null(F.col("ALTAF") - F.col("ALTBE"))
     else:
-        scaled = log_scale(log_scale(rows, "ALTAF", fill=recipe.amount_fill, out="_af"), "ALTBE",
-                           fill=recipe.amount_fill, out="_be")
+        scaled = rows
+        for c, out in zip(AMOUNTS, ("_af", "_be")):
+            scaled = log_scale(scaled, c, fill=recipe.amount_fill, out=out, stats=_log_stats(recipe, c))
         rows = scaled.withColumns({"ALTAF": F.col("_af"), "ALTBE": F.col("_be")})
         change = F.col("ALTAF") - F.col("ALTBE")
     rows = rows.withColumns(
@@ -174,11 +202,14 @@ def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id")
         }
     ).withColumn("_ym", F.col("_y") * 100 + F.col("_m"))
     place = _order(alter, order)
-    kept = [(i, v) for i, v in enumerate(codes) if i not in recipe.alter_without]
-    features = fn.category_counts(
-        "ALTERNO", [v for _, v in kept], "ALTERNO",
-        names=[fn.dummy_name("ALTERNO", i) for i, _ in kept], null_category=True,
-    )
+    features = {}
+    if recipe.categories:
+        codes = _values(recipe, "ALTERNO", lambda: first_seen_values(alter, "ALTERNO", order))
+        kept = [(i, v) for i, v in enumerate(codes) if i not in recipe.alter_without]
+        features = fn.category_counts(
+            "ALTERNO", [v for _, v in kept], "ALTERNO",
+            names=[fn.dummy_name("ALTERNO", i) for i, _ in kept], null_category=True,
+        )
     features |= {c: fn.carry_latest(c, place) for c in recipe.alter_carry}
     features |= {"_first": F.min("_ym"), "_last": F.max("_ym")}
     dates = {"last_year": _year("_last"), "last_month": _month("_last")}
@@ -189,6 +220,15 @@ def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id")
     ).build()
 
 
+AMOUNTS = ("ALTAF", "ALTBE")
+
+
+def alter_rows(alter: DataFrame, recipe: Recipe) -> DataFrame:
+    """Changes with their amounts as numbers, as far as the amount limit of the recipe keeps them."""
+    rows = alter.withColumns({c: fn.parse_amount(F.coalesce(F.col(c), F.lit("0"))) for c in AMOUNTS})
+    return rows if recipe.amount_limit is None else rows.where(F.col("ALTAF") < recipe.amount_limit)
+
+
 def _order(df: DataFrame, order: str):
     """Latest (year, month) row, ties by ``order``: packed for the whole numbers that readers give."""
     kind = df.schema[order].dataType
@@ -226,16 +266,18 @@ def branch_block(branch: DataFrame, recipe: Recipe = BASE, order: str = "row_id"
     if recipe.branch_span:
         features["year_sub"] = fn.year_span("B_REYEAR")
     return FeatureBlock(
-        "branch", rows, features, scaled={"branch_count": "_branches"},
+        "branch", rows, features, scaled={"branch_count": "_branches"}, tops=_tops(recipe, "branch_count"),
         derived={"branch_count_bin": fn.log_bin("_branches")}, drop=("_branches",),
     ).build()
 
 
 def right_block(right: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Rights by type, their number, last application date and share granted."""
-    types = _values(recipe, "RIGHTTYPE", lambda: vocabulary(right, "RIGHTTYPE"))
-    types = [v for v in types if v not in recipe.right_without]
-    features = fn.category_counts("RIGHTTYPE", types, "RIGHTTYPE")
+    features = {}
+    if recipe.categories:
+        types = _values(recipe, "RIGHTTYPE", lambda: vocabulary(right, "RIGHTTYPE"))
+        types = [v for v in types if v not in recipe.right_without]
+        features = fn.category_counts("RIGHTTYPE", types, "RIGHTTYPE")
     features |= {
         "right_count": fn.row_count(),
         "right_get_rate": fn.share_where(F.col("FBDATE").isNotNull()),
@@ -246,7 +288,8 @@ def right_block(right: DataFrame, recipe: Recipe = BASE) -> DataFrame:
             "right_last_month": fn.biggest(fn.date_piece("ASKDATE", 2)),
         }
         return FeatureBlock("right", right, features).build()
-    return FeatureBlock("right", right, features, scaled={"right": "right_count"}).build()
+    tops = _tops(recipe, "right")
+    return FeatureBlock("right", right, features, scaled={"right": "right_count"}, tops=tops).build()
 
 
 def invest_block(invest: DataFrame, recipe: Recipe = BASE) -> DataFrame:
@@ -310,8 +353,10 @@ def breakfaith_block(breakfaith: DataFrame, recipe: Recipe = BASE) -> DataFrame:
 
 def recruit_block(recruit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Job postings by site, people wanted in total, postings, people per posting."""
-    sites = _values(recipe, "WZCODE", lambda: vocabulary(recruit, "WZCODE"))
-    features = fn.category_counts("WZCODE", sites, "WZCODE")
+    features = {}
+    if recipe.categories:
+        sites = _values(recipe, "WZCODE", lambda: vocabulary(recruit, "WZCODE"))
+        features = fn.category_counts("WZCODE", sites, "WZCODE")
     features |= {
         "recruit_RECRNUM_sum": fn.total_of("RECRNUM"),
         "recruit_RECRNUM_count": fn.row_count(),

@@ -14,10 +14,10 @@ from starfold.models import (
     FEW_LEAVES,
     MANY_LEAVES,
     BoostedClassifier,
+    BoostedModel,
     BoostSettings,
     Stack,
-    feature_map,
-    feature_vector,
+    StackedModel,
     split_importance,
     submission,
 )
@@ -29,9 +29,8 @@ from starfold.plans.company import (
     STACKED,
     WIDE,
     Recipe,
-    company_matrix,
-    feature_names,
 )
+from starfold.plans.fitted import FittedRecipe, fit_recipe
 from starfold.session import materialize
 from starfold.sources import read_star, write_feature_map, write_importance, write_scored
 
@@ -70,12 +69,52 @@ RUNS = {
 }
 
 
+@dataclass
+class KeptRun:
+    """What later companies are scored with: the learned recipe, its feature list, the model, the threshold."""
+
+    recipe: FittedRecipe
+    features: DataFrame
+    model: BoostedModel | StackedModel
+    threshold: float
+
+    def save(self, path: str) -> None:
+        """One folder for everything; an earlier run in it is replaced."""
+        spark = self.features.sparkSession
+        kind = "stack" if isinstance(self.model, StackedModel) else "single"
+        self.recipe.save(f"{path}/recipe")
+        self.features.write.mode("overwrite").parquet(f"{path}/features")
+        self.model.write().overwrite().save(f"{path}/model")
+        about = spark.createDataFrame([(kind, self.threshold)], "kind string, threshold double")
+        about.write.mode("overwrite").parquet(f"{path}/run")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KeptRun:
+        about = spark.read.parquet(f"{path}/run").first()
+        model = StackedModel if about.kind == "stack" else BoostedModel
+        features = spark.read.parquet(f"{path}/features")
+        return cls(FittedRecipe.load(spark, f"{path}/recipe"), features, model.load(f"{path}/model"), about.threshold)
+
+    def score(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """The submission of the companies of ``tables["spine"]``; with a ``split`` those of the test list.
+
+        Tables that lack a column the model was trained on, or bring another one, raise.
+        """
+        rows, features = self.recipe.vectors(tables)
+        changed = features.exceptAll(self.features).unionByName(self.features.exceptAll(features))
+        if not changed.isEmpty():
+            raise ValueError(f"other features than at training time: {[r.feature for r in changed.limit(10).collect()]}")
+        if "split" in rows.columns:
+            rows = rows.where("split = 'test'")
+        return submission(self.model.transform(rows), self.threshold)
+
+
 @dataclass
 class Outcome:
     """What a run leaves behind. ``importance`` and ``history`` need a single model.
 
     ``unreadable`` counts training rows whose target could not be read; they are neither trained on
-    nor scored.
+    nor scored. ``kept`` scores later companies and can be saved.
     """
 
     submission: DataFrame
@@ -83,6 +122,7 @@ class Outcome:
     importance: DataFrame | None = None
     history: list[float] | None = None
     unreadable: int = 0
+    kept: KeptRun | None = None
 
 
 def spine_of(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -96,22 +136,22 @@ def score_companies(
 ) -> Outcome:
     """Build the features once, train, and score the companies of the test list.
 
-    A spine without ``split`` is scored where the target is NULL.
+    Categories of any width are the sparse end of the feature vectors. A spine without ``split`` is
+    scored where the target is NULL.
     """
-    matrix = company_matrix(tables, run.recipe)
-    names = feature_names(matrix)
-    spark = matrix.sparkSession
-    if "split" not in matrix.columns:
-        matrix = matrix.withColumn("split", F.when(F.col("TARGET").isNull(), "test").otherwise("train"))
-    frame = materialize(feature_vector(matrix, names).select(KEY, "TARGET", "split", "features"), "matrix")
-    listed, unknown = frame.where("split = 'train'"), frame.where("split = 'test'")
+    recipe = fit_recipe(tables, run.recipe)
+    rows, names = recipe.vectors(tables)
+    if "split" not in rows.columns:
+        rows = rows.withColumn("split", F.when(F.col("TARGET").isNull(), "test").otherwise("train"))
+    listed, unknown = rows.where("split = 'train'"), rows.where("split = 'test'")
     known = listed.where(F.col("TARGET").isNotNull())
     unreadable = listed.where(F.col("TARGET").isNull()).count()
-    listing = feature_map(spark, names)
+    listing = names.orderBy("index")
     if run.folds:
         train = materialize(exact_folds(known, KEY, run.folds, run.seed), "folds", "fold")
-        model = Stack(run.models, run.models[0], run.folds, metric=metric).fit(train)
-        return Outcome(submission(model.predict(unknown), run.threshold), listing, unreadable=unreadable)
+        stack = Stack(run.models, run.models[0], run.folds, metric=metric).fit(train)
+        kept = KeptRun(recipe, names, StackedModel(stack), run.threshold)
+        return Outcome(submission(stack.predict(unknown), run.threshold), listing, unreadable=unreadable, kept=kept)
     if run.share is not None:
         split = exact_split(known, KEY, run.share, run.seed)
     else:
@@ -126,11 +166,12 @@ def score_companies(
         split_importance(model.get_model(), names),
         model.history,
         unreadable,
+        KeptRun(recipe, names, BoostedModel(model), run.threshold),
     )
 
 
 def run_files(spark: SparkSession, inputs: str, outputs: str, run: Run) -> Outcome:
-    """Read the CSV files of a folder, run, and write the submission and the feature tables."""
+    """Read the CSV files of a folder, run, and write the submission, the feature tables and the kept run."""
     star = read_star(spark, inputs)
     tables = star | {"spine": spine_of(star["train"], star["test"])}
     outcome = score_companies(tables, run)
@@ -138,4 +179,5 @@ def run_files(spark: SparkSession, inputs: str, outputs: str, run: Run) -> Outco
     write_feature_map(outcome.features, f"{outputs}/feature_map")
     if outcome.importance is not None:
         write_importance(outcome.importance, f"{outputs}/feature_importance")
+    outcome.kept.save(f"{outputs}/kept_run")
     return outcome

@@ -7,7 +7,9 @@ from starfold.queries import (  # noqa: F401
     encoding,
     joins,
     learning,
+    lifecycle,
     profiles,
     splits,
+    twins,
 )
 from starfold.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from starfold.operators.sparse import vector_entries
 from starfold.plans import BASE, CARRY, STACKED, WIDE, bindings, company
+from starfold.plans.fitted import FittedRecipe, fit_recipe
 from starfold.plans.runs import spine_of
 from starfold.queries.registry import query, rounded
 from starfold.session import scratch_path
@@ -81,8 +83,9 @@ recruit as (
 DOUBLE, WHOLE = "double", "whole"
 
 
-def _entbase(r):
+def _entbase(r, learn=None):
     where = f"where ZCZB < {r.capital_limit}" if r.capital_limit else ""
+    learned = f"select ZCZB from entbase {where}" + (f"{' and' if where else ' where'} {learn}" if learn else "")
     null = "ETYPE" if r.etype_null is None else f"coalesce(ETYPE, {r.etype_null:g})"
     values = [v for v in ([1, 2, 3, 4] if r.etype_null is None else [0, 1, 2, 3, 4])
               if v not in r.etype_without]
@@ -99,15 +102,16 @@ def _entbase(r):
              {dummies}{gap}
       from (select *, case when ZCZB > -1 then ln(1 + ZCZB) end as v from entbase {where}),
            (select max(ln(1 + ZCZB)) as top, trunc(avg(ln(1 + ZCZB))) as m from
-             (select ZCZB from entbase {where}) where ZCZB > -1)"""
+             ({learned}) where ZCZB > -1)"""
     return sql, columns
 
 
-def _alter(r):
+def _alter(r, learn=None):
     where = f"where af < {r.amount_limit}" if r.amount_limit else ""
+    learned = where + (f"{' and' if where else 'where'} {learn}" if learn else "")
     log = "case when {0} > -1 then ln(1 + {0}) end"
     if r.amount_raw:
-        stats = f"(select trunc(avg(af)) as maf, trunc(avg(be)) as mbe from change_rows {where})"
+        stats = f"(select trunc(avg(af)) as maf, trunc(avg(be)) as mbe from change_rows {learned})"
         change = log.format("(coalesce(af, maf) - coalesce(be, mbe))")
         values = f"{change} as ALTAF_ALTBE"
     else:
@@ -115,7 +119,7 @@ def _alter(r):
         parts = ", ".join(
             f"max({log.format(c)}) as top_{c}, trunc({pick}({log.format(c)})) as m_{c}" for c in ("af", "be")
         )
-        stats = f"(select {parts} from change_rows {where})"
+        stats = f"(select {parts} from change_rows {learned})"
         sides = {c: f"(coalesce({log.format(c)}, m_{c}) / top_{c})" for c in ("af", "be")}
         values = f"{sides['af']} as ALTAF, {sides['be']} as ALTBE, {sides['af']} - {sides['be']} as ALTAF_ALTBE"
     codes = [i for i in range(5) if i not in r.alter_without]
@@ -132,7 +136,11 @@ def _alter(r):
     return sql, columns
 
 
-def _branch(r):
+def _largest(count, rows, learn):
+    return f"(select max(n) from (select {count} as n from {rows} where {learn} group by EID))"
+
+
+def _branch(r, learn=None):
     if r.branch_life:
         sql = """
           select EID, arg_min(case when life = 0 then -1 else life end, row_id) as sub_life,
@@ -143,8 +151,9 @@ def _branch(r):
                "branch_count": DOUBLE, "branch_count_bin": WHOLE}
     if r.branch_span:
         columns["year_sub"] = WHOLE
-    sql = """
-      select *, n::double / max(n) over () as branch_count, trunc(ln(1 + n))::int as branch_count_bin
+    top = "max(n) over ()" if learn is None else _largest("count(TYPECODE)", "branch", learn)
+    sql = f"""
+      select *, n::double / {top} as branch_count, trunc(ln(1 + n))::int as branch_count_bin
       from (select EID, avg(IFHOME) as IFHOME, avg((life > 0)::int) as branch_close_rate,
                    max(B_REYEAR) as bran_lastY, min(B_REYEAR) as bran_firstY,
                    max(B_REYEAR) - min(B_REYEAR) as year_sub, count(TYPECODE) as n
@@ -152,13 +161,14 @@ def _branch(r):
     return sql, columns
 
 
-def _right(r):
+def _right(r, learn=None):
     kinds = [k for k in (11, 12, 20, 30) if k not in r.right_without]
     counts = ", ".join(f"count(*) filter (where RIGHTTYPE = {k}) as RIGHTTYPE_{k}" for k in kinds)
     columns = {f"RIGHTTYPE_{k}": WHOLE for k in kinds} | {"right_count": WHOLE, "right_get_rate": DOUBLE}
     columns |= {"right_last_year": WHOLE, "right_last_month": WHOLE} if r.right_dates else {"right": DOUBLE}
+    top = "max(right_count) over ()" if learn is None else _largest("count(*)", "rights", learn)
     sql = f"""
-      select *, right_count::double / max(right_count) over () as "right" from (
+      select *, right_count::double / {top} as "right" from (
         select EID, {counts}, count(*) as right_count, count(FBDATE)::double / count(*) as right_get_rate,
                max(split_part(ASKDATE, '-', 1)::int) as right_last_year,
                max(split_part(ASKDATE, '-', 2)::int) as right_last_month
@@ -166,7 +176,7 @@ def _right(r):
     return sql, columns
 
 
-def _invest(r):
+def _invest(r, learn=None):
     sql = f"""
       select EID, coalesce(sum(BTBL::decimal(28,10))::double, 0) as BTBL_SUM, count(BTBL) as BTBL_COUNT,
              sum(BTBL::decimal(28,10))::double / nullif(count(BTBL), 0) as BTBL_RATIO,
@@ -177,7 +187,7 @@ def _invest(r):
     return sql, columns | {r.invest_life: DOUBLE, "BTYEAR": WHOLE}
 
 
-def _project(r):
+def _project(r, learn=None):
     sql = """
       select EID, max(split_part(DJDATE, '-', 1)::int) as DJDATE_Y,
              max(split_part(DJDATE, '-', 2)::int) as DJDATE_M, avg(IFHOME) as project_home_prob
@@ -185,7 +195,7 @@ def _project(r):
     return sql, {"DJDATE_Y": WHOLE, "DJDATE_M": WHOLE, "project_home_prob": DOUBLE}
 
 
-def _lawsuit(r):
+def _lawsuit(r, learn=None):
     sql = """
       select EID, count(LAWAMOUNT) as lawsuit_LAWAMOUNT_count,
              max(split_part(LAWDATE, '-', 1)::int) as LAWDATE_Y,
@@ -194,7 +204,7 @@ def _lawsuit(r):
     return sql, {"lawsuit_LAWAMOUNT_count": WHOLE, "LAWDATE_Y": WHOLE}
 
 
-def _breakfaith(r):
+def _breakfaith(r, learn=None):
     columns = {"breakfaith_is_count": WHOLE}
     if r.breakfaith_more:
         columns |= {"breakfaith_is_sum": WHOLE, "FBDATE_Y": WHOLE}
@@ -205,7 +215,7 @@ def _breakfaith(r):
     return sql, columns
 
 
-def _recruit(r):
+def _recruit(r, learn=None):
     counts = ", ".join(f"count(*) filter (where WZCODE = '{p}') as \"WZCODE_{p}\"" for p in PRIORITIES)
     columns = {f"WZCODE_{p}": WHOLE for p in PRIORITIES}
     columns |= {"recruit_RECRNUM_sum": DOUBLE, "recruit_RECRNUM_count": WHOLE}
@@ -245,10 +255,22 @@ def block_sql(name, recipe):
     return f"with {ROLES_SQL} select EID, {_shown(columns)} from ({sql})"
 
 
-def matrix_sql(recipe):
-    parts, joins, columns = [ROLES_SQL], [], {}
+EVEN, ODD = "EID % 2 = 0", "EID % 2 = 1"
+
+
+def roles_sql(learn=None):
+    """The bound tables; with ``learn`` the codes of ALTERNO come from the rows it keeps."""
+    if learn is None:
+        return ROLES_SQL
+    codes = ROLES_SQL.replace("from alter_text group by 1", f"from alter_text where {learn} group by 1")
+    return codes.replace("from alter_text a join codes c", "from alter_text a left join codes c")
+
+
+def matrix_sql(recipe, learn=None, apply=None):
+    """Every feature of a recipe; ``learn`` and ``apply`` keep the companies learned from and shown."""
+    parts, joins, columns = [roles_sql(learn)], [], {}
     for name, build in BLOCKS_SQL.items():
-        sql, found = build(recipe)
+        sql, found = build(recipe, learn)
         parts.append(f"b_{name} as ({sql})")
         joins.append(f"left join b_{name} using (EID)")
         columns |= {f"{c}": k for c, k in found.items()}
@@ -258,7 +280,7 @@ def matrix_sql(recipe):
         top = "claims / nullif(ZCZB, 0) / 10000" if recipe.money == "scaled" else (
             "case when claims > -1 then ln(1 + claims) end / nullif(capital_log, 0)")
         money = f", {top} as money_BL"
-    wide = f"select *{money} from spine {' '.join(joins)}"
+    wide = f"select *{money} from spine {' '.join(joins)}" + (f" where {apply}" if apply else "")
     return f"with {', '.join(parts)} select EID, TARGET, {_shown(columns, -999)} from ({wide})"
 
 
@@ -316,6 +338,104 @@ def lawsuit_amounts(spark, sf):
     return rounded(company.lawsuit_amounts(bindings.company_table(spark, sf, "lawsuit")))
 
 
+def _half(spark, sf, keep):
+    return {name: rows.where(keep) for name, rows in bindings.company_star(spark, sf).items()}
+
+
+def learned_sql(recipe):
+    """What a recipe learns from the even companies, as the stored table shows it."""
+    where = f"where {EVEN}" + (f" and ZCZB < {recipe.capital_limit}" if recipe.capital_limit else "")
+    null = "ETYPE" if recipe.etype_null is None else f"coalesce(ETYPE, {recipe.etype_null:g})"
+    amounts = f"change_rows where {EVEN}" + (f" and af < {recipe.amount_limit}" if recipe.amount_limit else "")
+    parts = []
+
+    def stats(name, source, value):
+        logged = f"(select ln(1 + {value}) as v from {source} and {value} > -1)"
+        parts.extend(
+            f"select 'scalar {name}.{k}' as item, 0::bigint as position, (select {f}(v) from {logged}) as number, null as text"
+            for k, f in (("top", "max"), ("mean", "avg"), ("low", "min"))
+        )
+
+    def one(name, value):
+        parts.append(f"select 'scalar {name}', 0::bigint, ({value})::double, null")
+
+    def codes(column, value, source, order):
+        rank = f"row_number() over (order by {order}) - 1"
+        parts.append(f"select 'code {column}', {rank}, null, {value}::varchar from {source} group by {value}")
+
+    stats("ZCZB", f"entbase {where}", "ZCZB")
+    for column, value in (("ALTAF", "af"), ("ALTBE", "be")):
+        if recipe.amount_raw:
+            one(f"{column}.mean", f"select avg({value}) from {amounts}")
+        else:
+            stats(column, amounts, value)
+    if not recipe.branch_life:
+        one("branch_count.top", f"select {_largest('count(TYPECODE)', 'branch', EVEN)}")
+    if not recipe.right_dates:
+        one("right.top", f"select {_largest('count(*)', 'rights', EVEN)}")
+    codes("ETYPE", f"({null})::double", f"entbase {where} and {null} is not null", f"({null})::double")
+    codes("ALTERNO", "ALTERNO", f"alter_text where {EVEN}", "min(row_id)")
+    codes("RIGHTTYPE", "RIGHTTYPE", f"rights where {EVEN} and RIGHTTYPE is not null", "RIGHTTYPE")
+    codes("WZCODE", "WZCODE", f"recruit where {EVEN} and WZCODE is not null", "WZCODE")
+    rows = " union all ".join(parts)
+    return f"with {ROLES_SQL} select item, position, round(number, 6) as number, text from ({rows})"
+
+
+def _learn_query(recipe):
+    def run(spark, sf):
+        learned = fit_recipe(_half(spark, sf, EVEN), recipe).table()
+        return rounded(learned.where(~F.col("item").startswith("option ")))
+
+    run.__doc__ = f"What the {recipe.name} recipe learns from the even companies: scalars and codes."
+    return run
+
+
+def _apply_query(recipe):
+    def run(spark, sf):
+        path = scratch_path(spark, "recipe")
+        fit_recipe(_half(spark, sf, EVEN), recipe).save(path)
+        return rounded(FittedRecipe.load(spark, path).matrix(_half(spark, sf, ODD)))
+
+    run.__doc__ = f"The {recipe.name} recipe learned from even companies, stored, and applied to odd ones."
+    return run
+
+
+for _recipe in (BASE, WIDE, STACKED):
+    _suffix = "" if _recipe is BASE else f"_{_recipe.name}"
+    query(f"recipe_fit{_suffix}", learned_sql(_recipe))(_learn_query(_recipe))
+    query(f"recipe_apply{_suffix}", matrix_sql(_recipe, EVEN, ODD))(_apply_query(_recipe))
+
+
+def entries_sql(recipe):
+    """The matrix as rows (EID, feature, value); an absent category count has no row."""
+    sql = matrix_sql(recipe)
+    columns = {}
+    for build in BLOCKS_SQL.values():
+        columns |= build(recipe)[1]
+    if recipe.money:
+        columns["money_BL"] = DOUBLE
+    parts = []
+    for c in columns:
+        keep = f' where "{c}" > 0' if c.startswith(("ETYPE_", "ALTERNO_", "RIGHTTYPE_", "WZCODE_")) else ""
+        parts.append(f"select EID, '{c}' as feature, \"{c}\"::double as value from m{keep}")
+    return f"with m as ({sql}) {' union all '.join(parts)}"
+
+
+def _entries_query(recipe):
+    def run(spark, sf):
+        star = bindings.company_star(spark, sf)
+        rows, names = fit_recipe(star, recipe).vectors(star)
+        entries = vector_entries(rows, "EID", "features")
+        return rounded(entries.join(names, "index").select("EID", "feature", "value"))
+
+    run.__doc__ = f"The feature vectors of the {recipe.name} recipe, entry by entry; categories may be any width."
+    return run
+
+
+for _recipe in (BASE, CARRY, WIDE, STACKED):
+    query(f"company_vectors_{_recipe.name}", entries_sql(_recipe))(_entries_query(_recipe))
+
+
 def _lists(spark, sf):
     """The two company lists: the target of some training companies cannot be read."""
     spine = bindings.company_table(spark, sf, "spine")

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from starfold import functions as fn
 from starfold.operators import (
     FeatureBlock,
+    append_codes,
     category_counts_long,
     category_vectors,
+    codebook,
     dictionary_encode,
     one_hot,
     vocabulary,
     wide_category_counts,
 )
+from starfold.operators.sparse import as_vectors, sparse_counts, sparse_parts, stored_vector, vector_entries
 from starfold.queries.registry import query
+from starfold.session import materialize
 from starfold.sources import table
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -164,3 +168,35 @@ def count_vectors(spark, sf):
     vectors = category_vectors(_parts(spark, sf), "EID", "part")
     shown = F.transform(F.arrays_zip("codes", "counts"), lambda p: F.concat_ws(":", p["codes"], p["counts"]))
     return vectors.select("EID", F.array_join(shown, " ").alias("vector"))
+
+
+@query(
+    "sparse_matrix",
+    f"""with b as (select part, row_number() over (order by part) - 1 as code
+                   from (select distinct part from {PARTS_SQL}))
+        select EID, code::int as index, n::double as value from {PARTS_SQL} join b using (part)""",
+)
+def sparse_matrix(spark, sf):
+    """One sparse vector per company over all parts, shown by its entries."""
+    parts = _parts(spark, sf)
+    book = materialize(codebook(parts, "part")[0], "codebook")
+    rows = sparse_parts(sparse_counts(parts, "EID", "part", book), "EID")
+    vectors = rows.select("EID", stored_vector(book.count(), F.col("indices"), F.col("values")).alias("features"))
+    return vector_entries(as_vectors(vectors), "EID", "features")
+
+
+@query(
+    "codebook_append",
+    """with h as (select (min(event_id) + max(event_id)) // 2 as half from events),
+            f as (select user_id, min(event_id) as first,
+                         coalesce(min(event_id) filter (where event_id <= half) is not null, false) as early
+                  from events, h group by 1)
+       select user_id, row_number() over (order by not early, first) - 1 as code from f""",
+)
+def codebook_append(spark, sf):
+    """Users numbered from the first half of the events; the whole table appends the others."""
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    early = events.where(F.col("event_id") <= (low + high) // 2)
+    book = materialize(codebook(early, "user_id", "event_id")[0], "codebook")
+    return append_codes(book, events, "user_id", "event_id", small_rows=10)

@@ -10,13 +10,14 @@ from starfold.operators import (
     align,
     anti,
     assemble,
+    attach_spread,
     log_scale,
     one_hot,
     stack_rows,
     unique_rows,
 )
 from starfold.queries.registry import query, rounded
-from starfold.sources import table
+from starfold.sources import bucketed, store_bucketed, table
 
 STATUSES = ("F", "O", "P")
 
@@ -134,26 +135,23 @@ _STAR_FILLED = ("capital", "event_n", "event_sum", "event_top", "order_n", "orde
                 "line_top_quantity")
 
 
-@query(
-    "star_assembly",
-    f"""select EID, ETYPE_BUILDING, ETYPE_MACHINERY,
-        {', '.join(f'coalesce({c}, -999) as {c}' for c in _STAR_FILLED)} from ({STAR_SQL})""",
-)
-def star_assembly(spark, sf):
-    """Customers with one block each from orders, order lines and events: the flagship."""
-    customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
-    lineitem, events = table(spark, sf, "lineitem"), table(spark, sf, "events")
+STAR_SHOWN_SQL = f"""select EID, ETYPE_BUILDING, ETYPE_MACHINERY,
+        {', '.join(f'coalesce({c}, -999) as {c}' for c in _STAR_FILLED)} from ({STAR_SQL})"""
+
 
+def _star_spine(customer):
     companies = customer.select(
         F.col("c_custkey").alias("EID"), F.col("c_acctbal").alias("capital"), "c_mktsegment"
     )
     scaled = log_scale(companies, "capital")
-    spine = one_hot(scaled, "c_mktsegment", values=["BUILDING", "MACHINERY"], prefix="ETYPE")
+    return one_hot(scaled, "c_mktsegment", values=["BUILDING", "MACHINERY"], prefix="ETYPE")
+
 
+def _order_block(orders):
     dated = orders.withColumnsRenamed({"o_custkey": "EID"}).withColumns(
         {"y": F.year("o_orderdate"), "m": F.month("o_orderdate")}
     )
-    order_block = FeatureBlock(
+    return FeatureBlock(
         "orders",
         dated,
         {
@@ -169,6 +167,26 @@ def star_assembly(spark, sf):
         }
         | fn.category_counts("o_orderstatus", STATUSES, "STATUS"),
     )
+
+
+def _event_block(events):
+    return FeatureBlock(
+        "events",
+        events.withColumnRenamed("user_id", "EID"),
+        {
+            "event_n": fn.row_count(),
+            "event_sum": fn.total_of("value"),
+            "event_top": fn.biggest("value"),
+        },
+    )
+
+
+@query("star_assembly", STAR_SHOWN_SQL)
+def star_assembly(spark, sf):
+    """Customers with one block each from orders, order lines and events: the flagship."""
+    customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    lineitem, events = table(spark, sf, "lineitem"), table(spark, sf, "events")
+
     # Order lines are added up per order before the join, so an order with very many lines, or a
     # customer with very many orders, leaves each map task as one row.
     per_order = FeatureBlock(
@@ -193,14 +211,52 @@ def star_assembly(spark, sf):
             "line_top_quantity": fn.biggest("top"),
         },
     )
-    event_block = FeatureBlock(
-        "events",
-        events.withColumnRenamed("user_id", "EID"),
+    blocks = [b.build() for b in (_order_block(orders), line_block, _event_block(events))]
+    return rounded(assemble(_star_spine(customer), blocks, fill=-999))
+
+
+BUCKETS = 8
+
+
+@query("star_bucketed", STAR_SHOWN_SQL)
+def star_bucketed(spark, sf):
+    """The same star from tables stored in buckets of the company: no child row is shuffled again."""
+    orders = table(spark, sf, "orders")
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_extendedprice", "l_quantity"
+    )
+    owned = lines.join(orders.select("o_orderkey", F.col("o_custkey").alias("EID")), "o_orderkey")
+    stored = {
+        "customer": (table(spark, sf, "customer"), "c_custkey"),
+        "orders": (orders, "o_custkey"),
+        "lines": (owned, "EID"),
+        "events": (table(spark, sf, "events").select("user_id", "value"), "user_id"),
+    }
+    kept = {name: bucketed(spark, store_bucketed(rows, key, BUCKETS)) for name, (rows, key) in stored.items()}
+    line_block = FeatureBlock(
+        "lines",
+        kept["lines"],
         {
-            "event_n": fn.row_count(),
-            "event_sum": fn.total_of("value"),
-            "event_top": fn.biggest("value"),
+            "line_n": fn.row_count(),
+            "line_sum": fn.total_of("l_extendedprice"),
+            "line_return_rate": fn.share_where(F.col("l_returnflag") == "R"),
+            "line_top_quantity": fn.biggest("l_quantity"),
         },
     )
-    blocks = [b.build() for b in (order_block, line_block, event_block)]
-    return rounded(assemble(spine, blocks, fill=-999))
+    blocks = [b.build() for b in (_order_block(kept["orders"]), line_block, _event_block(kept["events"]))]
+    return rounded(assemble(_star_spine(kept["customer"]), blocks, fill=-999))
+
+
+@query(
+    "hot_lookup",
+    """with l as (select l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then 1 else l_partkey end as part,
+                         l_quantity from lineitem)
+       select l_orderkey, l_linenumber, part, l_quantity, p_name, p_retailprice
+       from l left join part on part = p_partkey""",
+)
+def hot_lookup(spark, sf):
+    """Order lines with their part, half of them with the same one; the parts are not broadcast."""
+    part = F.when(F.col("l_orderkey") % 2 == 0, F.lit(1).cast("long")).otherwise(F.col("l_partkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", part.alias("part"), "l_quantity")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_name", "p_retailprice")
+    return attach_spread(lines, parts, "part")

@@ -21,6 +21,7 @@ from starfold.models import (
     submission,
     top_features,
 )
+from starfold.models.persist import Boosted, BoostedModel
 from starfold.models.stack import fold_mean
 from starfold.operators import base_rate, exact_folds, stratified_holdout
 from starfold.plans import bindings
@@ -117,18 +118,31 @@ def gbt_fit_score(spark, sf):
     return model.predict(_unlabelled(frame)).select("EID", "score")
 
 
-@query(
-    "gbt_stump",
-    """with d as (select doc_id as EID, (lang = 'en')::int as side, quality
+STUMP_SQL = """with d as (select doc_id as EID, (lang = 'en')::int as side, quality
                  from documents left join labels using (doc_id)),
             m as (select side, avg(2.0 * quality - 1) as v from d where quality is not null group by 1)
-       select EID, round(1 / (1 + exp(-2 * v)), 9) as score from d join m using (side) where quality is null""",
-)
-def gbt_stump(spark, sf):
-    """One round of depth one on one 0/1 feature: a fitted model whose scores follow by hand."""
+       select EID, round(1 / (1 + exp(-2 * v)), 9) as score from d join m using (side) where quality is null"""
+
+
+def _stump_frame(spark, sf):
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("EID"), (F.col("lang") == "en").cast("int").alias("side"))
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("EID"), F.col("quality").alias("TARGET"))
-    frame = materialize(feature_vector(documents.join(labels, "EID", "left"), ["side"]), "stump")
+    return materialize(feature_vector(documents.join(labels, "EID", "left"), ["side"]), "stump")
+
+
+@query("gbt_stump_reload", STUMP_SQL)
+def gbt_stump_reload(spark, sf):
+    """The stump fitted as a ``pyspark.ml`` estimator, saved, loaded and applied."""
+    frame = _stump_frame(spark, sf)
+    path = scratch_path(spark, "saved-model")
+    Boosted(settings=BoostSettings(rounds=1, depth=1)).fit(frame.where("TARGET is not null")).write().save(path)
+    return rounded(BoostedModel.load(path).transform(_unlabelled(frame)).select("EID", "score"), 9)
+
+
+@query("gbt_stump", STUMP_SQL)
+def gbt_stump(spark, sf):
+    """One round of depth one on one 0/1 feature: a fitted model whose scores follow by hand."""
+    frame = _stump_frame(spark, sf)
     model = BoostedClassifier(BoostSettings(rounds=1, depth=1)).fit(frame.where("TARGET is not null"))
     return rounded(model.predict(_unlabelled(frame)).select("EID", "score"), 9)
 
@@ -333,7 +347,7 @@ SUBMISSION_SQL = f"""with f as (select user_id as EID, round_even(arg_min(value,
   select EID, (p > {THRESHOLD})::int as FORTARGET, p::varchar as PROB from f"""
 
 
-def _fixed_scores(spark, sf):
+def fixed_scores(spark, sf):
     """A score per event; users repeat, and the first event of a user counts."""
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("EID"), "event_id", (F.col("value") / 500).alias("score")
@@ -343,13 +357,13 @@ def _fixed_scores(spark, sf):
 
 @query("submission_format", SUBMISSION_SQL)
 def submission_format(spark, sf):
-    return _fixed_scores(spark, sf)
+    return fixed_scores(spark, sf)
 
 
 @query("write_scored", SUBMISSION_SQL)
 def scored_csv(spark, sf):
     path = scratch_path(spark, "scored")
-    write_scored(_fixed_scores(spark, sf), path)
+    write_scored(fixed_scores(spark, sf), path)
     return read_csv(spark, path, "EID long, FORTARGET int, PROB string")
 
 
@@ -360,7 +374,7 @@ def scored_csv(spark, sf):
                (count(*) filter (where FORTARGET = 1))::double / count(*) as positive_rate from s""",
 )
 def submission_profile(spark, sf):
-    return base_rate(_fixed_scores(spark, sf), "FORTARGET")
+    return base_rate(fixed_scores(spark, sf), "FORTARGET")
 
 
 @query("write_importance")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,61 @@ def read_csv(
     return _in_file_order(raw.select(*columns, *_place()), path, row_key)
 
 
+@dataclass(frozen=True)
+class Checked:
+    """Rows that could be read whole, and why the others could not."""
+
+    accepted: DataFrame
+    rejects: DataFrame
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: str | T.StructType, parsers: Mapping[str, Column] | None = None
+) -> Checked:
+    """CSV with a header row, in one pass: typed rows, and rejects (file, line, column, text).
+
+    A value that is present but not of its declared type is a reject with its column and text; so is a
+    value for which ``parsers`` (column -> expression over the text columns) gives NULL. A line with
+    too few or too many values is a reject without column whose text is the line. A row with any reject
+    is not accepted. ``line`` numbers the rows of a file's block, header left out. Undeclared columns
+    are dropped. Both frames are read from one written table.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    broken = "_broken_line"
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, broken]])
+    reader = spark.read.schema(text).option("header", True).option("enforceSchema", False)
+    raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).csv(path)
+    typed = {f.name: _typed(f.name, f.dataType, False) for f in _fields(schema)}
+    tests = typed | dict(parsers or {})
+    kind = "struct<column:string,text:string>"
+
+    def problem(column, value, wrong):
+        return F.when(wrong, F.struct(column.alias("column"), value.alias("text")).cast(kind))
+
+    def unreadable(name, parsed):
+        value = F.col(f"`{name}`")
+        missing = F.lower(F.trim(value)).isin("nan", "")
+        return problem(F.lit(name), value, value.isNotNull() & ~missing & parsed.isNull())
+
+    whole = F.col(broken).isNull()
+    problems = F.when(whole, F.array_compact(F.array(*[unreadable(n, c) for n, c in tests.items()]))).otherwise(
+        F.array(problem(F.lit(None).cast("string"), F.col(broken), ~whole))
+    )
+    rows = materialize(
+        raw.select(
+            *[c.alias(n) for n, c in typed.items()],
+            F.col("_metadata.file_path").alias("_file"),
+            (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_line"),
+            problems.alias("_problems"),
+        ),
+        "checked",
+    )
+    rejects = rows.select(F.col("_file").alias("file"), F.col("_line").alias("line"), F.explode("_problems").alias("p"))
+    return Checked(
+        rows.where(F.size("_problems") == 0).select(*typed), rejects.select("file", "line", "p.column", "p.text")
+    )
+
+
 FILE_ROWS = 50_000
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from starfold.sources.versions import write_committed
+
 
 def write_scored(df: DataFrame, path: str) -> None:
     """Scored rows as CSV with a header and a fixed column order."""
@@ -18,3 +20,16 @@ def write_importance(df: DataFrame, path: str) -> None:
 def write_feature_map(df: DataFrame, path: str) -> None:
     """Feature map: tab-separated, without a header, in index order."""
     df.select("index", "feature", "kind").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+
+
+def write_scored_atomic(df: DataFrame, folder: str) -> str:
+    """Scored rows as a new version of the folder; readers of ``committed_path`` never see a part of it."""
+    return write_committed(df, folder, write_scored)
+
+
+def write_importance_atomic(df: DataFrame, folder: str) -> str:
+    return write_committed(df, folder, write_importance)
+
+
+def write_feature_map_atomic(df: DataFrame, folder: str) -> str:
+    return write_committed(df, folder, write_feature_map)
