@@ -115,6 +115,11 @@ def category_counts(
     return out
 
 
+def category_conditions(c: Column | str, values: Sequence, null_category: bool = False) -> list[Column]:
+    """One condition per category value."""
+    return [_matches(c, value, null_category) for value in values]
+
+
 def category_shares(c: Column | str, values: Sequence, prefix: str) -> dict[str, Column]:
     """Share of each category over all rows of the group."""
     return {

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from starfold.functions import aggregates
 from starfold.functions.aggregates import dummy_name
 
 Part = Callable[[str], Column]
@@ -102,9 +103,17 @@ def carry_first(c: Column | str, order: Column | str) -> Mergeable:
     )
 
 
-def category_counts(c: Column | str, values: Sequence, prefix: str) -> dict[str, Mergeable]:
+def category_counts(
+    c: Column | str,
+    values: Sequence,
+    prefix: str,
+    names: Sequence[str] | None = None,
+    null_category: bool = False,
+) -> dict[str, Mergeable]:
+    names = names or [dummy_name(prefix, v) for v in values]
+    conditions = aggregates.category_conditions(c, values, null_category)
     out = {}
-    for value in values:
-        parts, merge = _added(n=F.count_if(_col(c) == F.lit(value)))
-        out[dummy_name(prefix, value)] = Mergeable(parts, merge, lambda p: p("n"))
+    for name, condition in zip(names, conditions):
+        parts, merge = _added(n=F.count_if(condition))
+        out[name] = Mergeable(parts, merge, lambda p: p("n"))
     return out

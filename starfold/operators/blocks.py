@@ -34,29 +34,32 @@ class FeatureBlock:
     def build(self) -> DataFrame:
         rows = self.source.where(F.col(self.key).isNotNull())
         out = rows.groupBy(self.key).agg(*[c.alias(n) for n, c in self.features.items()])
-        if self.scaled:
-            out = self._with_scaled(out)
-        if self.derived:
-            out = out.withColumns(dict(self.derived))
-        if self.drop:
-            out = out.drop(*self.drop)
-        return out if self.fill is None else fill_numeric(out, self.fill, skip=[self.key])
-
-    def _with_scaled(self, out: DataFrame) -> DataFrame:
-        """``scaled[new] = feature``: the feature over its largest group value.
-
-        The block, one row per key, is written first: the largest values are then read from a few of
-        its columns, and the child table behind it is read once.
-        """
-        largest = {new: F.lit(self.tops[new]) for new in self.scaled if new in self.tops}
-        needed = sorted({n for new, n in self.scaled.items() if new not in self.tops})
-        if needed:
-            out = materialize(out, "block")
-            tops = out.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
-            largest |= {new: tops[n] for new, n in self.scaled.items() if new not in self.tops}
-        return out.withColumns(
-            {
-                new: F.try_divide(F.col(n).cast("double"), largest[new].cast("double"))
-                for new, n in self.scaled.items()
-            }
-        )
+        return finish(out, self)
+
+
+def finish(out: DataFrame, block) -> DataFrame:
+    """Scaled and derived features, dropped helpers and fills over the aggregated features of a block."""
+    if block.scaled:
+        out = _with_scaled(out, block.scaled, block.tops)
+    if block.derived:
+        out = out.withColumns(dict(block.derived))
+    if block.drop:
+        out = out.drop(*block.drop)
+    return out if block.fill is None else fill_numeric(out, block.fill, skip=[block.key])
+
+
+def _with_scaled(out: DataFrame, scaled: Mapping[str, str], tops: Mapping[str, float | None]) -> DataFrame:
+    """``scaled[new] = feature``: the feature over its largest group value.
+
+    The block, one row per key, is written first: the largest values are then read from a few of
+    its columns, and the child table behind it is read once.
+    """
+    largest = {new: F.lit(tops[new]) for new in scaled if new in tops}
+    needed = sorted({n for new, n in scaled.items() if new not in tops})
+    if needed:
+        out = materialize(out, "block")
+        found = out.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
+        largest |= {new: found[n] for new, n in scaled.items() if new not in tops}
+    return out.withColumns(
+        {new: F.try_divide(F.col(n).cast("double"), largest[new].cast("double")) for new, n in scaled.items()}
+    )

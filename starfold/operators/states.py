@@ -14,9 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.functions.nulls import fill_numeric
 from starfold.functions.states import Mergeable
-from starfold.session import materialize
+from starfold.operators.blocks import finish
 from starfold.sources.versions import Versions, last_number
 
 BASE = "base"
@@ -31,6 +30,7 @@ class StateBlock:
     key: str = "EID"
     derived: Mapping[str, Column] = field(default_factory=dict)
     scaled: Mapping[str, str] = field(default_factory=dict)
+    tops: Mapping[str, float | None] = field(default_factory=dict)
     drop: tuple[str, ...] = ()
     fill: float | None = None
 
@@ -51,18 +51,7 @@ class StateBlock:
 
     def finish(self, merged: DataFrame) -> DataFrame:
         """Merged states as features."""
-        out = merged.select(self.key, *[m.value(self._part(n)).alias(n) for n, m in self.features.items()])
-        if self.scaled:
-            out = materialize(out, "block")
-            needed = sorted(set(self.scaled.values()))
-            tops = out.agg(F.struct(*[F.max(n).alias(n) for n in needed]).alias("s")).scalar()
-            out = out.withColumns(
-                {new: F.try_divide(F.col(n).cast("double"), tops[n].cast("double")) for new, n in self.scaled.items()}
-            )
-        if self.derived:
-            out = out.withColumns(dict(self.derived))
-        out = out.drop(*self.drop)
-        return out if self.fill is None else fill_numeric(out, self.fill, skip=[self.key])
+        return finish(merged.select(self.key, *[m.value(self._part(n)).alias(n) for n, m in self.features.items()]), self)
 
 
 class StateStore:
@@ -109,6 +98,10 @@ class StateStore:
         """The block over all slices; only stored states are read."""
         return self.block.finish(self.merged())
 
+    def drop_unused(self) -> None:
+        """Delete what no version but the last two needs; call it when no reader is left on older ones."""
+        self.versions.drop_unused()
+
     def compact(self) -> None:
         """Replace all slices by one base of their merged states."""
         content, after = self._content()

@@ -181,8 +181,29 @@ def pin_values(tables: Mapping[str, DataFrame], recipe: Recipe, order: str = "ro
     return replace(recipe, values=dict(recipe.values) | dict(zip(missing, found)))
 
 
+@dataclass(frozen=True)
+class Parts:
+    """A block before it is aggregated: its rows, its features and what is done with them afterwards.
+
+    ``features`` come from ``kit``, the module with the aggregate builders: ``functions`` for one
+    aggregation, ``functions.states`` for stored states.
+    """
+
+    name: str
+    rows: DataFrame
+    features: Mapping
+    options: Mapping = field(default_factory=dict)
+
+    def build(self) -> DataFrame:
+        return FeatureBlock(self.name, self.rows, self.features, KEY, **self.options).build()
+
+
 def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id") -> DataFrame:
     """Change counts by code, amounts of the latest change, first and last change date."""
+    return alter_parts(alter, recipe, order).build()
+
+
+def alter_parts(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id", kit=fn) -> Parts:
     rows = alter_rows(alter, recipe)
     if recipe.amount_raw:
         for c in AMOUNTS:
@@ -206,18 +227,16 @@ def alter_block(alter: DataFrame, recipe: Recipe = BASE, order: str = "row_id")
     if recipe.categories:
         codes = _values(recipe, "ALTERNO", lambda: first_seen_values(alter, "ALTERNO", order))
         kept = [(i, v) for i, v in enumerate(codes) if i not in recipe.alter_without]
-        features = fn.category_counts(
+        features = kit.category_counts(
             "ALTERNO", [v for _, v in kept], "ALTERNO",
             names=[fn.dummy_name("ALTERNO", i) for i, _ in kept], null_category=True,
         )
-    features |= {c: fn.carry_latest(c, place) for c in recipe.alter_carry}
-    features |= {"_first": F.min("_ym"), "_last": F.max("_ym")}
+    features |= {c: kit.carry_latest(c, place) for c in recipe.alter_carry}
+    features |= {"_first": kit.earliest("_ym"), "_last": kit.latest("_ym")}
     dates = {"last_year": _year("_last"), "last_month": _month("_last")}
     if recipe.alter_first:
         dates |= {"first_year": _year("_first"), "first_month": _month("_first")}
-    return FeatureBlock(
-        "alter", rows, features, derived=dates, drop=("_first", "_last"), fill=-1
-    ).build()
+    return Parts("alter", rows, features, {"derived": dates, "drop": ("_first", "_last"), "fill": -1})
 
 
 AMOUNTS = ("ALTAF", "ALTBE")
@@ -249,82 +268,100 @@ def _month(c: str):
 
 def branch_block(branch: DataFrame, recipe: Recipe = BASE, order: str = "row_id") -> DataFrame:
     """Branch count, closing behaviour, home share and branch years."""
+    return branch_parts(branch, recipe, order).build()
+
+
+def branch_parts(branch: DataFrame, recipe: Recipe = BASE, order: str = "row_id", kit=fn) -> Parts:
     life = fn.fill_from("B_ENDYEAR", "B_REYEAR") - F.col("B_REYEAR")
     rows = branch.withColumn("_life", life)
-    home = {"IFHOME": fn.flag_rate("IFHOME")}
+    home = {"IFHOME": kit.flag_rate("IFHOME")}
     if recipe.branch_life:
         lived = fn.replace_value("_life", 0, -1)
-        features = {"sub_life": fn.carry_first(lived, order)} | home
-        features |= {"B_REYEAR": fn.mean_of("B_REYEAR")}
-        return FeatureBlock("branch", rows.where("_life >= 0"), features).build()
+        features = {"sub_life": kit.carry_first(lived, order)} | home
+        features |= {"B_REYEAR": kit.mean_of("B_REYEAR")}
+        return Parts("branch", rows.where("_life >= 0"), features)
     features = home | {
-        "branch_close_rate": fn.flag_rate(fn.flag(F.col("_life") > 0)),
-        "_branches": fn.present("TYPECODE"),
-        "bran_lastY": fn.latest("B_REYEAR"),
-        "bran_firstY": fn.earliest("B_REYEAR"),
+        "branch_close_rate": kit.flag_rate(fn.flag(F.col("_life") > 0)),
+        "_branches": kit.present("TYPECODE"),
+        "bran_lastY": kit.latest("B_REYEAR"),
+        "bran_firstY": kit.earliest("B_REYEAR"),
     }
     if recipe.branch_span:
-        features["year_sub"] = fn.year_span("B_REYEAR")
-    return FeatureBlock(
-        "branch", rows, features, scaled={"branch_count": "_branches"}, tops=_tops(recipe, "branch_count"),
-        derived={"branch_count_bin": fn.log_bin("_branches")}, drop=("_branches",),
-    ).build()
+        features["year_sub"] = kit.year_span("B_REYEAR")
+    options = {"scaled": {"branch_count": "_branches"}, "tops": _tops(recipe, "branch_count")}
+    options |= {"derived": {"branch_count_bin": fn.log_bin("_branches")}, "drop": ("_branches",)}
+    return Parts("branch", rows, features, options)
 
 
 def right_block(right: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Rights by type, their number, last application date and share granted."""
+    return right_parts(right, recipe).build()
+
+
+def right_parts(right: DataFrame, recipe: Recipe = BASE, kit=fn) -> Parts:
     features = {}
     if recipe.categories:
         types = _values(recipe, "RIGHTTYPE", lambda: vocabulary(right, "RIGHTTYPE"))
         types = [v for v in types if v not in recipe.right_without]
-        features = fn.category_counts("RIGHTTYPE", types, "RIGHTTYPE")
+        features = kit.category_counts("RIGHTTYPE", types, "RIGHTTYPE")
     features |= {
-        "right_count": fn.row_count(),
-        "right_get_rate": fn.share_where(F.col("FBDATE").isNotNull()),
+        "right_count": kit.row_count(),
+        "right_get_rate": kit.share_where(F.col("FBDATE").isNotNull()),
     }
     if recipe.right_dates:
         features |= {
-            "right_last_year": fn.latest(fn.date_piece("ASKDATE", 1)),
-            "right_last_month": fn.biggest(fn.date_piece("ASKDATE", 2)),
+            "right_last_year": kit.latest(fn.date_piece("ASKDATE", 1)),
+            "right_last_month": kit.biggest(fn.date_piece("ASKDATE", 2)),
         }
-        return FeatureBlock("right", right, features).build()
-    tops = _tops(recipe, "right")
-    return FeatureBlock("right", right, features, scaled={"right": "right_count"}, tops=tops).build()
+        return Parts("right", right, features)
+    return Parts("right", right, features, {"scaled": {"right": "right_count"}, "tops": _tops(recipe, "right")})
 
 
 def invest_block(invest: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Shares held, home share, share of ended investments and the last investment year."""
+    return invest_parts(invest, recipe).build()
+
+
+def invest_parts(invest: DataFrame, recipe: Recipe = BASE, kit=fn) -> Parts:
     ended = fn.fill_from("BTENDYEAR", "BTYEAR") > F.col("BTYEAR")
     features = {
-        "BTBL_SUM": fn.total_of("BTBL"),
-        "BTBL_COUNT": fn.present("BTBL"),
-        "BTBL_RATIO": fn.mean_of("BTBL"),
-        "invest_home_prob": fn.flag_rate("IFHOME"),
-        recipe.invest_life: fn.flag_rate(fn.flag(ended)),
-        "BTYEAR": fn.latest("BTYEAR"),
+        "BTBL_SUM": kit.total_of("BTBL"),
+        "BTBL_COUNT": kit.present("BTBL"),
+        "BTBL_RATIO": kit.mean_of("BTBL"),
+        "invest_home_prob": kit.flag_rate("IFHOME"),
+        recipe.invest_life: kit.flag_rate(fn.flag(ended)),
+        "BTYEAR": kit.latest("BTYEAR"),
     }
-    return FeatureBlock("invest", invest, features).build()
+    return Parts("invest", invest, features)
 
 
 def project_block(project: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Last project year, largest project month and home share."""
+    return project_parts(project, recipe).build()
+
+
+def project_parts(project: DataFrame, recipe: Recipe = BASE, kit=fn) -> Parts:
     features = {
-        "DJDATE_Y": fn.latest(fn.date_piece("DJDATE", 1)),
-        "DJDATE_M": fn.biggest(fn.date_piece("DJDATE", 2)),
-        "project_home_prob": fn.flag_rate("IFHOME"),
+        "DJDATE_Y": kit.latest(fn.date_piece("DJDATE", 1)),
+        "DJDATE_M": kit.biggest(fn.date_piece("DJDATE", 2)),
+        "project_home_prob": kit.flag_rate("IFHOME"),
     }
-    return FeatureBlock("project", project, features).build()
+    return Parts("project", project, features)
 
 
 def lawsuit_block(lawsuit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Lawsuits with an amount, last lawsuit year; with ``money`` the summed amount as helper."""
+    return lawsuit_parts(lawsuit, recipe).build()
+
+
+def lawsuit_parts(lawsuit: DataFrame, recipe: Recipe = BASE, kit=fn) -> Parts:
     features = {
-        "lawsuit_LAWAMOUNT_count": fn.present("LAWAMOUNT"),
-        "LAWDATE_Y": fn.latest(fn.date_piece("LAWDATE", 1)),
+        "lawsuit_LAWAMOUNT_count": kit.present("LAWAMOUNT"),
+        "LAWDATE_Y": kit.latest(fn.date_piece("LAWDATE", 1)),
     }
     if recipe.money:
-        features["_claims"] = fn.total_of("LAWAMOUNT")
-    return FeatureBlock("lawsuit", lawsuit, features).build()
+        features["_claims"] = kit.total_of("LAWAMOUNT")
+    return Parts("lawsuit", lawsuit, features)
 
 
 def lawsuit_amounts(lawsuit: DataFrame) -> DataFrame:
@@ -342,30 +379,38 @@ def lawsuit_amounts(lawsuit: DataFrame) -> DataFrame:
 
 def breakfaith_block(breakfaith: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Broken promises: number, number ended and first year."""
-    features = {"breakfaith_is_count": fn.row_count()}
+    return breakfaith_parts(breakfaith, recipe).build()
+
+
+def breakfaith_parts(breakfaith: DataFrame, recipe: Recipe = BASE, kit=fn) -> Parts:
+    features = {"breakfaith_is_count": kit.row_count()}
     if recipe.breakfaith_more:
         features |= {
-            "breakfaith_is_sum": fn.present("SXENDDATE"),
-            "FBDATE_Y": fn.earliest(fn.date_piece("FBDATE", 1, "/")),
+            "breakfaith_is_sum": kit.present("SXENDDATE"),
+            "FBDATE_Y": kit.earliest(fn.date_piece("FBDATE", 1, "/")),
         }
-    return FeatureBlock("breakfaith", breakfaith, features).build()
+    return Parts("breakfaith", breakfaith, features)
 
 
 def recruit_block(recruit: DataFrame, recipe: Recipe = BASE) -> DataFrame:
     """Job postings by site, people wanted in total, postings, people per posting."""
+    return recruit_parts(recruit, recipe).build()
+
+
+def recruit_parts(recruit: DataFrame, recipe: Recipe = BASE, kit=fn) -> Parts:
     features = {}
     if recipe.categories:
         sites = _values(recipe, "WZCODE", lambda: vocabulary(recruit, "WZCODE"))
-        features = fn.category_counts("WZCODE", sites, "WZCODE")
+        features = kit.category_counts("WZCODE", sites, "WZCODE")
     features |= {
-        "recruit_RECRNUM_sum": fn.total_of("RECRNUM"),
-        "recruit_RECRNUM_count": fn.row_count(),
+        "recruit_RECRNUM_sum": kit.total_of("RECRNUM"),
+        "recruit_RECRNUM_count": kit.row_count(),
     }
     derived = {}
     # Fixed value: the name of this feature in the scoring runs.
     if recipe.recruit_mean:
         derived["recurt_info_ration"] = fn.ratio("recruit_RECRNUM_sum", "recruit_RECRNUM_count")
-    return FeatureBlock("recruit", recruit, features, derived=derived).build()
+    return Parts("recruit", recruit, features, {"derived": derived})
 
 
 def money_ratio(recipe: Recipe):
@@ -384,18 +429,29 @@ def company_matrix(
     lists; without it a NULL target marks the companies to be scored.
     """
     recipe = pin_values(tables, recipe)
-    blocks = [
-        entbase_block(tables["entbase"], recipe, helper=recipe.money == "log"),
-        alter_block(tables["alter"], recipe),
-        branch_block(tables["branch"], recipe),
-        right_block(tables["right"], recipe),
-        invest_block(tables["invest"], recipe),
-        project_block(tables["project"], recipe),
-        lawsuit_block(tables["lawsuit"], recipe),
-        breakfaith_block(tables["breakfaith"], recipe),
-        recruit_block(tables["recruit"], recipe),
-    ]
-    wide = assemble(tables["spine"], blocks, KEY)
+    children = {name: parts(tables[name], recipe).build() for name, parts in CHILDREN.items()}
+    return matrix_of(tables["spine"], tables["entbase"], children, recipe, fill)
+
+
+#: child table -> its block before aggregation, in the order of the matrix
+CHILDREN = {
+    "alter": alter_parts,
+    "branch": branch_parts,
+    "right": right_parts,
+    "invest": invest_parts,
+    "project": project_parts,
+    "lawsuit": lawsuit_parts,
+    "breakfaith": breakfaith_parts,
+    "recruit": recruit_parts,
+}
+
+
+def matrix_of(
+    spine: DataFrame, entbase: DataFrame, children: Mapping[str, DataFrame], recipe: Recipe, fill: float | None
+) -> DataFrame:
+    """The blocks of all child tables and of the company table on the spine."""
+    blocks = [entbase_block(entbase, recipe, helper=recipe.money == "log"), *[children[c] for c in CHILDREN]]
+    wide = assemble(spine, blocks, KEY)
     if recipe.money:
         wide = wide.withColumn("money_BL", money_ratio(recipe)).drop("_claims", "_capital")
     return wide if fill is None else fn.fill_numeric(wide, fill, skip=[KEY, "TARGET", "split"])

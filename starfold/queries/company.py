@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from starfold.operators.sparse import vector_entries
 from starfold.plans import BASE, CARRY, STACKED, WIDE, bindings, company
-from starfold.plans.fitted import FittedRecipe, fit_recipe
+from starfold.plans.fitted import CATEGORIES, FittedRecipe, fit_recipe
+from starfold.plans.incremental import IncrementalStar
 from starfold.plans.runs import spine_of
 from starfold.queries.registry import query, rounded
 from starfold.session import scratch_path
-from starfold.sources import STAR_FILES, read_star
+from starfold.sources import STAR_FILES, read_star, write_feature_map
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 
@@ -406,6 +407,40 @@ for _recipe in (BASE, WIDE, STACKED):
     query(f"recipe_apply{_suffix}", matrix_sql(_recipe, EVEN, ODD))(_apply_query(_recipe))
 
 
+@query("company_matrix_merged", matrix_sql(BASE))
+def company_matrix_merged(spark, sf):
+    """The base recipe from the stored states of two slices of every child table."""
+    star = bindings.company_star(spark, sf)
+    held = IncrementalStar(spark, scratch_path(spark, "star-states"), fit_recipe(star, BASE), star)
+    for i in range(2):
+        held.put(f"s{i}", {n: t.where(F.pmod(F.xxhash64(*t.columns), F.lit(2)) == i) for n, t in star.items()})
+    return rounded(held.matrix(star["spine"], star["entbase"]))
+
+
+@query(
+    "company_feature_names",
+    f"""with {ROLES_SQL}, t as (
+          select 1 as part, row_number() over (order by ETYPE) as k, 'ETYPE_' || ETYPE::int as feature
+            from entbase where ZCZB < {BASE.capital_limit} and ETYPE <> 2 group by ETYPE
+          union all select 2, code, 'ALTERNO_' || code from codes
+          union all select 3, row_number() over (order by RIGHTTYPE), 'RIGHTTYPE_' || RIGHTTYPE
+            from rights where RIGHTTYPE is not null group by RIGHTTYPE
+          union all select 4, row_number() over (order by WZCODE), 'WZCODE_' || WZCODE
+            from recruit where WZCODE is not null group by WZCODE)
+        select (row_number() over (order by part, k) - 1)::int as place, feature, 'q' as kind from t""",
+)
+def category_feature_names(spark, sf):
+    """The sparse end of the feature list of the base recipe, written and read as a feature map."""
+    star = bindings.company_star(spark, sf)
+    names = fit_recipe(star, BASE).vectors(star)[1]
+    path = scratch_path(spark, "feature-map")
+    write_feature_map(names.orderBy("index"), path)
+    read = spark.read.schema("index int, feature string, kind string").csv(path, sep="\t")
+    found = read.where(F.split("feature", "_")[0].isin(*CATEGORIES))
+    first = found.agg(F.min("index")).scalar()
+    return found.select((F.col("index") - first).alias("place"), "feature", "kind")
+
+
 def entries_sql(recipe):
     """The matrix as rows (EID, feature, value); an absent category count has no row."""
     sql = matrix_sql(recipe)

@@ -28,7 +28,7 @@ from starfold.plans import bindings
 from starfold.plans.documents import document_matrix, feature_names
 from starfold.plans.runs import RUNS, score_companies
 from starfold.queries.registry import QUERIES, query, rounded
-from starfold.session import materialize, scratch_path
+from starfold.session import materialize, scratch_path, when_cleared
 from starfold.sources import (
     STAR_SCHEMAS,
     read_csv,
@@ -62,8 +62,9 @@ def _once(spark, key, make):
     return _FITTED[key]
 
 
+@when_cleared
 def forget_fits() -> None:
-    """Fit anew from here on, for timing."""
+    """Fit anew from here on: for timing, and when the tables that fits read are deleted."""
     _FITTED.clear()
 
 

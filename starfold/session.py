@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ DEFAULTS = {
 }
 
 _LOCAL: dict[str, str] = {}
+_WHEN_CLEARED: list[Callable[[], None]] = []
 
 
 def build_session(app: str = "starfold", master: str | None = None, **conf) -> SparkSession:
@@ -53,8 +55,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def when_cleared(forget: Callable[[], None]) -> Callable[[], None]:
+    """Register what holds frames that read intermediate tables; it is called when those are deleted."""
+    _WHEN_CLEARED.append(forget)
+    return forget
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, after the results that read them are written."""
+    for forget in _WHEN_CLEARED:
+        forget()
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

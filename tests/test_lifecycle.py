@@ -13,6 +13,9 @@ from starfold.operators import (
     merge_sketches,
     observed,
 )
+from starfold.plans import STACKED, WIDE, company_matrix
+from starfold.plans.fitted import fit_recipe
+from starfold.plans.incremental import IncrementalStar
 from starfold.queries import QUERIES
 from starfold.queries.lifecycle import order_rows, order_states
 from starfold.sources import (
@@ -24,6 +27,9 @@ from starfold.sources import (
     write_scored_atomic,
 )
 
+from test_company import ROWS
+from test_fitted import tables as company_tables
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -109,6 +115,22 @@ def test_failed_slice_leaves_the_store(spark, store):
     assert store.slices() == ["d0"] and rounded_features(store.features()) == before
 
 
+@pytest.mark.parametrize("recipe", [WIDE, STACKED], ids=lambda r: r.name)
+def test_company_matrix_from_slices(spark, tmp_path, recipe):
+    """Rows of one company lie in several slices; the matrix is that of all rows at once."""
+    star = company_tables(spark, ROWS)
+    held = IncrementalStar(spark, str(tmp_path / "star"), fit_recipe(star, recipe), star)
+    for i in (1, 0):
+        held.put(f"d{i}", company_tables(spark, {k: [r for j, r in enumerate(v) if j % 2 == i] for k, v in ROWS.items()}))
+    got, want = held.matrix(star["spine"], star["entbase"]), company_matrix(star, recipe)
+    assert got.columns == want.columns
+    for a, b in zip(rows_of(got), rows_of(want)):
+        assert a == pytest.approx(b)
+    held.stores["right"].put("d2", star["right"])
+    with pytest.raises(ValueError, match="different slices"):
+        held.slices()
+
+
 # rejects ---------------------------------------------------------------------------------------
 
 

@@ -82,3 +82,13 @@ def test_presets():
     }
     assert RUNS["stacked"].folds * len(RUNS["stacked"].models) + 1 == 17
     assert RUNS["base"].sized(3).models[0].leaves == 128
+
+
+def test_model_queries_survive_clearing(spark):
+    """Fits that read deleted tables are forgotten with them."""
+    from starfold.queries import QUERIES
+    from starfold.session import clear_scratch
+
+    first = QUERIES["top_features"](spark, "/root/testdata/sf0.001").count()
+    clear_scratch(spark)
+    assert QUERIES["top_features"](spark, "/root/testdata/sf0.001").count() == first > 0

@@ -107,7 +107,8 @@ def test_scaled_block_reads_its_source_once(spark):
     assert len(plans) == 1 and plans[0].count("lineitem.parquet") == 1 and "lineitem.parquet" not in after
 
 
-FITS_MODELS = {"oof_rows", "run_rows", "gbt_stump"}
+FITS_MODELS = {"oof_rows", "run_rows", "gbt_stump", "gbt_stump_reload", "gbt_cells", "patience_stop", "write_cells_importance"}
+FITS_MODELS |= {name for name in ORACLES if name.startswith("cells_")}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "SortAggregate")
 
