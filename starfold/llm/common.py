@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.session import materialize
+from starfold.session import materialize, scratch_path
 from starfold.sources import table
 
-__all__ = ["blank", "bound_batches", "components", "cut", "map_batches", "small_enough", "table"]
+__all__ = ["blank", "bound_batches", "components", "cut", "for_now", "map_batches", "row_key", "small_enough", "table"]
 
 BATCH_BYTES = 2 << 20
 BROADCAST_BYTES = 64 << 20
@@ -22,6 +23,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+@contextmanager
+def for_now(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``cut`` for a table that is needed only within the block; its files are deleted behind it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches be limited by bytes too, so that long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -46,6 +59,11 @@ def blank(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def row_key() -> Column:
+    """A long from the id and the text of a row: rows that agree in both are one row."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), blank("text"))
+
+
 def small_enough(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only for a side whose counted size is under the limit; else leave it to a shuffle.
 

@@ -2,9 +2,12 @@
 
 The content view sees the words of a text, runs of symbols and coarse shares (capitals, symbols,
 distinct words, the commonest word); the metadata view sees source, language, length and number of
-lines. Each is a logistic regression over presence features. They start from labelled rows; in every
-round each view labels the unlabelled rows it is sure of, by its calibrated probability, for the
-other one. At the end both views are calibrated together on held-out labels and score every document.
+lines. Each is a logistic regression over presence features, every token hashed to its place. They
+start from labelled rows; in every round each view labels the unlabelled rows it is sure of, by its
+calibrated probability, for the other one. At the end both views are calibrated together on held-out
+labels and score every document.
+
+The texts are read twice, once for the hashed tokens and once for the scores, and never shuffled.
 
 Fitting uses at most ``SAMPLE_ROWS`` labelled documents, those with the smallest hash of their id, and
 every unlabelled one. Everything else runs over all rows.
@@ -15,16 +18,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starfold.llm.common import cut, map_batches
-from starfold.llm.views import Model, View, content_tokens, metadata_tokens
-
+from starfold.llm.common import cut, for_now, map_batches, small_enough
+from starfold.llm.views import DIMENSIONS, Model, View, Weights, content_tokens, flat_places, margins_of, metadata_tokens, places
 SAMPLE_ROWS = 20_000
-VOCABULARY = 4096
 LEAST_DOCS = 5
 SURE_GAIN = 8.0
 LEAST_TOKENS = 64
@@ -51,11 +52,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return w
 
 
-def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(labelled, pool): (doc_id, y, source, lang, text) of the sampled labelled and of all unlabelled documents.
+def tokens(rows: DataFrame) -> DataFrame:
+    """(doc_id, content, metadata): the places of the tokens of each document, in one pass over the texts."""
+
+    def run(batch):
+        ids, source, lang, text = [batch.column(c).to_pylist() for c in ("doc_id", "source", "lang", "text")]
+        one = [places(content_tokens(t)) for t in text]
+        two = [places(metadata_tokens(*x)) for x in zip(source, lang, text)]
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (one, two)]
+        yield pa.record_batch([pa.array(ids, pa.int64()), *lists], names=["doc_id", *VIEWS])
+
+    return map_batches(rows, run, "doc_id long, content array<int>, metadata array<int>")
 
-    y is 1 for a document to reject: quality 0 or toxic not 0; it is null in the pool. Labels with null
-    quality are not used; if a document has several, the worst counts. Rows without doc_id are in neither.
+
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, content, metadata, y) of every document with an id, written once; no text is joined.
+
+    y is 1 for a document to reject: quality 0 or toxic not 0; it is null without a label. Labels with null
+    quality are not used; if a document has several, the worst counts.
     """
     bad = F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) != 0)).cast("int")).alias("y")
     marks = labels.where("doc_id is not null and quality is not null")
@@ -63,112 +77,138 @@ def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tupl
     text = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string") for c in ("source", "lang", "text")]
     )
-    ids = text.select("doc_id").distinct().join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = F.broadcast(cut(ids.select("doc_id", "y"), "quality-sample"))
-    names = ["doc_id", "y", "source", "lang", "text"]
-    pool = text.join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
-    return text.join(chosen, "doc_id").select(*names), pool.select(*names)
-
+    # Only hashed tokens, a fraction of the text, meet the labels; a counted small side is sent to them.
+    few = small_enough(marks, marks.count(), 32)
+    return cut(tokens(text).join(few, "doc_id", "left"), "quality-rows")
 
-def tokens(rows: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, y, content, metadata): the tokens of each document, of the given words alone if there are any."""
-    known = {v: frozenset(words[v]) for v in VIEWS} if words else None
 
-    def run(batch):
-        ids, source, lang, text, y = [batch.column(c).to_pylist() for c in ("doc_id", "source", "lang", "text", "y")]
-        one = [content_tokens(t) for t in text]
-        two = [metadata_tokens(*x) for x in zip(source, lang, text)]
-        if known:
-            one, two = ([known[v].intersection(x) for x in found] for v, found in zip(VIEWS, (one, two)))
-        lists = [pa.array([sorted(t) for t in x], pa.list_(pa.string())) for x in (one, two)]
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), *lists], names=["doc_id", "y", *VIEWS])
+def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(labelled, pool): the rows of ``marked`` of the sampled labelled and of all unlabelled documents.
 
-    return map_batches(rows, run, "doc_id long, y int, content array<string>, metadata array<string>")
+    Rows without doc_id are in neither.
+    """
+    every = marked(docs, labels)
+    named = every.where("y is not null")
+    ids = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return named.join(F.broadcast(cut(ids, "quality-sample")), "doc_id", "left_semi"), every.where("y is null")
 
 
-def vocabulary(labelled: DataFrame, view: str, size: int = VOCABULARY) -> list[str]:
-    """The tokens that tell most about y, by the log-likelihood ratio of presence against class.
+def telling(rows: DataFrame, view: str) -> tuple[list[int], int]:
+    """The places that tell about the label, and the number of rows.
 
-    Tokens below ``SURE_GAIN`` may differ by chance and are left out, but for the first ``LEAST_TOKENS``.
+    They are found by the log-likelihood ratio of presence against class: places below ``SURE_GAIN`` may
+    differ by chance and are left out, but for the first ``LEAST_TOKENS``. All rows to be learned from
+    count, the pseudo-labelled ones too, so a word that no labelled document has can be learned. There are
+    at most ``DIMENSIONS`` places.
     """
-    n, bad = labelled.agg(F.count("*"), F.sum("y")).first()
-    counts = labelled.select(F.explode(view).alias("token"), "y").groupBy("token")
-    counts = counts.agg(F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("k"))
-    counts = counts.where(F.col("df") >= LEAST_DOCS)
+    # Place -1 stands for the row itself, so one pass counts rows and places.
+    every = F.concat(F.array(F.lit(-1)), F.col(view))
+    counts = rows.select(F.explode(every).alias("place"), "label").groupBy("place")
+    found = counts.agg(F.count("*").alias("df"), F.sum("label").alias("k")).where(F.col("df") >= LEAST_DOCS).toPandas()
+    own = found[found.place >= 0]
+    n, bad = (int(x) for x in found[found.place < 0][["df", "k"]].to_numpy()[0]) if len(found) > len(own) else (0, 0)
+    if not n:
+        return [], rows.count()
+    df, k, rate = own["df"].to_numpy(float), own["k"].to_numpy(float), bad / n
 
     def term(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
-    rate = bad / n
-    df, k = F.col("df"), F.col("k")
     gain = (
         term(k, df * rate)
         + term(df - k, df * (1 - rate))
         + term(bad - k, (n - df) * rate)
         + term(n - df - bad + k, (n - df) * (1 - rate))
     )
-    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "token").limit(size).collect()
-    return [r.token for i, r in enumerate(best) if i < LEAST_TOKENS or r.gain >= SURE_GAIN]
+    order = np.lexsort((own["place"].to_numpy(), -gain))
+    kept = [i for at, i in enumerate(order.tolist()) if at < LEAST_TOKENS or gain[i] >= SURE_GAIN]
+    return sorted(own["place"].to_numpy()[kept].tolist()), n
 
 
-def _vectors(rows: DataFrame, view: str, words: list[str]) -> DataFrame:
-    model = CountVectorizerModel.from_vocabulary(words, inputCol=view, outputCol=f"{view}_v", minTF=1.0)
-    return model.setBinary(True).transform(rows)
+VECTOR = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())])
 
 
-def _fit(rows: DataFrame, view: str):
-    learner = LogisticRegression(
-        featuresCol=f"{view}_v", labelCol="label", maxIter=30, regParam=PENALTY / rows.count(), standardization=False, rawPredictionCol="raw"
-    )
-    return learner.fit(rows.select(f"{view}_v", F.col("label").cast("double")))
+def _vectors(rows: DataFrame, view: str, found: list[int]) -> DataFrame:
+    """(features, label): the given places of each row as a sparse vector, in the struct vectors are stored as."""
+    index = np.full(DIMENSIONS, -1, np.int32)
+    index[found] = np.arange(len(found))
+    size = max(1, len(found))
+
+    def run(batch):
+        flat, row = flat_places(batch.column(view))
+        at = index[flat]
+        row, at = row[at >= 0], at[at >= 0]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+        parts = {
+            "type": pa.array(np.zeros(batch.num_rows, np.int8)),
+            "size": pa.array(np.full(batch.num_rows, size, np.int32)),
+            "indices": pa.ListArray.from_arrays(ends, at),
+            "values": pa.ListArray.from_arrays(ends, np.ones(len(at))),
+        }
+        vector = pa.StructArray.from_arrays(list(parts.values()), list(parts))
+        yield pa.record_batch([vector, batch.column("label").cast(pa.float64())], names=["features", "label"])
+
+    return map_batches(rows.select(view, "label"), run, VECTOR)
+
+
+def _fit(rows: DataFrame, view: str) -> tuple[Weights, float]:
+    """The weights of all tokens and the intercept of a view, learned from its telling places."""
+    found, n = telling(rows, view)
+    learner = LogisticRegression(featuresCol="features", labelCol="label", maxIter=30, regParam=PENALTY / max(1, n), standardization=False)
+    # Written once: the passes of the fit read a few selected places, not the pool and its judges again.
+    with for_now(_vectors(rows, view, found), "quality-vectors") as vectors:
+        model = learner.fit(vectors)
+    weights = np.zeros(DIMENSIONS)
+    weights[found] = model.coefficients.toArray()[: len(found)]
+    return Weights(weights), float(model.intercept)
+
+
+def _held(rows: DataFrame, fitted: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(margins of both views, y) of the held-out rows, a bounded number of them."""
+
+    def run(batch):
+        both = [pa.array(margins_of(batch.column(v), *fitted[v])) for v in VIEWS]
+        yield pa.record_batch([batch.column("y"), *both], names=["y", *VIEWS])
 
+    found = map_batches(rows.select("y", *VIEWS), run, "y int, content double, metadata double").toPandas()
+    return found[list(VIEWS)].to_numpy(), found["y"].to_numpy(float)
 
-def _margin(model, rows: DataFrame, view: str) -> DataFrame:
-    rows = model.transform(rows).withColumn(f"{view}_m", vector_to_array("raw")[1])
-    return rows.drop("raw", "probability", "prediction")
+
+def _sure(pool: DataFrame, giver: str, taker: str, fitted: tuple, scale: np.ndarray) -> DataFrame:
+    """(taker, label): the rows of the pool that the giver is sure of, as the taker sees them."""
+
+    def run(batch):
+        margin = margins_of(batch.column(giver), *fitted) * float(scale[0]) + float(scale[1])
+        p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+        keep = pa.array((p >= SURE) | (p <= 1 - SURE))
+        label = pa.array((p >= SURE).astype(np.int32))
+        yield pa.record_batch([batch.column(taker).filter(keep), label.filter(keep)], names=[taker, "label"])
+
+    return map_batches(pool.select(giver, taker), run, f"{taker} array<int>, label int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model | None:
     """The co-trained model; None when the labels do not hold both classes."""
     known, pool = samples(docs, labels, rows)
-    known = cut(tokens(known), "quality-tokens")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HOLD_OUT))
-    if known.select("y", fold == 0).distinct().count() < 4:
+    known = cut(known.withColumn("held", fold == 0), "quality-sampled")
+    if known.select("y", "held").distinct().count() < 4:
         return None
-    words = {v: vocabulary(known.where(fold != 0), v) for v in VIEWS}
-    known, pool = (
-        _vectors(_vectors(x, "content", words["content"]), "metadata", words["metadata"]).drop(*VIEWS)
-        for x in (known, tokens(pool, words))
-    )
-    known = cut(known.withColumn("held", fold == 0), "quality-vectors")
-    pool = cut(pool.drop("y"), "quality-pool")
     train, held_out = known.where("not held"), known.where("held")
     pseudo = {v: None for v in VIEWS}
     for turn in range(rounds + 1):
-        models, margins = {}, held_out
+        fitted = {}
         for v in VIEWS:
-            own = train.select(f"{v}_v", F.col("y").alias("label"))
-            models[v] = _fit(own if pseudo[v] is None else own.unionByName(pseudo[v]), v)
-            margins = _margin(models[v], margins, v)
-        held = margins.select("y", "content_m", "metadata_m").toPandas()
-        y = held["y"].to_numpy(float)
-        scale = {v: _logistic(held[[f"{v}_m"]].to_numpy(), y) for v in VIEWS}
+            own = train.select(v, F.col("y").alias("label"))
+            fitted[v] = _fit(own if pseudo[v] is None else own.unionByName(pseudo[v]), v)
+        margins, y = _held(held_out, fitted)
+        scale = {v: _logistic(margins[:, [i]], y) for i, v in enumerate(VIEWS)}
         if turn == rounds:
             break
         for giver, taker in (VIEWS, VIEWS[::-1]):
-            margin = F.col(f"{giver}_m") * float(scale[giver][0]) + float(scale[giver][1])
-            judged = _margin(models[giver], pool, giver).withColumn("p", 1 / (1 + F.exp(-margin)))
-            sure = judged.where((F.col("p") >= SURE) | (F.col("p") <= 1 - SURE))
-            pseudo[taker] = sure.select(f"{taker}_v", (F.col("p") >= SURE).cast("int").alias("label"))
-    views = [
-        View(
-            dict(zip(words[v], models[v].coefficients.toArray().tolist())),
-            float(models[v].intercept),
-            *map(float, scale[v]),
-        )
-        for v in VIEWS
-    ]
-    both = _logistic(held[["content_m", "metadata_m"]].to_numpy(), y)
+            pseudo[taker] = _sure(pool, giver, taker, fitted[giver], scale[giver])
+    views = [View(*fitted[v], *map(float, scale[v])) for v in VIEWS]
+    both = _logistic(margins, y)
     return Model(*views, tuple(map(float, both)))
 
 
