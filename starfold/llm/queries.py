@@ -191,14 +191,21 @@ with lower as (
            string_agg(distinct label, ',' order by label) as base_labels
     from places group by 1
 ), templates as (
-    select label, list_distinct(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t
+    select row_number() over () as id, label, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as t
     from (values {_values(licenses.TEMPLATES)}) v(label, text)
-), lines as (
-    select doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w
-    from (select doc_id, unnest(string_split(t, chr(10))) as line from lower)
+), tokens as (
+    select distinct id, label, ceil({licenses.SPAN} * len(t) - 1e-9)::bigint as width, t[i] as one, t[i + 1] as two
+    from (select *, unnest(range(1, len(t))) as i from templates)
+), sizes as (
+    select id, count(*) as n, ceil({licenses.THRESHOLD} * count(*) - 1e-9) as need from tokens group by 1
+), hits as (
+    select doc_id, i, id, label, width, one || ' ' || two as token
+    from (select doc_id, w[i] as a, w[i + 1] as b, i from (select doc_id, w, unnest(range(1, len(w))) as i from words)) join tokens
+      on a = one and b = two
 ), blocks as (
-    select doc_id, label, len(list_intersect(t, w))::double / len(t) as containment
-    from lines, templates where len(list_intersect(t, w)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)
+    select x.doc_id, x.label, x.i, count(distinct y.token) / any_value(n)::double as containment
+    from hits x join hits y on x.doc_id = y.doc_id and x.id = y.id and y.i between x.i and x.i + x.width - 2 join sizes s on x.id = s.id
+    group by x.doc_id, x.label, x.id, x.i having count(distinct y.token) >= any_value(need)
 ), method as (
     select doc_id, max(containment) as score from blocks group by 1
 ), labelled as (

@@ -1,6 +1,7 @@
 """Text operators against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -212,34 +213,72 @@ def test_items_shorter_than_a_shingle_match_whole(spark):
 # 8 ---------------------------------------------------------------------------------------------
 
 
+def plain_blocks(words, template, threshold, span):
+    """(first word, containment) of every window that contains a template, from each of its tokens on."""
+    target = set(zip(template, template[1:]))
+    width, need = math.ceil(span * len(template) - 1e-9), math.ceil(threshold * len(target) - 1e-9)
+    out = []
+    for i in range(len(words) - 1):
+        if (words[i], words[i + 1]) in target:
+            window = words[i : i + width]
+            shared = target & set(zip(window, window[1:]))
+            if len(shared) >= need:
+                out.append((i, len(shared) / len(target)))
+    return out
+
+
+def split_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
 def test_license_scan(spark):
+    gpl = dict(licenses.TEMPLATES)["lgpl"]
     rows = corpus(8, 40) + awkward(2000) + [
         (3000, "cc by cc by\nThis work is licensed under the GNU General Public License, version 3."),
         (3001, "gnu general public\nlicense MIT-License apache_license"),
         (3002, "Under the Apache License, version 2.0 licensed. released under the mit"),
         (3003, "émit license mit licenses mit license"),
+        (3004, (" word" * 50 + " ").join([gpl] * 3)),
+        (3005, gpl.replace("and/or", "and maybe or perhaps")),
+        (3006, gpl + " word" * 50 + " " + gpl[: len(gpl) // 2]),
     ]
-    found = licenses.scan(documents(spark, rows)).collect()
-
-    def words_of(text):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
-
-    expected = []
+    found = {(r.doc_id, r.n_words): r for r in licenses.scan(documents(spark, rows)).collect()}
     for doc, text in rows:
-        words, places, blocks, before = words_of(text or ""), [], [], 0
+        words, places, wanted = split_words(text), [], {}
         for phrase, label in licenses.PHRASES:
-            wanted = phrase.split()
-            places += [(label, i) for i in range(len(words)) if words[i : i + len(wanted)] == wanted]
-        for k, line in enumerate((text or "").split("\n")):
-            own = set(words_of(line))
-            for label, template in licenses.TEMPLATES:
-                target = set(words_of(template))
-                if len(target & own) / len(target) >= licenses.THRESHOLD - 1e-12:
-                    blocks.append((label, k, before, len(target & own) / len(target)))
-            before += len(words_of(line))
-        expected.append((doc, len(words), tuple(sorted(places)), tuple(sorted(blocks))))
-    got = [(r.doc_id, r.n_words, tuple(sorted(map(tuple, r.places))), tuple(sorted(map(tuple, r.blocks)))) for r in found]
-    assert ordered(got) == ordered(expected)
+            own = phrase.split()
+            places += [(label, i) for i in range(len(words)) if words[i : i + len(own)] == own]
+        for label, template in licenses.TEMPLATES:
+            for i, share in plain_blocks(words, split_words(template), licenses.THRESHOLD, licenses.SPAN):
+                wanted.setdefault(label, {})[i] = share
+        r = found[doc, len(words)]
+        assert sorted(map(tuple, r.places)) == sorted(places)
+        assert {b.label for b in r.blocks} == set(wanted)
+        for b in r.blocks:
+            assert wanted[b.label][b.first_word] == pytest.approx(b.containment) and b.first_word < b.last_word < len(words)
+        assert max((b.containment for b in r.blocks), default=0) == pytest.approx(max((x for w in wanted.values() for x in w.values()), default=0))
+    assert len([b for b in found[3004, len(split_words(rows[-3][1]))].blocks if b.label == "lgpl"]) == 3
+
+
+@pytest.mark.parametrize("width", [20, 40, 79, 1000])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices_are_found(spark, width, mark):
+    import textwrap
+
+    lines = [mark + x for _, t in licenses.TEMPLATES for x in [*textwrap.wrap(t, width), ""]]
+    found = licenses.scan(documents(spark, [(1, "\n".join(lines))])).first()
+    assert {b.label for b in found.blocks} == {label for label, _ in licenses.TEMPLATES}
+
+
+def test_scattered_words_are_no_notice(spark):
+    rng = random.Random(4)
+    rows = [(0, "The band released an album under contract; a student at MIT lost the driving license he had")]
+    for i, (_, text) in enumerate(licenses.TEMPLATES, 1):
+        words = text.split()
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        rows.append((100 + i, " of ".join(text.split())))
+    assert all(not r.blocks for r in licenses.scan(documents(spark, rows)).collect())
 
 
 # 9 ---------------------------------------------------------------------------------------------
