@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import blank, cut, small_enough
+from starfold.llm.common import blank, cut, row_key, small_enough
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -228,7 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark item, with their columns.
 
-    Rows without doc_id stay.
+    Each row is judged by its own text, rows without doc_id and rows that share one too.
     """
-    gone = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    gone = contaminated(keyed, benchmark, similarity).select(F.col("doc_id").alias("gone_key")).distinct()
+    return docs.join(gone, row_key() == gone["gone_key"], "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import blank, components, cut, map_batches
+from starfold.llm.common import blank, components, cut, map_batches, row_key
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
@@ -49,15 +49,15 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long. Null text: empty."""
+    """(doc_id, key, fp): one row per document, the fingerprint as a signed long. Null text: empty."""
 
     def run(batch):
-        values = [fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()]
+        values = [fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()]
         fp = np.array(values, np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), blank("text").alias("text"))
+    return map_batches(rows, run, "doc_id long, key long, fp long")
 
 
 def anchors(fp: DataFrame) -> DataFrame:
@@ -128,20 +128,27 @@ def near_duplicates(
     component has an id. Other columns are ignored; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle_words), "fingerprints")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprint_classes")
+    labels = _least(prints, F.col("doc_id"), max_bits)
+    return prints.join(labels, "fp", "left").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _least(prints: DataFrame, value: Column, max_bits: int) -> DataFrame:
+    """(fp, least): the least value of any row in the component of each fingerprint."""
+    classes = cut(prints.groupBy("fp").agg(F.min(value).alias("first")), "fingerprint_classes")
     parts = components(links(classes.select("fp"), max_bits)).select(F.col("id").alias("fp"), "root")
-    named = classes.join(parts, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    labels = cut(named.join(smallest, "root", "left").select("fp", "component_id"), "fingerprint_labels")
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    named = classes.join(parts, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("least"))
+    return cut(named.join(smallest, "root", "left").select("fp", "least"), "fingerprint_labels")
 
 
 def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pipeline stage: the documents whose id is the smallest of their group, with their columns.
+    """Pipeline stage: one document of each group, that of the smallest id, with its columns.
 
-    Rows without ``doc_id`` cannot be named by a group and stay.
+    Rows are judged one by one: of an id with several texts each counts for itself, and a row without
+    ``doc_id`` stays only if no row of its group has one. Rows equal in id and text are one document.
     """
-    groups = near_duplicates(docs, shingle_words, max_bits)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-
+    prints = cut(fingerprints(docs, shingle_words), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    judged = prints.join(_least(prints, place, max_bits), "fp")
+    gone = judged.where(F.col("key") != F.col("least.key")).select(F.col("key").alias("gone_key")).distinct()
+    return docs.join(gone, row_key() == gone["gone_key"], "left_anti")

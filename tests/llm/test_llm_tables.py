@@ -287,6 +287,20 @@ def test_pipeline_stages_against_plain_versions(spark, folder):
     assert ordered((r.doc_id, r.n_tokens) for r in steps[5].collect()) == ordered(expected)
 
 
+def test_stages_judge_rows_not_ids(spark):
+    """Two texts of one id are two documents; a row without id is judged by its text."""
+    a, b = "the first text " * 9, "another story altogether " * 8
+    rows = [(5, a), (9, a), (3, b), (5, b), (None, a), (None, "alone " * 7), (None, "alone " * 7 + " "), (4, None), (2, "")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(documents(spark, rows)).collect()]
+    assert [x for x in kept if x[1] in (a, b)] == [(5, a), (3, b)] or sorted(x for x in kept if x[1] in (a, b)) == [(3, b), (5, a)]
+    assert len([x for x in kept if x[0] is None]) == 1 and [x for x in kept if not x[1]] == [(2, "")]
+    item = " ".join(f"question{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"before {item} after"), (7, f"here is {item}"), (7, "clean text of the same id"), (None, "clean")]
+    left = decontam.keep_clean(documents(spark, rows), bench).collect()
+    assert ordered((r.doc_id, r.text) for r in left) == ordered([(7, "clean text of the same id"), (None, "clean")])
+
+
 def test_pipeline_on_an_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
