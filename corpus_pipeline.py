@@ -7,7 +7,8 @@
 5. byte-level BPE: one row per document with its token count and digests of the ids and of the bytes
    decoded from them.
 
-Stages 1 to 4 return the columns of ``documents``. Rows without doc_id pass stages 2 to 4 unchanged.
+Stages 1 to 4 return the columns of ``documents``. Stages 3 and 4 judge each row by itself, whether or not it
+shares its doc_id or has none; rows without doc_id pass stage 2 unchanged.
 """
 
 from __future__ import annotations
