@@ -177,6 +177,99 @@ def test_hmm_forward_recursion_is_exact():
     assert np.isclose(emits.sum(), lengths.sum(), atol=1e-4)
 
 
+def toy_hmm(rng, states=3, symbols=5):
+    import numpy as np
+
+    return hmm.Hmm(rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(symbols), states).T)
+
+
+def test_hmm_baum_welch_step_against_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model, lengths = toy_hmm(rng), np.array([5, 1, 7, 2])
+    flat = rng.integers(0, 5, lengths.sum())
+    expected = np.zeros((5 + 3 + 1, 3))
+    for s, n in zip(np.cumsum(lengths) - lengths, lengths):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        weights = []
+        for path in paths:
+            steps = [model.emit[flat[s + t], k] * (model.move[path[t - 1], k] if t else model.start[k]) for t, k in enumerate(path)]
+            weights.append(np.prod(steps))
+        for path, weight in zip(paths, np.array(weights) / sum(weights)):
+            expected[8, path[0]] += weight
+            for t, k in enumerate(path):
+                expected[flat[s + t], k] += weight
+                if t:
+                    expected[5 + path[t - 1], k] += weight
+    assert np.allclose(hmm.text_counts(model, flat, lengths), expected, atol=1e-4)
+    # texts of more than two symbols in runs of two: the cuts change nothing
+    assert np.allclose(hmm.text_counts(model, flat, lengths, whole=2), expected, atol=1e-4)
+
+
+def test_hmm_long_texts_are_not_cut():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    model, lengths = toy_hmm(rng, 4, 50), np.array([3, hmm.WHOLE, 5000, 1, hmm.SEGMENT * 3, hmm.WHOLE + 1])
+    flat = rng.integers(0, 50, lengths.sum())
+    starts = np.cumsum(lengths) - lengths
+    uncut = 1 << 30
+    assert np.allclose(hmm.log_likelihoods(model, flat, starts, lengths), hmm.log_likelihoods(model, flat, starts, lengths, uncut), rtol=1e-12)
+    by_runs, at_once = (hmm.text_counts(model, flat, lengths, w) for w in (hmm.WHOLE, uncut))
+    assert np.allclose(by_runs, at_once, rtol=1e-3, atol=1e-3)
+    assert np.isclose(by_runs[-1].sum(), len(lengths), atol=1e-3)
+
+
+def test_hmm_symbols_grow_with_the_text(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+
+    def symbols(n):
+        rows = [(i, " ".join(rng.choices(words, weights, k=400))) for i in range(n)]
+        lexicon = hmm.lexicon(hmm.word_counts(hmm.tokenized(documents(spark, rows))).cache(), n)
+        own = int((lexicon.symbols > hmm.CLASSES).sum())
+        assert len(lexicon.unigram) == 1 + hmm.CLASSES + own and own <= hmm.OWN * lexicon.tokens**0.5
+        return own
+
+    assert symbols(400) > 1.5 * symbols(20)
+
+
+def test_hmm_scores_word_by_word(spark):
+    import numpy as np
+
+    rows = corpus(9)
+    rows += [(901, " ".join(t or "" for _, t in rows) + " unseen")]
+    docs = documents(spark, rows)
+    found = {(r.doc_id, r.n_tokens): r.score for r in hmm.score(docs, states=2, steps=2).collect()}
+    tokens = hmm.tokenized(docs)
+    counts = hmm.word_counts(tokens).cache()
+    ends = tokens.where("not held_out").count()
+    words = hmm.lexicon(counts, ends)
+    model = hmm.train(hmm.encoded(tokens, words), words, 2, 2)
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    own = {w: int(words.symbols[i]) for w, i in words.index.items() if words.symbols[i] > hmm.CLASSES}
+    in_class: dict[int, list[int]] = {}
+    for w, count in n.items():
+        if w not in own:
+            in_class.setdefault(hmm.word_class(w), []).append(count)
+    for doc_id, text in rows:
+        alpha, total = None, 0.0
+        pieces = (text or "").encode().lower().split()
+        for w in [*pieces, None]:
+            symbol = hmm.END_SYMBOL if w is None else own.get(w, hmm.word_class(w))
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[symbol]
+            total += np.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if w is not None and w not in own:
+                mates = in_class.get(symbol, [])
+                total += np.log10((n.get(w, 0) + hmm.ADD) / (sum(mates) + hmm.ADD * (len(mates) + 1)))
+        assert abs(found[doc_id, len(pieces) + 1] - total) < 1e-6 * max(1, len(pieces))
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
