@@ -1,7 +1,8 @@
 r"""Chat formatting by prefix-target expansion.
 
 A turn is written as ``### role: text</turn>`` and a line feed. Texts and roles are escaped so that
-neither mark can occur inside them: a backslash is doubled, ``###`` becomes ``\#\#\#`` and ``</turn>``
+neither mark can occur inside them: a backslash is doubled, ``###`` becomes ``\#\#\#`` (the last five of a
+longer run ``\##\##\#`` where two would be left over, so that no three stand together) and ``</turn>``
 becomes ``<\/turn>`` (in roles also ``:`` becomes ``\:``); dropping every backslash but the second of a
 pair gives the text back. All of this is expressions.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +41,7 @@ def escape(c: Column) -> Column:
     """No mark occurs in the result; ``unescape`` gives the text back."""
     c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     c = F.replace(c, F.lit("###"), F.lit(r"\#\#\#"))
+    c = F.replace(c, F.lit(r"\#\#\###"), F.lit(r"\##\##\#"))
     return F.replace(c, F.lit("</turn>"), F.lit(r"<\/turn>"))
 
 
@@ -128,25 +132,45 @@ def texts(stored: DataFrame, found: DataFrame) -> DataFrame:
     return grouped.select(*names, F.array_join("pieces.segment", "").alias("text"))
 
 
+class Expansion:
+    """The examples of one conversation from its written turns, read in order."""
+
+    def __init__(self):
+        self.turns = self.chars = self.examples = 0
+
+    def add(self, segment: str, start: int | None, end: int | None) -> tuple | None:
+        """The example that ends with this turn, as ``EXAMPLE`` without its conversation; None if it is not trainable."""
+        at, context = self.chars, self.turns
+        self.chars += len(segment)
+        self.turns += 1
+        if start is None:
+            return None
+        self.examples += 1
+        return self.examples, context, at + start, at + end, self.chars
+
+
 class Reading:
-    """What a conversation's written turns say, read in order; holds digests, never the text."""
+    """What a conversation's stream and its examples say, read in order; holds digests, never the text."""
 
     def __init__(self):
         self.turns = self.loss_chars = self.chars = self.examples = self.example_chars = 0
         self.read, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, segment: str, start: int | None, end: int | None) -> None:
+    def add(self, segment: str, example: tuple | None) -> None:
+        """The next turn of the stream, and the example that ends with it: its mask says what is trained on."""
         head = _HEAD.match(segment)
         role, text = unescape(head.group(1)), unescape(segment[head.end() : -len(CLOSE)])
         self.read.update(f"{role}\n{text}\n".encode())
+        at = self.chars
         self.turns += 1
         self.chars += len(segment)
-        if start is not None:
-            trained = unescape(segment[start:end])
+        if example is not None:
+            _, _, start, end, chars = example
+            trained = unescape(segment[start - at : end - at])
             self.loss.update(trained.encode())
             self.loss_chars += len(trained)
             self.examples += 1
-            self.example_chars += self.chars
+            self.example_chars += chars
 
     def row(self) -> tuple:
         numbers = (self.turns, self.read.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
@@ -157,7 +181,12 @@ DIGESTS = (
     "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
     "n_examples long, example_chars long"
 )
-PIECES = "conv_id long, place long, segment string, loss_start int, loss_end int"
+PIECES = "conv_id long, place long, segment string, turn_start int, turn_end int"
+EXAMPLE = "example long, n_context long, loss_start long, loss_end long, n_chars long"
+
+
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
 
 
 def _conversations(batches) -> Iterator[tuple]:
@@ -184,18 +213,34 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
-def read_back(laid: DataFrame) -> DataFrame:
-    """(conv_id, DIGESTS) of every conversation, from rows as ``format_turns`` lays them out.
+def expand(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(examples, digests) of rows as ``format_turns`` lays them out.
 
-    A conversation that lies inside one partition is read there. The first and the last one of a
+    ``examples`` has one row (conv_id, EXAMPLE) per trainable turn: the context is the conversation's stream
+    before the turn, the example ends with the turn, and only loss_start to loss_end of the stream is
+    trained on. ``digests`` has one row (conv_id, DIGESTS) per conversation, read back from its stream and
+    these examples. Both are written in one pass over the turns.
+
+    A conversation that lies inside one partition is expanded there. The first and the last one of a
     partition, and any of more than ``HELD_CHARS`` characters, may go on elsewhere: their rows are
-    sent on and read in one stream per conversation. Each digest is of one string, so its reading
+    sent on and expanded in one stream per conversation. Each digest is of one string, so its reading
     cannot be split; it holds no more than a digest in memory.
     """
     spark = laid.sparkSession
     bound_batches(spark)
-    empty = (None,) * len(DIGESTS.split(", "))
-    both = f"{PIECES}, {DIGESTS}"
+    no_example, no_digest = (None,) * len(_names(EXAMPLE)), (None,) * len(_names(DIGESTS))
+    no_piece = (None,) * (len(_names(PIECES)) - 1)
+    every = f"{PIECES}, {EXAMPLE}, {DIGESTS}"
+
+    def expanded(conv, turns):
+        """Example rows of a conversation, its digest row last."""
+        expansion, reading = Expansion(), Reading()
+        for segment, start, end in turns:
+            example = expansion.add(segment, start, end)
+            reading.add(segment, example)
+            if example is not None:
+                yield (conv, *no_piece, *example, *no_digest)
+        yield (conv, *no_piece, *no_example, *reading.row())
 
     def inside(batches):
         def rows():
@@ -203,13 +248,10 @@ def read_back(laid: DataFrame) -> DataFrame:
             for conv, place, segment, start, end in _conversations(batches):
                 if now is None or now[0] != conv:
                     if held:
-                        reading = Reading()
-                        for row in held:
-                            reading.add(*row[2:5])
-                        yield now[0], None, None, None, None, *reading.row()
+                        yield from expanded(now[0], (row[2:5] for row in held))
                     going_on = now is None
                     now, held, size = (conv,), [], 0
-                row = (conv, place, segment, start, end, *empty)
+                row = (conv, place, segment, start, end, *no_example, *no_digest)
                 if going_on:
                     yield row
                     continue
@@ -220,26 +262,25 @@ def read_back(laid: DataFrame) -> DataFrame:
                     held, going_on = [], True
             yield from held
 
-        yield from _batches(rows(), _schema(both))
+        yield from _batches(rows(), _schema(every))
 
     def streams(batches):
         def rows():
-            now, reading = None, None
-            for conv, _, segment, start, end in _conversations(batches):
-                if now != (conv,):
-                    if reading:
-                        yield now[0], None, None, None, None, *reading.row()
-                    now, reading = (conv,), Reading()
-                reading.add(segment, start, end)
-            if reading:
-                yield now[0], None, None, None, None, *reading.row()
-
-        yield from _batches(rows(), _schema(both))
-
-    numbered = laid.select("conv_id", F.monotonically_increasing_id().alias("place"), "segment", "loss_start", "loss_end")
-    first = cut(numbered.mapInArrow(inside, both), "read")
-    names = ["conv_id", *[x.split()[0] for x in DIGESTS.split(", ")]]
-    pieces = first.where(F.col("segment").isNotNull()).select(*[x.split()[0] for x in PIECES.split(", ")])
+            for conv, turns in groupby(_conversations(batches), itemgetter(0)):
+                yield from expanded(conv, (turn[2:5] for turn in turns))
+
+        yield from _batches(rows(), _schema(every))
+
+    place = F.monotonically_increasing_id().alias("place")
+    spans = [F.col("loss_start").alias("turn_start"), F.col("loss_end").alias("turn_end")]
+    first = cut(laid.select("conv_id", place, "segment", *spans).mapInArrow(inside, every), "expanded")
+    pieces = first.where(F.col("segment").isNotNull()).select(*_names(PIECES))
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    done = first.where(F.col("segment").isNull()).select(*names)
-    return done.unionByName(ordered.mapInArrow(streams, both).select(*names))
+    whole = first.where(F.col("segment").isNull()).unionByName(cut(ordered.mapInArrow(streams, every), "expanded"))
+    examples = whole.where(F.col("example").isNotNull()).select("conv_id", *_names(EXAMPLE))
+    return examples, whole.where(F.col("n_turns").isNotNull()).select("conv_id", *_names(DIGESTS))
+
+
+def read_back(laid: DataFrame) -> DataFrame:
+    """(conv_id, DIGESTS) of every conversation, read from its expanded examples."""
+    return expand(laid)[1]

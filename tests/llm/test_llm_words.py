@@ -197,8 +197,40 @@ def test_chat_examples_are_prefixes(spark):
     assert not texts
 
 
+@pytest.mark.parametrize("held", [200, 1 << 20])
+def test_chat_expansion(spark, monkeypatch, held):
+    """The pass that the query reads back from writes every prefix-target example, wherever its turns lie."""
+    monkeypatch.setattr(chat, "HELD_CHARS", held)
+    rows = chats(5, 25)
+    laid = chat.format_turns(conversations(spark, rows).repartition(5))
+    found, digests = chat.expand(laid)
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    want = []
+    for conv in {r[0] for r in rows}:
+        chars, number = 0, 0
+        for at, (role, text) in enumerate(plain(rows, conv)):
+            start = chars + len(f"### {escape(role).replace(':', chr(92) + ':')}: ")
+            chars = start + len(escape(text)) + len("</turn>\n")
+            if role == "assistant":
+                number += 1
+                want.append((conv, number, at, start, start + len(escape(text)), chars))
+    assert got == sorted(want, key=repr)
+    totals = {r.conv_id: (r.n_examples, r.example_chars) for r in digests.collect()}
+    assert sum(n for n, _ in totals.values()) == len(want)
+    assert all(chars == sum(w[5] for w in want if w[0] == conv) for conv, (_, chars) in totals.items())
+
+
+def test_marks_in_long_runs(spark):
+    texts = ["#" * n + tail for n in range(20) for tail in ("", " a", "\\", "</turn>")] + ["\\#####", "#####\\#####"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for text, written in frame.select("text", chat.escape(F.col("text"))).collect():
+        assert "###" not in written and "</turn>" not in written
+        assert chat.unescape(written) == text and written == escape(text)
+
+
 def escape(text):
-    return text.replace("\\", "\\\\").replace("###", r"\#\#\#").replace("</turn>", r"<\/turn>")
+    text = text.replace("\\", "\\\\").replace("###", r"\#\#\#").replace(r"\#\#\###", r"\##\##\#")
+    return text.replace("</turn>", r"<\/turn>")
 
 
 def test_marks_never_occur_in_texts():
