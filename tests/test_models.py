@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from starfold.models import (
@@ -25,6 +26,7 @@ from starfold.models import (
     submission,
     top_features,
 )
+from starfold.models import boosting
 from starfold.models.boosting import round_metrics
 from starfold.models.stack import fold_mean
 from starfold.operators import exact_folds
@@ -243,3 +245,17 @@ def test_submission_keeps_one_row_per_key(spark):
     assert got == [(1, 1, "0.22200001"), (2, 0, "0.222"), (3, 0, "1e-08"), (4, 0, "0.222")]
     copies = df.where("EID > 1").union(df.where("EID > 1"))
     assert submission(copies, 0.222).count() == 3
+
+
+def test_last_margins_are_not_written(spark, monkeypatch):
+    """Only a chunk that another follows is written; the areas are the same."""
+    rows = [(float(i * 37 % 101 > 50), Vectors.dense([i % 13, i * 7 % 29])) for i in range(300)]
+    frame = spark.createDataFrame(rows, ["TARGET", "features"])
+    model = BoostedClassifier(BoostSettings(rounds=5, depth=3)).fit(frame).get_model()
+    written = []
+    original = boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, name: written.append(name) or original(df, name))
+    whole = boosting.round_metrics(model, frame, "TARGET", "areaUnderROC")
+    assert len(whole) == 5 and written == []
+    assert boosting.round_metrics(model, frame, "TARGET", "areaUnderROC", chunk=2) == pytest.approx(whole)
+    assert len(written) == 2
