@@ -7,7 +7,7 @@ compacted into one base, so the number of rows stays near the number of entities
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from starfold.functions.states import Mergeable
 from starfold.operators.blocks import finish
+from starfold.session import materialize
 from starfold.sources.versions import Versions, last_number
 
 BASE = "base"
+NUMBER = "_slice"
 
 
 @dataclass(frozen=True)
@@ -37,10 +39,10 @@ class StateBlock:
     def _part(self, feature: str):
         return lambda part: F.col(f"`{feature}.{part}`")
 
-    def states(self, rows: DataFrame) -> DataFrame:
-        """One row per key of a slice with the stored parts of every feature."""
+    def states(self, rows: DataFrame, *by: str) -> DataFrame:
+        """One row per key of a slice, or of every slice that ``by`` tells, with the stored parts of every feature."""
         parts = [c.alias(f"{n}.{p}") for n, m in self.features.items() for p, c in m.parts.items()]
-        return rows.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(*parts)
+        return rows.where(F.col(self.key).isNotNull()).groupBy(self.key, *by).agg(*parts)
 
     def merge(self, states: DataFrame) -> DataFrame:
         """States of several slices as the states of all of them; merging may be repeated."""
@@ -76,11 +78,20 @@ class StateStore:
 
     def put(self, name: str, rows: DataFrame) -> None:
         """Aggregate the rows of one slice and store its states; only these rows are read."""
+        self._store(name, self.block.states(rows))
+
+    def put_slices(self, names: Sequence[str], rows: DataFrame, number: Column) -> None:
+        """``put`` for every slice of ``rows``, told apart by ``number`` (place in ``names``): read and aggregated once."""
+        states = materialize(self.block.states(rows.withColumn(NUMBER, number), NUMBER), "slices", NUMBER)
+        for i, name in enumerate(names):
+            self._store(name, states.where(F.col(NUMBER) == i).drop(NUMBER))
+
+    def _store(self, name: str, states: DataFrame) -> None:
         content, after = self._content()
         if name in content["based"] or name == BASE:
             raise ValueError(f"slice {name} is part of the base")
         folder = self.versions.fresh(f"slice-{name}")
-        self.block.states(rows).write.parquet(f"{self.versions.folder}/{folder}")
+        states.write.parquet(f"{self.versions.folder}/{folder}")
         self.versions.commit({"parts": content["parts"] | {name: folder}, "based": content["based"]}, after)
 
     def _read(self, parts: Mapping[str, str]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starfold.functions import states
-from starfold.operators.states import StateBlock, StateStore
+from starfold.operators.states import NUMBER, StateBlock, StateStore
 from starfold.plans.company import CHILDREN, KEY, MISSING, Recipe, matrix_of
 from starfold.plans.fitted import FittedRecipe
 
@@ -38,6 +39,14 @@ class IncrementalStar:
         for name, store in self.stores.items():
             store.put(slice_name, self._parts(name, tables[name]).rows)
 
+    def put_slices(
+        self, names: Sequence[str], tables: Mapping[str, DataFrame], number: Callable[[DataFrame], Column]
+    ) -> None:
+        """``put`` for several slices of the tables at once; ``number`` gives the place of a row's slice in ``names``."""
+        for name, store in self.stores.items():
+            rows = tables[name].withColumn(NUMBER, number(tables[name]))
+            store.put_slices(names, self._parts(name, rows).rows, F.col(NUMBER))
+
     def slices(self) -> list[str]:
         """The slices held; raises when a put was cut off and some tables lack its slice."""
         held = {name: store.slices() for name, store in self.stores.items()}

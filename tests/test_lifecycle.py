@@ -16,6 +16,7 @@ from starfold.operators import (
 from starfold.plans import STACKED, WIDE, company_matrix
 from starfold.plans.fitted import fit_recipe
 from starfold.plans.incremental import IncrementalStar
+from starfold.operators.states import StateBlock
 from starfold.queries import QUERIES
 from starfold.queries.lifecycle import order_rows, order_states
 from starfold.sources import (
@@ -131,6 +132,26 @@ def test_company_matrix_from_slices(spark, tmp_path, recipe):
         held.slices()
 
 
+def test_slices_put_at_once(spark, tmp_path, monkeypatch):
+    """Several slices of a table are aggregated in one pass and are the slices that single puts store."""
+    star = company_tables(spark, ROWS)
+    fitted = fit_recipe(star, STACKED)
+    number = lambda rows: F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    one, many = (IncrementalStar(spark, str(tmp_path / n), fitted, star) for n in ("one", "many"))
+    for i in range(3):
+        one.put(f"d{i}", {n: t.where(number(t) == i) for n, t in star.items()})
+    seen, original = [], StateBlock.states
+    monkeypatch.setattr(StateBlock, "states", lambda self, *args: seen.append(self.name) or original(self, *args))
+    many.put_slices(["d0", "d1", "d2"], star, number)
+    assert sorted(seen) == sorted(many.stores)
+    assert many.slices() == one.slices() == ["d0", "d1", "d2"]
+    for name, store in many.stores.items():
+        content, other = (s.versions.read()["parts"] for s in (store, one.stores[name]))
+        for d in content:
+            assert rows_of(store._read({d: content[d]})) == rows_of(one.stores[name]._read({d: other[d]}))
+    assert rows_of(many.matrix(star["spine"], star["entbase"])) == rows_of(one.matrix(star["spine"], star["entbase"]))
+
+
 # rejects ---------------------------------------------------------------------------------------
 
 
