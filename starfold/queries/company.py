@@ -11,7 +11,7 @@ from starfold.plans.incremental import IncrementalStar
 from starfold.plans.runs import spine_of
 from starfold.queries.registry import query, rounded
 from starfold.session import scratch_path
-from starfold.sources import STAR_FILES, read_star, write_feature_map
+from starfold.sources import STAR_FILES, read_star, table, write_feature_map
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 
@@ -495,6 +495,13 @@ def spine_split(spark, sf):
 
 
 CSV_PARTS = 3
+CSV_ROWS = 500_000
+
+
+def _parts(spark, sf, role):
+    """Files of a table: several, and more as its rows grow, so that no task sorts or writes a fixed share."""
+    source = bindings.SOURCES.get(role, ("customer",))[0]
+    return max(CSV_PARTS, -(-table(spark, sf, source).count() // CSV_ROWS))
 
 
 def _write_star(spark, sf):
@@ -505,9 +512,10 @@ def _write_star(spark, sf):
     known = F.col("TARGET").isNotNull()
     star |= {"train": spine.where(known), "test": spine.where(~known).select("EID")}
     for name, rows in star.items():
-        parts = rows.repartition(CSV_PARTS)
+        count = _parts(spark, sf, name)
+        parts = rows.repartition(count)
         if "row_id" in rows.columns:
-            parts = rows.repartitionByRange(CSV_PARTS, "row_id").sortWithinPartitions("row_id").drop("row_id")
+            parts = rows.repartitionByRange(count, "row_id").sortWithinPartitions("row_id").drop("row_id")
         parts.write.csv(f"{folder}/{STAR_FILES[name]}", header=True)
     return folder
 

@@ -1,5 +1,7 @@
 """Stored states, rejects, buckets, observed counts, sketches, versions, hot lookups."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ from starfold.plans import STACKED, WIDE, company_matrix
 from starfold.plans.fitted import fit_recipe
 from starfold.plans.incremental import IncrementalStar
 from starfold.operators.states import StateBlock
-from starfold.queries import QUERIES
+from starfold.queries import QUERIES, company
 from starfold.queries.lifecycle import order_rows, order_states
 from starfold.sources import (
+    STAR_FILES,
     Conflict,
     Versions,
     committed_path,
+    read_csv,
     read_csv_checked,
     write_committed,
     write_scored_atomic,
@@ -152,6 +156,37 @@ def test_slices_put_at_once(spark, tmp_path, monkeypatch):
     assert rows_of(many.matrix(star["spine"], star["entbase"])) == rows_of(one.matrix(star["spine"], star["entbase"]))
 
 
+def test_written_star_grows_in_files(spark, tmp_path, monkeypatch):
+    """A task writes a bounded number of rows; rows keep their order over the files."""
+    rows = [(i % 7, i, None, f"2015-01-{i % 28 + 1:02}", "1", "2") for i in range(1000)]
+    alter = spark.createDataFrame(rows, "EID long, row_id long, ALTERNO string, ALTDATE string, ALTBE string, ALTAF string")
+    spine = spark.createDataFrame([(i, 1 if i else None) for i in range(7)], "EID long, TARGET int")
+    monkeypatch.setattr(company.bindings, "company_star", lambda *_: {"spine": spine, "alter": alter})
+    monkeypatch.setattr(company, "table", lambda *a: alter if a[2] == "orders" else spine)
+    monkeypatch.setattr(company, "scratch_path", lambda *_: str(tmp_path / "csv"))
+    monkeypatch.setattr(company, "CSV_ROWS", 100)
+    folder = company._write_star(spark, "none")
+    written = f"{folder}/{STAR_FILES['alter']}"
+    assert len(list(Path(written).glob("part-*.csv"))) == 10
+    read = read_csv(spark, written, "EID long, ALTDATE string", row_key="row_id").orderBy("row_id").collect()
+    assert [(r.EID, r.ALTDATE) for r in read] == [(r[0], r[3]) for r in rows]
+
+
+def test_wide_joins_read_less_in_a_task(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    star = company_tables(spark, ROWS)
+    try:
+        spark.conf.unset(size)
+        company_matrix(star)
+        assert spark.conf.get(size) == "16m"
+        spark.conf.set(size, "32m")
+        company_matrix(star)
+        assert spark.conf.get(size) == "32m"
+    finally:
+        spark.conf.unset(size) if before is None else spark.conf.set(size, before)
+
+
 # rejects ---------------------------------------------------------------------------------------
 
 
