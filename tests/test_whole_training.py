@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from starfold.models import DEPTH_SIX, MANY_LEAVES, Stack
 from starfold.models.stack import TASK_ROWS, _few_tasks
+from starfold.plans.runs import RUNS
 from starfold.queries import QUERIES, learning
 
 
@@ -29,6 +30,20 @@ def test_oof_stack_asks_for_every_round(spark, monkeypatch, tmp_path):
     assert [s.rounds for s in asked] == [1000, 800, 1000] and {s.patience for s in asked} == {50}
 
 
+def test_run_stacked_asks_for_every_round(spark, monkeypatch):
+    ran = []
+
+    class Scored:
+        submission = spark.range(1)
+
+    monkeypatch.setattr(learning.bindings, "company_star", lambda *_: {})
+    monkeypatch.setattr(learning, "score_companies", lambda star, run: ran.append(run) or Scored)
+    monkeypatch.setattr(learning, "_FITTED", {})
+    assert QUERIES["run_stacked"](spark, "anywhere").count() == 1
+    assert ran == [RUNS["stacked"]]
+    assert [m.rounds for m in ran[0].models] == [1000, 800]
+
+
 def test_few_rows_are_read_by_few_tasks(spark):
     rows = spark.range(0, 100, 1, 8)
     assert _few_tasks(rows, 100).rdd.getNumPartitions() == 1
